@@ -16,7 +16,8 @@ from spendlens.functions.text import (
 from spendlens.operators import aggregates, anomaly, audit, clean, integrity, pause, quality, rates
 from spendlens.operators.fact import FACT_COLUMNS, Curated, build_curated
 from spendlens.operators.periods import Period, data_span, period_totals, resolve
-from spendlens.sources.feeds import feed_counts, feed_inventory
+from spendlens.plans.store import new_folder, written
+from spendlens.sources.feeds import Feeds, feed_counts, feed_inventory
 from spendlens.sources.samples import sample_feeds
 
 PERF = "ad_performance_daily"
@@ -30,11 +31,19 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.feeds = sample_feeds(spark, folder)
+        self.target = new_folder(spark)
+
+    @cached_property
+    def feeds(self) -> Feeds:
+        """The sample feeds as files, the state in which a real feed arrives."""
+        return {
+            name: written(df.hint("rebalance"), f"{self.target}/raw/{name}")
+            for name, df in sample_feeds(self.spark, self.folder).items()
+        }
 
     @cached_property
     def curated(self) -> Curated:
-        return build_curated(self.spark, self.feeds)
+        return build_curated(self.spark, self.feeds, self.target)
 
     @property
     def fact(self) -> DataFrame:

@@ -61,9 +61,16 @@ def safe_long(c: Column | str) -> Column:
 
 
 def parse_dates(c: Column | str, formats: tuple[str, ...] = (ISO, DAY_FIRST)) -> Column:
-    """The first of the known formats that fits, in fixed order; NULL otherwise."""
+    """The first of the known formats that fits, in fixed order; NULL otherwise.
+
+    A date in full ISO shape takes the plain cast, which is far cheaper than a
+    pattern; only other text is tried against the formats.
+    """
     text = F.trim(_col(c))
-    return F.coalesce(*[F.try_to_date(text, fmt) for fmt in formats])
+    tries = [F.try_to_date(text, fmt) for fmt in formats]
+    if formats[0] == ISO:
+        tries.insert(0, F.when(text.rlike(ISO_SHAPE), text.try_cast("date")))
+    return F.coalesce(*tries)
 
 
 def non_iso_flag(c: Column | str) -> Column:
@@ -73,9 +80,8 @@ def non_iso_flag(c: Column | str) -> Column:
 def is_ambiguous_date(c: Column | str) -> Column:
     """Both slash readings parse, and to different days."""
     text = F.trim(_col(c))
-    return F.coalesce(
-        F.try_to_date(text, MONTH_FIRST) != F.try_to_date(text, DAY_FIRST), F.lit(False)
-    )
+    differ = F.try_to_date(text, MONTH_FIRST) != F.try_to_date(text, DAY_FIRST)
+    return text.contains("/") & F.coalesce(differ, F.lit(False))
 
 
 def has_stray_blanks(c: Column | str) -> Column:

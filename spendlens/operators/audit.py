@@ -127,13 +127,16 @@ def grain_summary(df: DataFrame, keys: list[str], feed: str, weight: str | None
 
 
 def grain_sample(df: DataFrame, keys: list[str], size: int = 12) -> DataFrame:
-    """The first rows that share a key, for a reader to look at."""
-    shared = grain(df, keys)
+    """The first rows that share a key, for a reader to look at.
+
+    ``size`` keys hold at least ``size`` rows, so no more keys are ever looked up.
+    """
+    shared = grain(df, keys).orderBy(*keys).limit(size)
     meets = None
     for k in keys:
         same = df[k].eqNullSafe(shared[k])
         meets = same if meets is None else meets & same
-    return df.join(shared, meets, "left_semi").orderBy(*df.columns).limit(size)
+    return df.join(F.broadcast(shared), meets, "left_semi").orderBy(*df.columns).limit(size)
 
 
 def dup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,14 +151,18 @@ def dup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def date_check(df: DataFrame, column: str, feed: str) -> DataFrame:
-    """Range, unreadable values and values that are not in ISO form."""
+    """Range, unreadable values and values that are not in ISO form.
+
+    Equal texts are counted first, so each is parsed once and not once per row.
+    """
+    texts = df.groupBy(column).agg(F.count("*").alias("n"))
     raw, parsed = F.col(column), naive_date(column)
     odd = non_iso_flag(column)
-    return df.agg(
+    return texts.agg(
         F.min(parsed).alias("first_day"),
         F.max(parsed).alias("last_day"),
-        F.count_if(parsed.isNull() & raw.isNotNull()).alias("unparseable"),
-        F.count_if(odd).alias("non_iso"),
+        F.coalesce(F.sum(F.when(parsed.isNull() & raw.isNotNull(), F.col("n"))), F.lit(0)).alias("unparseable"),
+        F.coalesce(F.sum(F.when(odd, F.col("n"))), F.lit(0)).alias("non_iso"),
         F.count_distinct(F.when(odd, F.trim(raw))).alias("non_iso_values"),
     ).select(F.lit(feed).alias("feed"), F.lit(column).alias("column"), "*")
 
@@ -270,16 +277,24 @@ def base_rate_check(feed: DataFrame, base: str = "USD") -> DataFrame:
 
 
 def daily_volume(perf: DataFrame, weight: str | None = None) -> DataFrame:
-    """Rows, active campaigns and sums per day as the audit reads dates."""
-    typed = perf.withColumns(
-        {
-            "day": naive_date("date"),
-            **{c: _number(perf, c) for c in ("impressions", "conversions", "spend")},
-        }
-    ).filter(F.col("day").isNotNull())
-    return typed.groupBy(F.col("day").alias("date")).agg(
-        _rows(weight).alias("n_rows"),
-        F.count_distinct("campaign_id").alias("campaigns"),
+    """Rows, active campaigns and sums per day as the audit reads dates.
+
+    Summed per raw date text and campaign first: dates are then parsed once per
+    text, and counting campaigns needs no distinct aggregate over the rows.
+    """
+    sums = ["impressions", "conversions", "spend"]
+    per_text = perf.groupBy("date", "campaign_id").agg(
+        _rows(weight).alias("n"), *[F.sum(_number(perf, c)).alias(c) for c in sums]
+    )
+    per_campaign = (
+        per_text.withColumn("day", naive_date("date"))
+        .filter(F.col("day").isNotNull())
+        .groupBy("day", "campaign_id")
+        .agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    )
+    return per_campaign.groupBy(F.col("day").alias("date")).agg(
+        F.sum("n").alias("n_rows"),
+        F.count("campaign_id").alias("campaigns"),
         F.coalesce(F.sum("impressions"), F.lit(0.0)).cast("bigint").alias("impressions"),
         F.coalesce(F.sum("conversions"), F.lit(0.0)).cast("bigint").alias("conversions"),
         F.round(F.coalesce(F.sum("spend"), F.lit(0.0)), 2).alias("spend"),
@@ -447,11 +462,8 @@ def _windows(campaigns: DataFrame) -> DataFrame:
 
 def outside_window(perf: DataFrame, campaigns: DataFrame, weight: str | None = None) -> DataFrame:
     """Performance rows dated before their campaign starts or after it ends."""
-    days = (
-        perf.groupBy("campaign_id", naive_date("date").alias("day"))
-        .agg(_rows(weight).alias("n_rows"))
-    )
-    dated = days.join(_windows(campaigns), "campaign_id")
+    days = perf.groupBy("campaign_id", "date").agg(_rows(weight).alias("n_rows"))
+    dated = days.withColumn("day", naive_date("date")).join(_windows(campaigns), "campaign_id")
     before, after = F.col("day") < F.col("starts"), F.col("day") > F.col("ends")
     return dated.agg(
         F.coalesce(F.sum(F.when(before, F.col("n_rows"))), F.lit(0)).alias("rows_before_start"),

@@ -14,22 +14,31 @@ ROAS_LOW, ROAS_HIGH = 0.0, 50.0
 
 
 def parts_sum_to_total(fact: DataFrame, name: str = "spend", tolerance: float = 0.01) -> DataFrame:
-    """Each breakdown of an additive metric, summed again, against the plain total."""
+    """Each breakdown of an additive metric, summed again, against the plain total.
+
+    One pass over the fact serves every breakdown and the total.
+    """
     m = metric(name)
     if m.is_ratio:
         raise ValueError(f"{name} is a ratio and its parts do not add up")
-    total = fact.agg(F.sum(m.numerator)).scalar()
-    out = None
-    for group in BREAKDOWNS:
-        parts = fact.groupBy(grouping_column(group)).agg(F.sum(m.numerator).alias("part"))
-        row = parts.agg(F.sum("part").alias("parts")).select(
-            F.lit(group).alias("grouping"),
-            F.round(F.col("parts"), m.digits).alias("parts_total"),
-            F.round(total, m.digits).alias("total"),
-            (F.abs(F.col("parts") - total) <= tolerance).alias("agrees"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    columns = [grouping_column(g) for g in BREAKDOWNS]
+    sets = [[F.col(c)] for c in columns] + [[]]
+    parts = fact.groupingSets(sets, *columns).agg(
+        F.sum(m.numerator).alias("part"), F.grouping_id().alias("without")
+    )
+    # A bit of the grouping id is set for every column a row is not grouped by.
+    everything = 2 ** len(columns) - 1
+    alone = {g: everything - 2 ** (len(columns) - 1 - i) for i, g in enumerate(BREAKDOWNS)}
+    sums = parts.agg(
+        F.max(F.when(F.col("without") == everything, F.col("part"))).alias("total"),
+        *[F.sum(F.when(F.col("without") == bits, F.col("part"))).alias(g) for g, bits in alone.items()],
+    )
+    return sums.unpivot("total", BREAKDOWNS, "grouping", "parts").select(
+        "grouping",
+        F.round("parts", m.digits).alias("parts_total"),
+        F.round("total", m.digits).alias("total"),
+        (F.abs(F.col("parts") - F.col("total")) <= tolerance).alias("agrees"),
+    )
 
 
 def ratio_bounds(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import grouping_column, metric
@@ -24,33 +24,38 @@ FLAG_COUNTS = {
 assert set(FLAG_COUNTS) == set(FLAGS)
 
 
+def _received_figures() -> list[Column]:
+    raw = F.coalesce(F.sum("copies"), F.lit(0))
+    return [
+        raw.alias("raw_rows"),
+        F.count("*").alias("distinct_rows"),
+        (raw - F.count("*")).alias("duplicates_removed"),
+        F.count_if(F.col("day").isNull()).alias("unparseable_dates"),
+    ]
+
+
 def row_accounting(performance: DataFrame, fact: DataFrame) -> DataFrame:
     """Rows received, kept and lost; ``performance`` is the counted, dated feed.
 
     Unreadable dates are counted as such, so a join that fans out cannot hide them.
     """
-    return performance.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_rows"),
-        F.count("*").alias("distinct_rows"),
-        F.count_if(F.col("day").isNull()).alias("unparseable_dates"),
-    ).select(
-        "raw_rows",
-        "distinct_rows",
-        fact.agg(F.count("*")).scalar().alias("clean_rows"),
-        (F.col("raw_rows") - F.col("distinct_rows")).alias("duplicates_removed"),
-        "unparseable_dates",
-    )
+    clean = fact.agg(F.count("*")).scalar()
+    return performance.agg(*_received_figures()).withColumn("clean_rows", clean)
 
 
-def flag_counts(fact: DataFrame) -> DataFrame:
-    """Flag counts, span and totals in one pass."""
-    return fact.agg(
+def _fact_figures() -> list[Column]:
+    return [
         *[F.count_if(F.col(flag)).alias(name) for flag, name in FLAG_COUNTS.items()],
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
         F.round(F.coalesce(F.sum("spend_usd"), F.lit(0.0)), 2).alias("total_spend_usd"),
         F.round(F.coalesce(F.sum("revenue_usd"), F.lit(0.0)), 2).alias("total_revenue_usd"),
-    )
+    ]
+
+
+def flag_counts(fact: DataFrame) -> DataFrame:
+    """Flag counts, span and totals in one pass."""
+    return fact.agg(*_fact_figures())
 
 
 def missing_days(df: DataFrame, day: str = "date") -> DataFrame:
@@ -71,11 +76,8 @@ def unrated_rows(fact: DataFrame) -> DataFrame:
 
 def quality_report(curated: Curated) -> DataFrame:
     """The whole report in one row."""
-    counts = flag_counts(curated.fact)
-    names = ["raw_rows", "clean_rows", "duplicates_removed", "unparseable_dates"]
-    rows = row_accounting(curated.performance, curated.fact).agg(
-        F.first(F.struct(*names))
-    ).scalar()
+    counts = curated.fact.agg(F.count("*").alias("clean_rows"), *_fact_figures())
+    received = curated.performance.agg(F.struct(*_received_figures())).scalar()
     # At most one entry per calendar day, so the list is bounded by the span.
     gaps = missing_days(curated.fact).agg(
         F.array_join(F.array_sort(F.collect_list(F.col("date").cast("string"))), ", ").alias("days"),
@@ -83,7 +85,7 @@ def quality_report(curated: Curated) -> DataFrame:
     )
     gap = gaps.agg(F.first(F.struct("days", "n"))).scalar()
     return counts.select(
-        *[rows[n].alias(n) for n in names],
+        *[received[n].alias(n) for n in ("raw_rows", "duplicates_removed", "unparseable_dates")],
         *counts.columns,
         gap["n"].alias("n_missing_days"),
         gap["days"].alias("missing_days"),
