@@ -15,7 +15,10 @@ def _bucket(value: Column) -> Column:
     """A bucket number that never decreases when the value grows."""
     size = F.least(F.abs(value), F.lit(1.7e308))
     step = F.floor(F.log2(size) * STEPS) + LIFT
-    return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0))
+    signed = F.when(value > 0, step).when(value < 0, -step)
+    # Never NULL, so no filter is inferred for one use of the counts and not the
+    # other, and both read the same shuffle.
+    return F.coalesce(signed, F.lit(0))
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
@@ -25,7 +28,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
     ranked; values are ordered inside the few buckets which hold a wanted rank.
     """
     counted = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
         .groupBy(key, value)
         .agg(F.count("*").alias("n"))
         .withColumn("bucket", _bucket(F.col(value)))

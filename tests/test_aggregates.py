@@ -1,0 +1,163 @@
+import datetime as dt
+
+import pytest
+
+from spendlens.functions.metrics import GROUPINGS, METRICS
+from spendlens.operators import aggregates as a
+from spendlens.operators.integrity import parts_sum_to_total, ratio_bounds, result_diff
+from spendlens.operators.periods import Period
+
+from feeds import fact_frame
+
+D = dt.date
+
+
+@pytest.fixture(scope="module")
+def fact(spark):
+    return fact_frame(
+        spark,
+        [
+            {"campaign_id": "A", "channel": "meta", "spend_usd": 10.0, "spend_local": 1000.0,
+             "revenue_usd": 40.0, "revenue_local": 4000.0, "conversions": 0, "date": D(2026, 6, 1)},
+            {"campaign_id": "B", "channel": "meta", "spend_usd": 30.0, "spend_local": 30.0,
+             "revenue_usd": 50.0, "revenue_local": 50.0, "conversions": 3, "date": D(2026, 6, 2),
+             "objective": "traffic"},
+            {"campaign_id": "B", "channel": "linkedin", "spend_usd": 20.0, "spend_local": 20.0,
+             "revenue_usd": None, "revenue_local": None, "conversions": 2, "date": D(2026, 6, 4),
+             "clicks": 500, "is_impossible_funnel": True, "objective": "traffic"},
+            {"campaign_id": "Z", "channel": "unattributed", "spend_usd": 0.0, "spend_local": 0.0,
+             "revenue_usd": 0.0, "revenue_local": 0.0, "is_orphan_campaign": True, "clicks": 0,
+             "impressions": 0, "conversions": 0, "date": D(2026, 6, 4), "is_running": None},
+        ],
+    ).cache()
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_best_group_first(fact):
+    assert rows(a.aggregate(fact, "spend", "channel")) == [
+        ("meta", 40.0), ("linkedin", 20.0), ("unattributed", 0.0)]
+
+
+def test_ratio_is_a_ratio_of_sums_with_its_volume(fact):
+    assert rows(a.aggregate(fact, "roas", "channel")) == [
+        ("meta", 2.25, 40.0, 3), ("linkedin", None, 20.0, 2), ("unattributed", None, 0.0, 0)]
+
+
+def test_zero_denominator_is_null_and_last(fact):
+    got = rows(a.aggregate(fact, "cpa", "campaign"))
+    assert got[0][:2] == ("name B", 10.0)
+    assert {g[0]: g[1] for g in got}["name A"] is None
+    assert [g[1] for g in got][1:] == [None, None]
+
+
+@pytest.mark.parametrize("name", METRICS)
+@pytest.mark.parametrize("group", GROUPINGS)
+def test_every_metric_and_grouping_plans(fact, name, group):
+    out = a.aggregate(fact, name, group)
+    assert METRICS[name].label in out.columns
+    assert len(out.columns) == (group != "none") + 1 + 2 * METRICS[name].is_ratio
+
+
+def test_dates_come_in_order(fact):
+    assert [r[0].day for r in rows(a.aggregate(fact, "spend", "date"))] == [1, 2, 4]
+
+
+def test_impossible_rows_can_be_left_out(fact):
+    kept = dict(r[:2] for r in rows(a.aggregate(fact, "ctr", "channel")))
+    left = dict(r[:2] for r in rows(a.aggregate(fact, "ctr", "channel", exclude_impossible=True)))
+    assert kept["linkedin"] == 5.0 and "linkedin" not in left
+
+
+def test_period_is_applied(fact):
+    assert rows(a.aggregate(fact, "spend", "none", Period(D(2026, 6, 1), D(2026, 6, 2)))) == [(40.0,)]
+
+
+def test_equal_names_merge_unless_by_id(spark):
+    fact = fact_frame(spark, [{"campaign_id": c, "campaign_name": "same"} for c in "AB"])
+    assert a.aggregate(fact, "spend", "campaign").count() == 1
+    assert a.aggregate(fact, "spend", "campaign", by_id=True).count() == 2
+
+
+def test_unknown_names_are_rejected(fact):
+    with pytest.raises(ValueError):
+        a.aggregate(fact, "profit")
+    with pytest.raises(ValueError):
+        a.aggregate(fact, "spend", "country")
+    with pytest.raises(ValueError):
+        a.rank(fact, "spend", "none")
+
+
+@pytest.mark.parametrize("limit, want", [(0, 10), (1, 5), (3, 5), (12, 12), (500, 50)])
+def test_rank_has_a_floor_and_a_cap(spark, limit, want):
+    fact = fact_frame(spark, [{"creative_id": f"K{i:03}", "spend_usd": float(i)} for i in range(80)])
+    got = rows(a.rank(fact, "spend", "creative", limit=limit))
+    assert len(got) == want and got[0] == ("K079", 79.0)
+    assert rows(a.rank(fact, "spend", "creative", limit=limit, ascending=True))[0] == ("K000", 0.0)
+
+
+def test_rank_by_date_ranks_by_the_metric(fact):
+    assert rows(a.rank(fact, "spend", "date"))[0] == (D(2026, 6, 2), 30.0)
+
+
+def test_kpis(fact):
+    k = a.kpis(fact).first().asDict()
+    assert k["total_spend"] == 60.0 and k["total_revenue"] == 90.0 and k["overall_roas"] == 1.5
+    assert (k["campaigns"], k["channels"]) == (3, 3)
+    assert (k["date_from"], k["date_to"]) == (D(2026, 6, 1), D(2026, 6, 4))
+
+
+def test_boards_leave_orphans_out(fact):
+    assert rows(a.campaign_roas(fact)) == [
+        ("name A", "conversions", 4.0, 10.0), ("name B", "traffic", 1.0, 50.0)]
+    assert len(rows(a.campaign_roas(fact, 1))) == 1
+    assert [r[:1] + r[4:] for r in rows(a.scorecard(fact))] == [
+        ("B", 2, 50.0, 50.0, 5, 1.0), ("A", 1, 10.0, 40.0, 0, 4.0)]
+
+
+def test_mixed_currencies_mislead(fact):
+    assert dict(rows(a.fx_impact(fact))) == {"naive": 1050.0, "converted": 60.0}
+    flip = a.rank_flip(fact).collect()
+    winners = {r["method"]: r["campaign_id"] for r in flip if r["position"] == 1}
+    assert winners == {"naive": "A", "converted": "B"}
+    assert all(r["winner_flips"] for r in flip)
+
+
+def test_leader_and_runner_up(fact):
+    assert rows(a.leader(fact, "spend", "channel")) == [(1, "meta", 40.0, 3), (2, "linkedin", 20.0, 3)]
+
+
+def test_shares(fact):
+    assert [r[2] for r in rows(a.share_of_total(fact, "channel"))] == [66.7, 33.3, 0.0]
+    peak = a.share_of_peak(a.aggregate(fact, "spend", "channel"), "spend_usd")
+    assert [r[2] for r in rows(peak)] == [100.0, 50.0, 0.0]
+    nothing = fact.filter("spend_usd = 0")
+    assert rows(a.share_of_total(nothing, "channel")) == [("unattributed", 0.0, None)]
+
+
+def test_tiers(fact):
+    tiers = {r["campaign_name"]: r["tier"] for r in a.roas_tiers(fact).collect()}
+    assert tiers == {"name A": "green", "name B": "orange", "(account)": "green"}
+
+
+def test_parts_sum_to_total(fact):
+    got = parts_sum_to_total(fact).collect()
+    assert len(got) == 5 and all(r["agrees"] and r["parts_total"] == r["total"] == 60.0 for r in got)
+    with pytest.raises(ValueError):
+        parts_sum_to_total(fact, "roas")
+
+
+def test_implausible_ratio_is_marked(spark):
+    fact = fact_frame(spark, [{"campaign_id": "A", "revenue_usd": 51.0}, {"campaign_id": "B", "revenue_usd": 50.0}])
+    assert {r["campaign_name"]: r["plausible"] for r in ratio_bounds(fact).collect()} == {
+        "name A": False, "name B": True}
+
+
+def test_result_diff_counts_duplicates(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "n int, s string")
+    right = spark.createDataFrame([(1, "a"), (3, "c")], "n int, s string")
+    assert sorted(rows(result_diff(left, right))) == [
+        (1, "a", "left_only"), (2, "b", "left_only"), (3, "c", "right_only")]
+    assert result_diff(left, left).count() == 0
