@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import GROUPINGS, METRICS
+from spendlens.functions.numbers import rounded
 from spendlens.functions.text import (
     non_iso_flag, norm_category, norm_code, norm_label, parse_dates, safe_double, safe_long,
 )
@@ -74,7 +75,7 @@ def _safe_casts(w: Workspace) -> DataFrame:
     doubles = ["spend", "revenue"]
     return perf.groupBy("campaign_id").agg(
         *[F.sum(safe_long(c)).alias(c) for c in longs],
-        *[F.round(F.sum(safe_double(c)), 2).alias(c) for c in doubles],
+        *[rounded(F.sum(safe_double(c)), 2).alias(c) for c in doubles],
         *[F.count_if(safe_double(c).isNull()).alias(f"{c}_null") for c in longs + doubles],
     )
 
@@ -105,13 +106,13 @@ def _dedupe_exact(w: Workspace) -> DataFrame:
 def _orphan_rows(w: Workspace) -> DataFrame:
     return w.fact.filter("is_orphan_campaign").select(
         "date", "campaign_id", "creative_id", "campaign_name", "channel", "objective", "currency",
-        F.round("spend_usd", 2).alias("spend_usd"),
+        rounded("spend_usd", 2).alias("spend_usd"),
     )
 
 
 def _currency_resolved(w: Workspace) -> DataFrame:
     return w.fact.groupBy("currency", "currency_tag_mismatch").agg(
-        F.count("*").alias("n_rows"), F.round(F.sum("spend_local"), 2).alias("spend_local")
+        F.count("*").alias("n_rows"), rounded(F.sum("spend_local"), 2).alias("spend_local")
     )
 
 

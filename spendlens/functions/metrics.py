@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendlens.functions.numbers import rounded
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -28,7 +30,7 @@ class Metric:
 
     def rounded(self, value: Column | None = None) -> Column:
         value = self.total() if value is None else value
-        return F.round(value, self.digits)
+        return rounded(value, self.digits)
 
 
 # Output name, summed column, decimals, dividing column.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import grouping_column, metric, metric_expr, roas, roas_tier
+from spendlens.functions.numbers import rounded
 from spendlens.operators.periods import Period, in_period
 
 RANK_DEFAULT, RANK_FLOOR, RANK_CAP = 10, 5, 50
@@ -96,12 +97,12 @@ def kpis(fact: DataFrame) -> DataFrame:
         F.max("date").alias("last_day"),
     )
     return per_campaign.agg(
-        F.round(F.sum("spend_usd"), 2).alias("total_spend"),
-        F.round(F.sum("revenue_usd"), 2).alias("total_revenue"),
+        rounded(F.sum("spend_usd"), 2).alias("total_spend"),
+        rounded(F.sum("revenue_usd"), 2).alias("total_revenue"),
         F.sum("conversions").alias("total_conversions"),
         F.sum("clicks").alias("total_clicks"),
         F.sum("impressions").alias("total_impressions"),
-        F.round(roas(), 2).alias("overall_roas"),
+        rounded(roas(), 2).alias("overall_roas"),
         F.count_distinct("campaign_id").alias("campaigns"),
         F.count_distinct("channel").alias("channels"),
         F.min("first_day").alias("date_from"),
@@ -114,7 +115,7 @@ def campaign_roas(fact: DataFrame, top: int | None = None) -> DataFrame:
     board = (
         fact.filter(~F.col("is_orphan_campaign"))
         .groupBy("campaign_name", "objective")
-        .agg(F.round(roas(), 2).alias("roas"), F.round(F.sum("spend_usd"), 0).alias("spend"))
+        .agg(rounded(roas(), 2).alias("roas"), rounded(F.sum("spend_usd"), 0).alias("spend"))
     )
     order = _ordered(["campaign_name", "objective"], "roas")
     if top is None:
@@ -130,10 +131,10 @@ def scorecard(fact: DataFrame) -> DataFrame:
         .groupBy("campaign_id", "campaign_name", "objective", "is_running")
         .agg(
             F.count_distinct("date").alias("days"),
-            F.round(spend, 0).alias("spend"),
-            F.round(revenue, 0).alias("revenue"),
+            rounded(spend, 0).alias("spend"),
+            rounded(revenue, 0).alias("revenue"),
             F.sum("conversions").alias("conversions"),
-            F.when(spend > 0, F.round(F.try_divide(revenue, spend), 2)).alias("roas"),
+            F.when(spend > 0, rounded(F.try_divide(revenue, spend), 2)).alias("roas"),
         )
         .orderBy(F.col("roas").asc_nulls_last(), "campaign_id")
     )
@@ -143,7 +144,7 @@ def fx_impact(fact: DataFrame) -> DataFrame:
     """Spend summed over mixed currencies against spend converted per day."""
     totals = fact.agg(F.sum("spend_local").alias("naive"), F.sum("spend_usd").alias("converted"))
     return totals.unpivot([], ["naive", "converted"], "method", "total").select(
-        "method", F.round("total", 2).alias("total")
+        "method", rounded("total", 2).alias("total")
     )
 
 
@@ -175,7 +176,7 @@ def rank_flip(fact: DataFrame, period: Period | None = None, places: int = 3) ->
         F.col("position").cast("bigint").alias("position"),
         "campaign_id",
         "campaign_name",
-        F.round("amount", 2).alias("revenue"),
+        rounded("amount", 2).alias("revenue"),
         (F.min(winner).over(whole) != F.max(winner).over(whole)).alias("winner_flips"),
     ).orderBy("method", "position")
 
@@ -205,8 +206,8 @@ def share_of_total(fact: DataFrame, group_by: str = "channel", period: Period |
     whole = sums.agg(F.sum("spend")).scalar()
     return sums.select(
         column,
-        F.round("spend", 2).alias("spend_usd"),
-        F.round(F.try_divide(100 * F.col("spend"), whole), 1).alias("pct"),
+        rounded("spend", 2).alias("spend_usd"),
+        rounded(F.try_divide(100 * F.col("spend"), whole), 1).alias("pct"),
     ).orderBy(F.col("spend_usd").desc_nulls_last(), column)
 
 
@@ -214,13 +215,13 @@ def share_of_peak(df: DataFrame, value: str) -> DataFrame:
     """Adds each row's value as a percentage of the largest one."""
     peak = df.agg(F.max(value)).scalar()
     return df.withColumn(
-        "pct_of_peak", F.round(F.try_divide(100 * F.col(value), peak), 1)
+        "pct_of_peak", rounded(F.try_divide(100 * F.col(value), peak), 1)
     )
 
 
 def roas_tiers(fact: DataFrame) -> DataFrame:
     """The ROAS board with its traffic lights, the whole account's included."""
-    account = fact.agg(F.round(roas(), 2).alias("roas")).select(
+    account = fact.agg(rounded(roas(), 2).alias("roas")).select(
         F.lit("(account)").alias("campaign_name"),
         F.lit("(all)").alias("objective"),
         "roas",

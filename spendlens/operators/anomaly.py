@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import metric
+from spendlens.functions.numbers import median_of, rounded
 from spendlens.operators.periods import Period, anomaly_window, between, data_span, in_period
 
 TRAILING_ROWS = 14
@@ -22,7 +23,7 @@ SUSPECT_SHARE = 0.6
 def _trailing_median(value: Column) -> Column:
     """Median of the 14 reported days before the current one."""
     past = Window.orderBy("date").rowsBetween(-TRAILING_ROWS, -1)
-    return F.percentile(value, F.lit(0.5)).over(past)
+    return median_of(F.collect_list(value).over(past))
 
 
 def anomaly(fact: DataFrame, name: str, period: Period | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def anomaly(fact: DataFrame, name: str, period: Period | None = None) -> DataFra
         m.rounded(F.col("value")).alias(m.label),
         "rows_reported",
         m.rounded(_trailing_median(F.col("value"))).alias("trailing_14d_median"),
-        F.round(_trailing_median(F.col("rows_reported")), 1).alias("median_rows_reported"),
+        rounded(_trailing_median(F.col("rows_reported")), 1).alias("median_rows_reported"),
     ).orderBy("date")
 
 
@@ -84,12 +85,12 @@ def last_day_check(fact: DataFrame, last: dt.date | None = None) -> DataFrame:
         "last_day",
         "n_rows",
         "median_rows",
-        F.round(F.try_divide(100.0 * F.col("n_rows"), F.col("median_rows")), 0).alias(
+        rounded(F.try_divide(100.0 * F.col("n_rows"), F.col("median_rows")), 0).alias(
             "rows_pct_of_median"
         ),
         "conversions",
         "median_conversions",
-        F.round(F.try_divide(100.0 * F.col("conversions"), F.col("median_conversions")), 0).alias(
+        rounded(F.try_divide(100.0 * F.col("conversions"), F.col("median_conversions")), 0).alias(
             "conv_pct_of_median"
         ),
     )
@@ -113,14 +114,14 @@ def last_day_ratios(daily: DataFrame) -> DataFrame:
         .agg(
             F.max("date").alias("last_day"),
             F.max(F.when(F.col("is_last"), F.col("value"))).alias("last_value"),
-            F.median(F.when(~F.col("is_last"), F.col("value"))).alias("median_value"),
+            median_of(F.collect_list(F.when(~F.col("is_last"), F.col("value")))).alias("median_value"),
         )
         .select(
             "measure",
             "last_day",
-            F.round("last_value", 2).alias("last_value"),
-            F.round("median_value", 2).alias("median_value"),
-            F.round(ratio, 4).alias("ratio"),
+            rounded("last_value", 2).alias("last_value"),
+            rounded("median_value", 2).alias("median_value"),
+            rounded(ratio, 4).alias("ratio"),
             F.coalesce(ratio < SUSPECT_SHARE, F.lit(False)).alias("looks_partial"),
         )
     )

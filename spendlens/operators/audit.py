@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendlens.functions.numbers import rounded
 from spendlens.functions.text import (
     DAY_FIRST, ISO, MONTH_FIRST, has_stray_blanks, is_ambiguous_date, is_blank, non_iso_flag,
     parse_dates, safe_double,
@@ -94,7 +95,7 @@ def profile(df: DataFrame, feed: str) -> DataFrame:
         F.lit(feed).alias("feed"),
         "column",
         "nulls",
-        F.round(100 * F.col("nulls") / F.col("rows"), 2).alias("null_pct"),
+        rounded(100 * F.col("nulls") / F.col("rows"), 2).alias("null_pct"),
         "blanks",
         "distinct_values",
         "sample",
@@ -297,7 +298,7 @@ def daily_volume(perf: DataFrame, weight: str | None = None) -> DataFrame:
         F.count("campaign_id").alias("campaigns"),
         F.coalesce(F.sum("impressions"), F.lit(0.0)).cast("bigint").alias("impressions"),
         F.coalesce(F.sum("conversions"), F.lit(0.0)).cast("bigint").alias("conversions"),
-        F.round(F.coalesce(F.sum("spend"), F.lit(0.0)), 2).alias("spend"),
+        rounded(F.coalesce(F.sum("spend"), F.lit(0.0)), 2).alias("spend"),
     )
 
 
@@ -336,7 +337,7 @@ def numeric_summary(perf: DataFrame) -> DataFrame:
     quartiles = exact_quantiles(long, "column", "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     both = basic.join(quartiles, "column")
     figures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    return both.select("column", "n", *[F.round(c, 4).alias(c) for c in figures])
+    return both.select("column", "n", *[rounded(c, 4).alias(c) for c in figures])
 
 
 def non_numeric(perf: DataFrame, examples: int = 5) -> DataFrame:
@@ -624,7 +625,7 @@ def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | No
         _finding(dup_keys(fx, RATE_GRAIN), "duplicate rate keys", "fx_rates", "HIGH",
                  F.col("extra_rows"), "the rate join fans out"),
         _finding(last_day_ratios(volume).filter("looks_partial"), "partial last day",
-                 F.concat(F.lit(name + "."), "measure"), "HIGH", F.col("last_value"),
+                 F.concat(F.lit(name + "."), "measure"), "HIGH", F.lit(1),
                  "last day far below the 14 days before"),
         _finding(total(stray_dates(volume)), "stray dates", name, "HIGH", n,
                  "rows dated far outside the extract"),

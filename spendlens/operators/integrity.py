@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import grouping_column, metric, roas
+from spendlens.functions.numbers import rounded
 from spendlens.operators.anomaly import SUSPECT_SHARE, anomaly
 from spendlens.operators.periods import Period, in_period
 
@@ -35,8 +36,8 @@ def parts_sum_to_total(fact: DataFrame, name: str = "spend", tolerance: float =
     )
     return sums.unpivot("total", BREAKDOWNS, "grouping", "parts").select(
         "grouping",
-        F.round("parts", m.digits).alias("parts_total"),
-        F.round("total", m.digits).alias("total"),
+        rounded("parts", m.digits).alias("parts_total"),
+        rounded("total", m.digits).alias("total"),
         (F.abs(F.col("parts") - F.col("total")) <= tolerance).alias("agrees"),
     )
 
@@ -50,7 +51,7 @@ def ratio_bounds(
     return (
         in_period(fact, period)
         .groupBy(column)
-        .agg(F.round(roas(), 2).alias("roas"))
+        .agg(rounded(roas(), 2).alias("roas"))
         .withColumn("plausible", F.coalesce(F.col("roas").between(low, high), F.lit(True)))
     )
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.numbers import rounded
 from spendlens.operators.rates import first_and_last, span_bounds
 from spendlens.plans.store import MONTH
 
@@ -116,7 +117,7 @@ def period_totals(fact: DataFrame, period: Period) -> DataFrame:
     """The resolved dates beside what the period holds."""
     return (
         in_period(fact, period)
-        .agg(F.count("*").alias("n_rows"), F.round(F.sum("spend_usd"), 2).alias("spend_usd"))
+        .agg(F.count("*").alias("n_rows"), rounded(F.sum("spend_usd"), 2).alias("spend_usd"))
         .select(
             F.lit(period.kind).alias("period_kind"),
             F.lit(period.lo).alias("date_from"),

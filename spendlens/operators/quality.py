@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import grouping_column, metric
+from spendlens.functions.numbers import rounded
 from spendlens.operators.anomaly import SUSPECT_SHARE, last_day_check
 from spendlens.operators.fact import FLAGS, Curated
 from spendlens.operators.periods import Period
@@ -48,8 +49,8 @@ def _fact_figures() -> list[Column]:
         *[F.count_if(F.col(flag)).alias(name) for flag, name in FLAG_COUNTS.items()],
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
-        F.round(F.coalesce(F.sum("spend_usd"), F.lit(0.0)), 2).alias("total_spend_usd"),
-        F.round(F.coalesce(F.sum("revenue_usd"), F.lit(0.0)), 2).alias("total_revenue_usd"),
+        rounded(F.coalesce(F.sum("spend_usd"), F.lit(0.0)), 2).alias("total_spend_usd"),
+        rounded(F.coalesce(F.sum("revenue_usd"), F.lit(0.0)), 2).alias("total_revenue_usd"),
     ]
 
 
@@ -68,7 +69,7 @@ def unrated_rows(fact: DataFrame) -> DataFrame:
     """Rows without an exchange rate, whose money silently adds nothing."""
     return fact.agg(
         F.count_if(F.col("rate_to_usd").isNull()).alias("unrated_rows"),
-        F.round(
+        rounded(
             F.coalesce(F.sum(F.when(F.col("rate_to_usd").isNull(), F.col("spend_local"))), F.lit(0.0)), 2
         ).alias("unrated_spend_local"),
     )
