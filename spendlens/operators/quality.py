@@ -84,7 +84,7 @@ def quality_report(curated: Curated) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.col("date").cast("string"))), ", ").alias("days"),
         F.count("*").alias("n"),
     )
-    gap = gaps.agg(F.first(F.struct("days", "n"))).scalar()
+    gap = gaps.select(F.struct("days", "n")).scalar()
     return counts.select(
         *[received[n].alias(n) for n in ("raw_rows", "duplicates_removed", "unparseable_dates")],
         *counts.columns,
