@@ -71,18 +71,11 @@ def _number(df: DataFrame, name: str) -> Column:
 # Profiles ------------------------------------------------------------------
 
 
-def _prefix(value: Column) -> Column:
-    """The first seven bytes of a text as a number of the same order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-
-
 def profile(df: DataFrame, feed: str) -> DataFrame:
     """Nulls, blanks, exact distinct values and the first value per column.
 
     Columns are unfolded to (column, value) and equal values counted before the
-    shuffle; the counts then answer everything at once. The first value is looked
-    for among those with the lowest prefix only: a minimum over text would sort
-    all distinct values, a minimum over numbers is a plain hash aggregate.
+    shuffle; the counts then answer everything at once.
     """
     values = (
         df.unpivot([], df.columns, "column", "value")
@@ -95,17 +88,10 @@ def profile(df: DataFrame, feed: str) -> DataFrame:
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(is_blank("value"), F.col("n"))), F.lit(0)).alias("blanks"),
         F.count("value").alias("distinct_values"),
-        F.min(_prefix(F.col("value"))).alias("prefix"),
-    )
-    lowest = summed.select("column", "prefix")
-    first = (
-        values.withColumn("prefix", _prefix(F.col("value")))
-        .join(F.broadcast(lowest), ["column", "prefix"], "left_semi")
-        .groupBy("column")
-        .agg(F.substring(F.min("value"), 1, 28).alias("sample"))
+        F.substring(F.min("value"), 1, 28).alias("sample"),
     )
     severity = F.when(F.col("nulls") > 0, F.when(F.col("column").isin(KEY_COLUMNS), "HIGH").otherwise("MEDIUM"))
-    return summed.join(first, "column", "left").select(
+    return summed.select(
         F.lit(feed).alias("feed"),
         "column",
         "nulls",
@@ -370,7 +356,8 @@ def non_numeric(perf: DataFrame, examples: int = 5) -> DataFrame:
         .groupBy("column")
         .agg(F.array_join(F.array_sort(F.collect_list("text")), ", ").alias("examples"))
     )
-    every = perf.unpivot([], NUMERIC, "column", "text").select("column").distinct()
+    names = F.explode(F.array(*[F.lit(c) for c in NUMERIC])).alias("column")
+    every = perf.sparkSession.range(1).select(names)
     return (
         every.join(counted, "column", "left")
         .join(shown, "column", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import grouping_column, metric
@@ -10,7 +10,6 @@ from spendlens.functions.numbers import rounded
 from spendlens.operators.anomaly import SUSPECT_SHARE, last_day_check
 from spendlens.operators.fact import FLAGS, Curated
 from spendlens.operators.periods import Period
-from spendlens.operators.rates import calendar, span_bounds
 
 # Report column of each row flag.
 FLAG_COUNTS = {
@@ -60,9 +59,17 @@ def flag_counts(fact: DataFrame) -> DataFrame:
 
 
 def missing_days(df: DataFrame, day: str = "date") -> DataFrame:
-    """Days of the covered span on which no row falls."""
-    days = df.select(F.col(day).alias("date")).distinct()
-    return calendar(span_bounds(days, day="date"), "date").join(days, "date", "left_anti")
+    """Days of the covered span on which no row falls.
+
+    Each reported day unfolds the gap up to the next one, so the rows are read once;
+    the window runs over one row per calendar day.
+    """
+    days = df.filter(F.col(day).isNotNull()).select(F.col(day).alias("date")).distinct()
+    following = F.lead("date").over(Window.orderBy("date"))
+    gaps = days.withColumn("next", following).filter(F.datediff("next", "date") > 1)
+    return gaps.select(
+        F.explode(F.sequence(F.date_add("date", 1), F.date_sub("next", 1))).alias("date")
+    )
 
 
 def unrated_rows(fact: DataFrame) -> DataFrame:
