@@ -22,10 +22,11 @@ from spendlens.operators.anomaly import last_day_ratios
 from spendlens.operators.quality import missing_days
 from spendlens.plans.quantiles import exact_quantiles
 from spendlens.plans.store import new_folder, written
-from spendlens.sources.feeds import Feeds
+from spendlens.sources.feeds import EXPECTED, Feeds
 
 KEY_COLUMNS = ["date", "campaign_id", "creative_id", "currency", "rate_to_usd"]
 NUMERIC = ["impressions", "clicks", "conversions", "spend", "revenue"]
+DENOMINATORS = ["spend", "impressions", "conversions"]
 PERFORMANCE_GRAIN = ["date", "campaign_id", "creative_id"]
 RATE_GRAIN = ["date", "currency"]
 GRAIN = {
@@ -425,9 +426,8 @@ def impossible_values(perf: DataFrame) -> DataFrame:
 
 def zero_denoms(perf: DataFrame) -> DataFrame:
     """Rows whose own ratios would divide by zero."""
-    names = ["spend", "impressions", "conversions"]
-    counts = perf.agg(*[F.count_if(_number(perf, c) == 0).alias(c) for c in names])
-    return counts.unpivot([], names, "column", "zero_rows")
+    counts = perf.agg(*[F.count_if(_number(perf, c) == 0).alias(c) for c in DENOMINATORS])
+    return counts.unpivot([], DENOMINATORS, "column", "zero_rows")
 
 
 def vocabulary(feeds: Feeds, expected: dict[str, list[str]] | None = None) -> DataFrame:
@@ -543,6 +543,11 @@ def _feed_rules(df: DataFrame, feed: str) -> list[Rule]:
             for c in NUMERIC
         ]
         rules += impossible_rules(df, feed)
+        rules += [
+            Rule("zero denominator", f"{feed}.{c}", "INFO", "a ratio of this row has no value",
+                 _number(df, c) == 0)
+            for c in DENOMINATORS
+        ]
     if feed == "campaigns":
         rules += [
             Rule("reversed window", feed, "HIGH", "ends before it starts",
@@ -573,8 +578,21 @@ def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | No
     """All findings, gravest first.
 
     The performance feed is read once, to count identical rows. Everything else
-    about it weighs the written counts or the small summary made of them.
+    about it weighs the written counts or the small summary made of them. A feed
+    without its documented columns cannot be checked further, so then the missing
+    columns are all that is reported.
     """
+    drift = [
+        _finding(spark.range(1), check, feed, severity, F.lit(len(columns)), ", ".join(columns))
+        for feed, df in feeds.items()
+        for check, severity, columns in (
+            ("missing columns", "BLOCKER", [c for c in EXPECTED[feed] if c not in df.columns]),
+            ("extra columns", "INFO", [c for c in df.columns if c not in EXPECTED[feed]]),
+        )
+        if columns
+    ]
+    if any(c not in df.columns for feed, df in feeds.items() for c in EXPECTED[feed]):
+        return _union(drift)
     folder = folder or f"{new_folder(spark)}/audit"
     name = "ad_performance_daily"
     perf, campaigns = feeds[name], feeds["campaigns"]
@@ -583,7 +601,7 @@ def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | No
         perf.groupBy(*perf.columns).agg(F.count("*").alias("copies")), f"{folder}/copies"
     )
     summary = written(summarise(copies), f"{folder}/summary")
-    parts = [rule_counts(copies, _feed_rules(copies, name), "copies")]
+    parts = drift + [rule_counts(copies, _feed_rules(copies, name), "copies")]
     parts += [rule_counts(df, _feed_rules(df, feed)) for feed, df in feeds.items() if feed != name]
 
     for feed, df in feeds.items():

@@ -196,8 +196,19 @@ def test_rollup_finds_every_planted_defect(spark, feeds):
     assert counts["unexpected values", "campaigns.channel"] == 3
     assert counts["stray blanks", "creatives.format"] == 1
     assert counts["non-numeric", f"{perf}.spend"] == 1
+    assert counts["zero denominator", f"{perf}.conversions"] == 4
     assert ("base rate", "fx_rates.rate_to_usd") not in counts
     order = [a.SEVERITIES.index(r["severity"]) for r in found]
     assert order == sorted(order) and all(r["n_rows"] > 0 for r in found)
     by_severity = {r["severity"]: r["n_findings"] for r in a.severity_counts(a.audit(spark, feeds)).collect()}
     assert sum(by_severity.values()) == len(found)
+
+
+def test_rollup_reports_column_drift(spark, feeds):
+    extra = {**feeds, "campaigns": feeds["campaigns"].selectExpr("*", "'x' as owner")}
+    found = {(r["check"], r["target"]): r for r in a.audit(spark, extra).collect()}
+    assert found["extra columns", "campaigns"]["detail"] == "owner"
+    assert ("duplicate rows", "ad_performance_daily") in found
+    lacking = {**feeds, "fx_rates": feeds["fx_rates"].drop("currency")}
+    only = a.audit(spark, lacking).collect()
+    assert [(r["check"], r["severity"], r["detail"]) for r in only] == [("missing columns", "BLOCKER", "currency")]

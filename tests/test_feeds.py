@@ -1,6 +1,7 @@
 import pytest
 
-from spendlens.operators.fact import curated_fact, write_curated
+from spendlens.operators.aggregates import aggregate
+from spendlens.operators.fact import build_curated, curated_fact, write_curated
 from spendlens.sources.feeds import EXPECTED, feed_counts, feed_inventory, read_feeds
 
 from feeds import literal_feeds
@@ -74,3 +75,15 @@ def test_written_fact_reads_back_the_same(spark, tmp_path):
     assert back.drop("month").exceptAll(fact).count() == 0
     assert fact.exceptAll(back.drop("month")).count() == 0
     assert (tmp_path / "fact" / "month=202606").is_dir()
+
+
+def test_from_csv_files_to_an_answer(spark, tmp_path):
+    literal = literal_feeds(spark)
+    for name, df in literal.items():
+        df.write.option("header", True).option("escape", '"').csv(str(tmp_path / f"{name}.csv"))
+    feeds = read_feeds(spark, str(tmp_path))
+    fact = build_curated(spark, feeds).fact
+    want = curated_fact(literal)
+    assert fact.drop("month").exceptAll(want).count() == 0 and fact.count() == want.count()
+    spend = {r["channel"]: r["spend_usd"] for r in aggregate(fact, "spend", "channel").collect()}
+    assert spend == {"google_search": 79.0, "youtube": 20.0, "unattributed": 3.0, "meta": 1.0}
