@@ -399,9 +399,21 @@ def rule_counts(df: DataFrame, rules: list[Rule], weight: str | None = None) ->
     return counted.select(F.inline(F.array(*tagged)))
 
 
-def impossible_rules(df: DataFrame, target: str = "ad_performance_daily") -> list[Rule]:
-    """The eight combinations no real row can show."""
-    n = {c: _number(df, c) for c in NUMERIC}
+def _parsed(name: str) -> Column:
+    return F.col(f"{name}_number")
+
+
+def with_numbers(perf: DataFrame) -> DataFrame:
+    """Adds each measure as a number, parsed once for however many rules use it."""
+    return perf.withColumns({f"{c}_number": _number(perf, c) for c in NUMERIC})
+
+
+def impossible_rules(target: str = "ad_performance_daily") -> list[Rule]:
+    """The eight combinations no real row can show.
+
+    The rules read the columns of ``with_numbers``.
+    """
+    n = {c: _parsed(c) for c in NUMERIC}
     conditions = {
         "negative spend": n["spend"] < 0,
         "negative revenue": n["revenue"] < 0,
@@ -419,7 +431,7 @@ def impossible_rules(df: DataFrame, target: str = "ad_performance_daily") -> lis
 
 
 def impossible_values(perf: DataFrame) -> DataFrame:
-    return rule_counts(perf, impossible_rules(perf)).select(
+    return rule_counts(with_numbers(perf), impossible_rules()).select(
         F.col("detail").alias("rule"), "severity", "n_rows"
     )
 
@@ -517,15 +529,14 @@ def summarise(copies: DataFrame) -> DataFrame:
     )
 
 
-def _feed_rules(df: DataFrame, feed: str) -> list[Rule]:
+def _feed_rules(feed: str) -> list[Rule]:
     """Everything about one feed that a row shows by itself."""
     rules = [
         Rule(
             "nulls", f"{feed}.{c}", "HIGH" if c in KEY_COLUMNS else "MEDIUM",
             "empty values", F.col(c).isNull(),
         )
-        for c in df.columns
-        if c != "copies"
+        for c in EXPECTED[feed]
     ]
     if feed in DATE_COLUMNS:
         column = DATE_COLUMNS[feed]
@@ -539,13 +550,13 @@ def _feed_rules(df: DataFrame, feed: str) -> list[Rule]:
     if feed == "ad_performance_daily":
         rules += [
             Rule("non-numeric", f"{feed}.{c}", "HIGH", "text in a numeric column",
-                 F.col(c).isNotNull() & safe_double(c).isNull())
+                 F.col(c).isNotNull() & _parsed(c).isNull())
             for c in NUMERIC
         ]
-        rules += impossible_rules(df, feed)
+        rules += impossible_rules(feed)
         rules += [
             Rule("zero denominator", f"{feed}.{c}", "INFO", "a ratio of this row has no value",
-                 _number(df, c) == 0)
+                 _parsed(c) == 0)
             for c in DENOMINATORS
         ]
     if feed == "campaigns":
@@ -601,8 +612,8 @@ def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | No
         perf.groupBy(*perf.columns).agg(F.count("*").alias("copies")), f"{folder}/copies"
     )
     summary = written(summarise(copies), f"{folder}/summary")
-    parts = drift + [rule_counts(copies, _feed_rules(copies, name), "copies")]
-    parts += [rule_counts(df, _feed_rules(df, feed)) for feed, df in feeds.items() if feed != name]
+    parts = drift + [rule_counts(with_numbers(copies), _feed_rules(name), "copies")]
+    parts += [rule_counts(df, _feed_rules(feed)) for feed, df in feeds.items() if feed != name]
 
     for feed, df in feeds.items():
         if feed == name:
