@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import line_dedup, mixing, pii, warc
+from spendlens.llm import line_dedup, mixing, packing, pii, tokens, warc
 from spendlens.llm.common import table
 
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,6 +34,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pii.span_digests(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Pieces with the checksum of their ids, packed; the ids themselves are not shuffled."""
+    pieces = tokens.token_pieces(docs, public_tokenizers.path(VOCABULARY), packing.CAPACITY)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents")).withColumn("length", F.col("length").cast("long"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_pii, op8_line_dedup, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_pii, op3_packing, op8_line_dedup, op10_mixing)}
 
 
 def catalog() -> dict[str, Query]:
