@@ -6,8 +6,8 @@ first filters share also goes into the second, so the merged second filter holds
 every repeated line and a few others. Only lines found in it are shuffled, by a
 128-bit digest, to learn exactly which repeat and which document holds the first.
 
-The filters have ``BITS_PER_ROW`` bits a document, between ``MIN_BITS`` and
-``MAX_BITS``. Beyond some ten million documents they fill up: more lines become
+The filters have ``BITS_PER_ROW`` bits a document within the bounds of
+``spendlens.llm.bloom``. Beyond some ten million documents they fill up: more lines become
 suspects and are shuffled, the result stays the same.
 
 Defined results: a NULL text is one empty line; rows that share a ``doc_id`` are
@@ -18,7 +18,6 @@ input are passed on untouched.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,14 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import by_batch, cut, merged_chunks
+from spendlens.llm.bloom import BloomFilter, filter_bits, merged_filter, packed_chunks
+from spendlens.llm.common import by_batch, cut
 
 MIN_KEY = 10
 BLANKS = " \t\n\x0b\x0c\r"
 BITS_PER_ROW = 256
-MIN_BITS, MAX_BITS = 2**19, 2**28
-PROBES = 4
-CHUNK = 2**16  # bytes of a filter that are merged together
 LAST_ID = 2**63 - 1
 
 
@@ -48,30 +45,6 @@ def line_digests(text: str | None, min_key: int = MIN_KEY) -> list[bytes | None]
     return out
 
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions of 64-bit hashes, one row per probe."""
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)]).astype(np.int64)
-
-
-class BloomFilter:
-    def __init__(self, bits: int, data: bytes | None = None):
-        self.bits = bits
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else np.frombuffer(data, np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        at = probes(hashes, self.bits).ravel()
-        np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = probes(hashes, self.bits)
-        return ((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-
-
-def filter_bits(rows: int, per_row: int = BITS_PER_ROW, most: int = MAX_BITS) -> int:
-    return int(min(most, max(MIN_BITS, 2 ** int(np.ceil(np.log2(max(1, rows * per_row)))))))
-
-
 def _hash64(digests: set[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
 
@@ -86,29 +59,19 @@ def _both_filters(bits: int, min_key: int):
             hashes, counts = np.unique(np.concatenate(seen), return_counts=True)
             again.add(hashes[(counts > 1) | once.has(hashes)])
             once.add(hashes)
-        size = min(CHUNK, bits // 8)
-        for chunk in range(bits // 8 // size):
-            part = slice(chunk * size, (chunk + 1) * size)
-            if once.data[part].any():
-                packed = (zlib.compress(f.data[part].tobytes(), 1) for f in (once, again))
-                yield pd.DataFrame([[chunk, *packed]], columns=["chunk", "once", "again"])
+        yield from packed_chunks(once, again)
 
     return run
 
 
-def _merge(old: list[bytes], new: list[bytes]) -> list[bytes]:
-    (once, again), (more, more_again) = ([np.frombuffer(zlib.decompress(x), np.uint8) for x in y] for y in (old, new))
-    return [zlib.compress((once | more).tobytes(), 1), zlib.compress((again | more_again | (once & more)).tobytes(), 1)]
+def _merge(old: list[np.ndarray], new: list[np.ndarray]) -> list[np.ndarray]:
+    return [old[0] | new[0], old[1] | new[1] | (old[0] & new[0])]
 
 
 def seen_again(docs: DataFrame, bits: int, min_key: int = MIN_KEY) -> BloomFilter:
-    """The merged second filter: at most ``MAX_BITS`` of it come to the driver."""
-    parts = docs.select("text").mapInPandas(_both_filters(bits, min_key), "chunk int, once binary, again binary")
-    size = min(CHUNK, bits // 8)
-    data = bytearray(bits // 8)
-    for row in merged_chunks(parts, _merge, ["once", "again"]).select("chunk", "again").collect():
-        data[row.chunk * size : (row.chunk + 1) * size] = zlib.decompress(row.again)
-    return BloomFilter(bits, bytes(data))
+    """The merged second filter: every line that two rows hold is in it."""
+    parts = docs.select("text").mapInPandas(_both_filters(bits, min_key), "chunk int, f0 binary, f1 binary")
+    return merged_filter(parts, bits, ["f0", "f1"], _merge, "f1")
 
 
 def _suspects(shared, bits: int, min_key: int):
@@ -145,7 +108,7 @@ def _without(min_key: int):
 def repeated_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """For each document that must lose lines, the digests of their keys."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), "text")
-    bits = filter_bits(docs.count())
+    bits = filter_bits(docs.count(), BITS_PER_ROW)
     shared = docs.sparkSession.sparkContext.broadcast(bytes(seen_again(docs, bits, min_key).data))
     suspects = cut(docs.mapInPandas(_suspects(shared, bits, min_key), "key binary, _id long"))
     # Both sides are files, so a key with very many documents is split by adaptive execution.

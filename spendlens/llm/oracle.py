@@ -12,6 +12,27 @@ SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
 FROM d LEFT JOIN f USING (h)
 """
 
+OP7 = """
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
+                          WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                     END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, l.y FROM r JOIN l ON r.seen = l.x)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, min(r.seen) AS component_id,
+       coalesce(any_value(k.class_id), s.doc_id) AS class_id
+FROM s JOIN r ON s.doc_id = r.node
+LEFT JOIN (SELECT list_sort(shingles) AS sorted, min(doc_id) AS class_id FROM s WHERE len(shingles) > 0
+           GROUP BY list_sort(shingles)) k ON k.sorted = list_sort(s.shingles)
+GROUP BY s.doc_id, s.shingles
+"""
+
 OP8 = """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
      l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM s),
@@ -55,7 +76,7 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source
 """
 
-ORACLE: dict[str, str] = {"op1_warc": OP1, "op8_line_dedup": OP8, "op10_mixing": OP10}
+ORACLE: dict[str, str] = {"op1_warc": OP1, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
 
 
 def oracle() -> dict[str, str]:
