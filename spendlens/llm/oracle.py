@@ -12,6 +12,31 @@ SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
 FROM d LEFT JOIN f USING (h)
 """
 
+USABLE = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
+             embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings)
+"""
+
+OP4 = f"""
+WITH RECURSIVE {USABLE},
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.ok AND b.ok AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, l.y FROM r JOIN l ON r.seen = l.x),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON v.vec_id = c.node LEFT JOIN n ON v.vec_id = n.x
+"""
+
+OP5 = f"""
+WITH {USABLE},
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score
+      FROM v a JOIN v b ON a.ok AND b.ok AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5
+"""
+
 OP7 = """
 WITH RECURSIVE
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -76,7 +101,7 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source
 """
 
-ORACLE: dict[str, str] = {"op1_warc": OP1, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
+ORACLE: dict[str, str] = {"op1_warc": OP1, "op4_vector_pairs": OP4, "op5_vector_search": OP5, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
 
 
 def oracle() -> dict[str, str]:
