@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import line_dedup, mixing, packing, pii, shingle_join, tokens, vector_pairs, vector_search, warc
+from spendlens.llm import line_dedup, mixing, packing, pii, shingle_join, tokens, toxicity, vector_pairs, vector_search, warc
 from spendlens.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -62,6 +62,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.toxicity(docs, weights).alias("found")).select("doc_id", "found.*")
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).withColumn(
+        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mix.select(
@@ -75,7 +84,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_pii, op3_packing, op4_vector_pairs, op5_vector_search, op7_ngram_join, op8_line_dedup, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_pii, op3_packing, op4_vector_pairs, op5_vector_search, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_mixing)}
 
 
 def catalog() -> dict[str, Query]:
