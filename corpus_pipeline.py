@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import line_dedup, mixing
+from spendlens.llm import line_dedup, mixing, quality, shingle_join
 from spendlens.llm.common import cut, table
+from spendlens.llm.queries import packed_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from the labels of the documents that are there."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(quality.quality(docs, model)["score"] >= quality.KEEP)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a document that only had such lines is left empty."""
     left = line_dedup.without_repeated_lines(docs)
@@ -20,12 +27,35 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id.
+
+    Equal rows are one document. Rows without an id can't be told apart by it, so
+    none of them is dropped as a copy.
+    """
+    groups = shingle_join.shingle_components(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("line dedup", line_stage), ("mixing sources to target weights", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, copies from the mix included, each at its place in a sequence."""
+    return packed_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", ngram_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
 # A trained classifier and a packing heuristic cannot be stated in SQL.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import line_dedup, mixing, packing, pii, shingle_join, tokens, toxicity, vector_pairs, vector_search, warc
+from spendlens.llm import line_dedup, mixing, packing, pii, quality, shingle_join, tokens, toxicity, vector_pairs, vector_search, warc
 from spendlens.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +52,13 @@ def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.quality(docs, model).alias("found")).select("doc_id", "found.*")
+    return scored.withColumn("keep", F.col("score") >= quality.KEEP)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = shingle_join.shingle_components(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -84,7 +91,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_pii, op3_packing, op4_vector_pairs, op5_vector_search, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_mixing)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_pii, op3_packing, op4_vector_pairs, op5_vector_search,
+        op6_quality, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_mixing,
+    )
+}
 
 
 def catalog() -> dict[str, Query]:
