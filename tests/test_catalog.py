@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
+from spendlens.catalog.oracle import oracle
+from spendlens.catalog.queries import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,10 +20,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(catalog()) == set(oracle())
+    assert set(catalog()) <= set(queries()) and set(oracle()) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(catalog()))
 def test_query_equals_sql(spark, con, key):
     _, _, problem = compare(spark, con, FOLDER, key)
     assert problem is None, problem
