@@ -17,6 +17,7 @@ page with a payload are responses as well.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import by_batch, cut
-from spendlens.plans.joins import spread_left_join
+from spendlens.plans.joins import lookup_join, spread_left_join
 from spendlens.plans.store import new_folder, written
 
 MIN_REVISIT_BYTES = 100
@@ -35,7 +36,10 @@ END = "\r\n\r\n"
 LEVEL = 4
 PIECE = 2**16
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300" + "00" * 8)
-INDEX = "archive string, seq int, record_id string, offset long, length int"
+INDEX = "archive string, seq int, offset long, length int"
+MEMBER_HEAD = 24  # bytes before a member's body, its extra field included
+ENTRY_BYTES = 32
+SMALL_BYTES = 2**25  # what is broadcast at most
 
 
 def _line(name: str, value: Column) -> Column:
@@ -53,6 +57,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
     Only digests and ids are shuffled to find the first page of each payload. A
     payload that very many pages share is spread over tasks when that is joined back.
+    The revisits found are broadcast to the pages while their counted bytes are few.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -60,19 +65,18 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
         F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload"))
-    long_enough = rows.filter(F.col("payload_bytes") >= min_bytes)
+    ids = cut(rows.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "digest"))
     firsts = (
-        long_enough.groupBy("digest")
+        ids.groupBy("digest")
         .agg(F.min("page_id").alias("_first"), F.max("page_id").alias("_last"))
         .filter("_first < _last")
         .select("digest", "_first")
     )
-    ids = long_enough.select("page_id", "digest")
-    revisits = spread_left_join(ids, cut(firsts), ["digest"]).filter("page_id > _first").select("page_id", "digest", "_first")
+    revisits = spread_left_join(ids, cut(firsts), ["digest"]).filter("page_id > _first")
     # Rows that repeat a page are one revisit each, but only one row of the lookup.
-    revisits = revisits.groupBy("page_id", "digest").agg(F.first("_first").alias("refers_to"))
+    revisits = cut(revisits.groupBy("page_id", "digest").agg(F.first("_first").alias("refers_to")))
     revisit = F.col("refers_to").isNotNull()
-    return rows.join(revisits, ["page_id", "digest"], "left").withColumn(
+    return lookup_join(rows, revisits, ["page_id", "digest"], SMALL_BYTES).withColumn(
         "record_type", F.when(revisit, "revisit").otherwise("response")
     )
 
@@ -162,26 +166,38 @@ def parse_record(record: bytes) -> Record:
 
 
 def member(record: bytes) -> bytes:
-    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return pack.compress(record) + pack.flush()
+    """A gzip member that states its own length and that of its content in an extra field named ``sl``."""
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    body = pack.compress(record) + pack.flush()
+    sizes = struct.pack("<II", MEMBER_HEAD + len(body) + 8, len(record))
+    head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sH", 4 + len(sizes), b"sl", len(sizes)) + sizes
+    return head + body + struct.pack("<II", zlib.crc32(record), len(record))
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "seq", "record_id", "offset", "length", "member"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             # Two archives of one folder differ in the last part of their path.
-            archive, offset, rows = path.rsplit("/", 1)[-1], 0, []
+            archive, rows = path.rsplit("/", 1)[-1], []
             for seq, record in enumerate(split_records(bytes(content))):
-                packed = member(record)
-                name = parse_header(record.partition(b"\r\n\r\n")[0]).get("warc-record-id")
-                rows.append((archive, seq, name, offset, len(packed), packed))
-                offset += len(packed) + len(EMPTY_MEMBER)
+                rows.append((archive, seq, member(record)))
                 if len(rows) == 256:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame(rows, columns=["archive", "seq", "member"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=["archive", "seq", "member"])
+
+
+def _entries(batch: pd.DataFrame) -> pd.DataFrame:
+    """Offsets and lengths of the members of whole files, from one stated length to the next."""
+    rows = []
+    for archive, content in zip(batch["archive"], batch["content"], strict=True):
+        at, seq = 0, 0
+        while at < len(content):
+            (length,) = struct.unpack_from("<I", content, at + 16)
+            rows.append((archive, seq, at, length))
+            at, seq = at + length + len(EMPTY_MEMBER), seq + 1
+    return pd.DataFrame(rows, columns=["archive", "seq", "offset", "length"])
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -189,19 +205,23 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.load(path).select("path", "content")
 
 
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return _files(spark, path, "*.txt").withColumn("archive", F.regexp_extract("path", "archive=([^/]+)/", 1))
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite every archive of ``source`` below ``target`` and return the index, which is written beside them.
 
-    A file of ``source`` becomes the one file in ``target/archive=<its name>``. The
-    members are kept for the moment as a table, from which both are written.
+    A file of ``source`` becomes the one file in ``target/archive=<its name>``, made by
+    the task that inflates it. As members state their lengths, the index is then read
+    off the new files without inflating anything again.
     """
-    members = written(_files(spark, source, "*.gz").mapInPandas(_members, f"{INDEX}, member binary"), f"{target}.members")
-    text = members.select("archive", "seq", F.col("member").cast("string").alias("value"))
-    # Rows of one archive come from one task and are written in order by it.
-    ordered = text.repartition("archive").sortWithinPartitions("archive", "seq").drop("seq")
+    members = _files(spark, source, "*.gz").mapInPandas(_members, "archive string, seq int, member binary")
+    ordered = members.sortWithinPartitions("archive", "seq").select("archive", F.col("member").cast("string").alias("value"))
     options = {"lineSep": EMPTY_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1"}
     ordered.write.partitionBy("archive").options(**options).text(target)
-    return written(members.drop("member"), f"{target}.index")
+    index = _archives(spark, target).select("archive", "content").mapInPandas(by_batch(_entries), INDEX)
+    return written(index, f"{target}.index")
 
 
 def _read_members(batch: pd.DataFrame) -> pd.DataFrame:
@@ -219,14 +239,15 @@ def _read_members(batch: pd.DataFrame) -> pd.DataFrame:
 
 def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """Records of normalised archives, each inflated alone at the place that the index gives."""
-    files = _files(spark, path, "*.txt").withColumn("archive", F.regexp_extract("path", "archive=([^/]+)/", 1))
     # An archive has a bounded number of records, so its entries fit in one row.
     entries = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("entries"))
+    if index.count() * ENTRY_BYTES <= SMALL_BYTES:
+        entries = F.broadcast(entries)
     schema = (
         "warc_record_id string, warc_type string, warc_refers_to string, warc_target_uri string, "
         "warc_payload_digest string, payload_length long, payload binary"
     )
-    return files.join(entries, "archive").select("content", "entries").mapInPandas(by_batch(_read_members), schema)
+    return _archives(spark, path).join(entries, "archive").select("content", "entries").mapInPandas(by_batch(_read_members), schema)
 
 
 def page_ids(record_id: Column) -> Column:
