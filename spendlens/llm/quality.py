@@ -211,6 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     rows = fitting_sample(docs.select("doc_id", "text", "lang", "source"), labels_of(labels, F.col("quality")), labelled, unlabelled)
     ordered = rows.repartition(1).sortWithinPartitions("doc_id")
     row = ordered.mapInPandas(_fitted, ", ".join(f"{f} binary" for f in FIELDS)).first()
+    if row is None:  # no rows, so no task either
+        return co_train(np.zeros((0, SHAPES + 2)), np.zeros((0, LAYOUT + NAMES + 1)), np.zeros(0))
     return Model(*(np.frombuffer(row[f]) for f in FIELDS))
 
 

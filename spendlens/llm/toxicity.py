@@ -150,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     rows = fitting_sample(docs.select("doc_id", "text"), known, sample)
     ordered = rows.select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id")
     model = ordered.mapInPandas(_fitted, "weights binary").first()
+    if model is None:  # no rows, so no task either
+        return fit([], np.zeros(0))
     return np.frombuffer(model.weights, np.float32).astype(np.float64)
 
 

@@ -1,0 +1,145 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spendlens.llm import vector_pairs, vector_search
+from spendlens.llm.vectors import unit
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def usable(v):
+    return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(x != 0 for x in v)
+
+
+def cosine(a, b):
+    a, b = np.asarray(a, np.float32).astype(float), np.asarray(b, np.float32).astype(float)
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    return float(a @ b / math.sqrt((a @ a) * (b @ b)))
+
+
+def brute_pairs(rows, threshold=0.95):
+    n = len(rows)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [0] * n
+    for i in range(n):
+        for j in range(n):
+            a, b = rows[i][1], rows[j][1]
+            if i != j and usable(a) and usable(b) and len(a) == len(b) and cosine(a, b) >= threshold:
+                links[i] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), []).append(rows[i][0])
+    low = {k: min((x for x in v if x is not None), default=None) for k, v in groups.items()}
+    return sorted(((rows[i][0], links[i], low[find(i)]) for i in range(n)), key=str)
+
+
+def odd_vectors(seed=0, n=60, d=8):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        v = rng.normal(size=d)
+        rows.append((i * 10, v.tolist()))
+        for k in range(int(rng.integers(0, 3))):
+            rows.append((i * 10 + k + 1, (v + rng.normal(size=d) * rng.choice([0, 0.01, 0.1, 0.3])).tolist()))
+    rows += [(1000, None), (1001, [0.0] * d), (1002, [float("nan")] * d), (1003, [None] + [1.0] * (d - 1)), (1004, []),
+             (1005, [float("inf")] + [1.0] * (d - 1)), (1006, [1e-30] * d), (1007, [1e30] * d), (1008, [1.0, 2.0]), (1009, [2.0, 4.0]),
+             (0, rows[0][1]), (None, rows[0][1]), (1010, [-0.0] + [1.0] * (d - 1)), (1011, [0.0] + [1.0] * (d - 1))]
+    return rows
+
+
+def frame(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    if extra:
+        for name in ("node", "vector", "block", "rank", "score", "width", "q", "g", "is_query", "links"):
+            df = df.withColumn(name, F.lit(1))
+    return df
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_pairs_are_those_of_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(vector_pairs, "BLOCK", 16)
+    rows = odd_vectors(seed)
+    got = vector_pairs.near_vectors(frame(spark, rows, extra=True)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_pairs(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=16)
+    rows = [(i, (v + rng.normal(size=16) * 0.05).tolist()) for i in range(400)] + [(i, v.tolist()) for i in range(400, 600)]
+    got = vector_pairs.near_vectors(frame(spark, rows)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_pairs(rows)
+
+
+def test_the_walk_prunes_and_takes_whole_nodes():
+    rng = np.random.default_rng(4)
+    centres = unit(rng.normal(size=(6, 32)))
+    rows = unit(np.repeat(centres, 50, axis=0) + rng.normal(size=(300, 32)) * 0.01)
+    tree = vector_pairs.cover_tree(rows)
+    assert sorted(tree.order.tolist()) == list(range(300))
+    for i, kids in enumerate(tree.kids):
+        own = tree.order[tree.start[i] : tree.end[i]]
+        assert np.linalg.norm(rows[own] - rows[tree.centre[i]], axis=1).max() <= tree.radius[i] + 1e-12
+        if kids:
+            assert sorted(x for k in kids for x in tree.order[tree.start[k] : tree.end[k]]) == sorted(own)
+    steps = list(vector_pairs.walk(rows, tree, rows, tree))
+    assert sum(len(x) * len(y) if whole else len(x) for x, y, whole in steps) == 6 * 50 * 50
+    assert sum(whole for *_, whole in steps) > 0 and len(steps) < 300
+
+
+def test_single_and_no_vectors(spark):
+    assert [tuple(r) for r in vector_pairs.near_vectors(frame(spark, [(7, [1.0, 2.0])])).collect()] == [(7, 0, 7, True)]
+    assert vector_pairs.near_vectors(frame(spark, [])).collect() == []
+    assert [tuple(r) for r in vector_pairs.near_vectors(frame(spark, [(7, None)])).collect()] == [(7, 0, 7, True)]
+
+
+def brute_nearest(rows, k):
+    out = []
+    for i, a in rows:
+        if i is None or i % 50 or not usable(a):
+            continue
+        found = [(cosine(a, b), j) for j, b in rows if j is not None and j != i and usable(b) and len(a) == len(b)]
+        found.sort(key=lambda x: (-round(x[0], 12), x[1]))
+        out.append((i, [(j, round(s, 9)) for s, j in found[:k]]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_search_is_that_of_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 16)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector_search, "BLOCKS_PER_TASK", 2)
+    rows = [r for r in odd_vectors(seed, 80) if r[0] != 0]
+    rows += [(2000 + i, rows[0][1]) for i in range(40)] + [(3000, rows[0][1])]
+    got = {}
+    for r in sorted(vector_search.nearest(frame(spark, rows, extra=True), F.col("vec_id") % 50 == 0).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert got == {i: found for i, found in brute_nearest(rows, 5) if found}
+
+
+def test_few_candidates_and_none(spark):
+    every = F.lit(True)
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None)]
+    got = vector_search.nearest(frame(spark, rows), every).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (1, 1, 0)]
+    assert vector_search.nearest(frame(spark, []), every).collect() == []
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(6)
+    rows = unit(rng.normal(size=(200, 24)))
+    codes, scale, error = vector_search.quantised(rows)
+    near = (codes.astype(int) @ codes.astype(int).T) * np.outer(scale, scale)
+    slack = error[:, None] + (1 + error[:, None]) * error[None, :]
+    assert (np.abs(rows @ rows.T - near) <= slack + 1e-12).all() and slack.max() < 0.05
