@@ -6,7 +6,8 @@ first ``n - ceil(t n) + 1`` of each, in an order of columns that all rows share.
 only those columns enter the product. The order puts frequent columns last: how
 frequent a column is comes from a sketch of bounded size over all documents, and any
 order gives the same links. Within a column, sizes and positions bound the overlap a
-pair can still reach; pairs below the bound are dropped before their sets are read.
+pair can still reach, and parities of the two sets bound their difference from below;
+pairs below the bounds are dropped before their sets are read.
 
 Of a column with many rows not every pair is compared. Each row is first compared
 with one pivot of its column and size band; rows that link are one component from
@@ -25,7 +26,8 @@ rows that repeat a ``doc_id`` are independent rows that may link; a row without
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,23 +50,61 @@ PAIRS_PER_ROW = 4  # pairs within columns that may be left per entry before furt
 NUM, DEN = 4, 5
 
 
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * FACTOR
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def shingle_sets(texts: Iterable[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
     # Bytes are split at the six blanks meant here, and lower() changes A to Z only.
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
-    width = min(words, len(parts))
-    total = np.full(len(parts) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = _mixed(total + hashes[i : i + len(total)])
-    return np.unique(total)
+    parts = [(t or "").encode().lower().split() for t in texts]
+    counts = [len(p) for p in parts]
+    flat = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(parts)), np.uint64, sum(counts))
+    totals = {}
+    for width in {min(words, n) for n in counts if n}:
+        total = np.full(max(0, len(flat) - width + 1), width, np.uint64)
+        for i in range(width):
+            total = total * FACTOR + flat[i : i + len(total)]
+        totals[width] = _mixed(total)
+    out, at = [], 0
+    for n in counts:
+        width = min(words, n)
+        out.append(np.unique(totals[width][at : at + n - width + 1]) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    return shingle_sets([text], words)[0]
+
+
+def _in_parts(texts: pd.Series, words: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), 200):
+        yield from shingle_sets(texts.iloc[at : at + 200], words)
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes, set when an odd number has it; about one bit per shingle.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    bits = max(64, 1 << int(len(hashes)).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound for the number of shingles that only one of two sets has, from their parities."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -83,8 +123,7 @@ def _sets_and_sketch(words: int):
         sketch = np.zeros(2**SKETCH_BITS, np.int64)
         for batch in batches:
             rows, held = [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = shingle_set(text, words)
+            for doc_id, own in zip(batch["doc_id"], _in_parts(batch["text"], words), strict=True):
                 held.append(own)
                 rows.append((doc_id, len(own), set_id(own) if len(own) else None, None, None))
             if held:
@@ -120,37 +159,37 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 def _prefixes(shared, words: int):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         sketch, rows = shared.value, []
-        for text in batch["text"]:
-            own = shingle_set(text, words)
+        for own in _in_parts(batch["text"], words):
             if len(own):
                 count = sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = own[np.argsort(count, kind="stable")[: prefix_length(len(own))]]
-                rows.append((set_id(own), len(own), first.view(np.int64)))
-        return pd.DataFrame(rows, columns=["node", "n", "columns"])
+                rows.append((set_id(own), len(own), first.view(np.int64), parities(own)))
+        return pd.DataFrame(rows, columns=["node", "n", "columns", "parity"])
 
     return by_batch(run)
 
 
 def _sets_of(shared, words: int):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text in batch["text"]:
-            own = shingle_set(text, words)
-            if len(own):
-                rows.append((set_id(own), own.tobytes()))
+        rows = [(set_id(own), own.tobytes()) for own in _in_parts(batch["text"], words) if len(own)]
         found = pd.DataFrame(rows, columns=["node", "hashes"])
         return found[shared.value.has(found["node"].to_numpy(np.int64).view(np.uint64))].drop_duplicates("node")
 
     return by_batch(run)
 
 
-
-
 def reaches(n_a: Column, n_b: Column) -> Column:
     """Sizes near enough for a link."""
     return (F.least(n_a, n_b) * DEN) >= (F.greatest(n_a, n_b) * NUM)
 
 
+def _possible(batch: pd.DataFrame) -> pd.DataFrame:
+    """Pairs whose parities leave room for a link: a link allows (n_a + n_b) / 9 shingles of only one set."""
+    rows = zip(batch["n_a"], batch["n_b"], batch["parity_a"], batch["parity_b"], strict=True)
+    keep = [(NUM + DEN) * least_difference(x, y) <= (DEN - NUM) * (n + m) for n, m, x, y in rows]
+    return batch.loc[keep, ["a", "b"]]
+
+
 def _linked(batch: pd.DataFrame) -> pd.DataFrame:
     """Exact overlap of whole sets."""
     keep = []
@@ -161,12 +200,42 @@ def _linked(batch: pd.DataFrame) -> pd.DataFrame:
     return batch.loc[keep, ["a", "b"]]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that link."""
-    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b"))
-    rows = pairs.select("a", "b").join(first, "a").join(second, "b")
-    return rows.select("a", "b", "hashes_a", "hashes_b").mapInPandas(by_batch(_linked), "a long, b long")
+def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs ``a, b`` with the columns that a table keyed by ``node`` has for either."""
+    for side in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+
+
+class Verifier:
+    """Decides pairs of classes: by the parities first, and what they leave open by whole sets.
+
+    Sets are made anew from the texts, only for the classes that are still in question.
+    """
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, words: int):
+        self.texts, self.classes, self.words = texts, classes, words
+        self.sets: DataFrame | None = None
+
+    def _fetch(self, pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets, "node", "left_anti")
+        nodes = cut(nodes)
+        count = nodes.count()
+        if count or self.sets is None:
+            held = self.texts.sparkSession.sparkContext.broadcast(filter_of(nodes, "node", count))
+            found = self.texts.mapInPandas(_sets_of(held, self.words), "node long, hashes binary")
+            found = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+            self.sets = cut(found) if self.sets is None else self.sets.union(cut(found))
+        return self.sets
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``a, b`` that link."""
+        near = _with_both(pairs, self.classes, ["n", "parity"]).mapInPandas(by_batch(_possible), "a long, b long")
+        near = cut(near)
+        rows = _with_both(near, self._fetch(near), ["hashes"])
+        return cut(rows.mapInPandas(by_batch(_linked), "a long, b long"))
 
 
 def _open_entries(live: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -210,19 +279,17 @@ def _cross_pairs(entries: DataFrame) -> DataFrame:
     return rows.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
+def _links(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
     """Links between classes that join all classes of a component."""
     context = docs.sparkSession.sparkContext
-    prefixes = docs.mapInPandas(_prefixes(context.broadcast(sketch), words), "node long, n long, columns array<long>")
-    classes = cut(prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("columns").alias("columns")))
+    schema = "node long, n long, columns array<long>, parity binary"
+    prefixes = docs.mapInPandas(_prefixes(context.broadcast(sketch), words), schema)
+    classes = cut(prefixes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "columns", "parity")]))
     entries = classes.select("node", "n", F.posexplode("columns").alias("pos", "column"))
     shared = cut(entries.groupBy("column").agg(F.count("*").alias("c")).filter("c > 1").select("column"))
     live = cut(entries.join(shared, "column"))
-    nodes = cut(live.select("node").distinct())
-    held = context.broadcast(filter_of(nodes, "node", nodes.count()))
-    sets = docs.mapInPandas(_sets_of(held, words), "node long, hashes binary").join(nodes, "node", "left_semi")
-    sets = cut(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
+    verifier = Verifier(docs, classes.select("node", "n", "parity"), words)
     edges: DataFrame | None = None
     for turn in range(PIVOT_ROUNDS):
         left = _open_entries(live, edges)
@@ -230,11 +297,11 @@ def _links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, words: int) ->
         totals = per_column.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
         if not totals[0] or (turn and totals[1] <= PAIRS_PER_ROW * totals[0]):
             break
-        found = cut(_verified(_pivot_pairs(left, turn), sets))
+        found = verifier.linked(_pivot_pairs(left, turn))
         edges = found if edges is None else edges.union(found)
     else:
         left = _open_entries(live, edges)
-    found = cut(_verified(cut(_cross_pairs(left)), sets))
+    found = verifier.linked(_cross_pairs(left))
     return found if edges is None else edges.union(found)
 
 
@@ -250,7 +317,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = first.filter("chunk is null").select("doc_id", "n_shingles", "node")
     sketch = _sketch(first.filter("chunk is not null").select("chunk", "f0"))
     texts = docs.select("text")
-    roots = components(_links(texts, rows, sketch, words))
+    roots = components(_links(texts, sketch, words))
     classes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = cut(classes)
