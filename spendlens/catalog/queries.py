@@ -18,8 +18,8 @@ from spendlens.operators import aggregates, anomaly, audit, clean, integrity, pa
 from spendlens.operators.fact import FACT_COLUMNS, Curated, build_curated
 from spendlens.operators.periods import Period, data_span, period_totals, resolve
 from spendlens.plans.store import new_folder, written
-from spendlens.sources.feeds import Feeds, feed_counts, feed_inventory
-from spendlens.sources.samples import sample_feeds
+from spendlens.sources.feeds import Feeds, feed_counts, feed_inventory, malformed_rows, read_feeds
+from spendlens.sources.samples import flawed_feeds, sample_feeds, write_as_csv
 
 PERF = "ad_performance_daily"
 # Rank and pause windows in which the sample feeds split into every class.
@@ -30,16 +30,33 @@ PAUSE = ("last_n_days", 120)
 class Workspace:
     """Feeds and written tables of one data folder in one session."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, make: Callable[[SparkSession, str], Feeds] = sample_feeds):
+        self.spark, self.folder, self.make = spark, folder, make
         self.target = new_folder(spark)
 
+    @cached_property
+    def flawed(self) -> Workspace:
+        """The same for the feeds with the graver defects."""
+        return Workspace(self.spark, self.folder, flawed_feeds)
+
+    @cached_property
+    def delivered(self) -> Feeds:
+        """The sample feeds written as CSV files and read back by name."""
+        write_as_csv(self.feeds, f"{self.target}/csv")
+        return read_feeds(self.spark, f"{self.target}/csv")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """The audit, with the row counts that the cleaning layer has written."""
+        found = audit.audit(self.spark, self.feeds, folder=f"{self.target}/audit", copies=self.curated.performance)
+        return written(found, f"{self.target}/findings")
+
     @cached_property
     def feeds(self) -> Feeds:
         """The sample feeds as files, the state in which a real feed arrives."""
         return {
             name: written(df.hint("rebalance"), f"{self.target}/raw/{name}")
-            for name, df in sample_feeds(self.spark, self.folder).items()
+            for name, df in self.make(self.spark, self.folder).items()
         }
 
     @cached_property
@@ -130,9 +147,9 @@ def _relevant_caveats(w: Workspace) -> DataFrame:
     )
 
 
-def _per_feed(w: Workspace, check: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _per_feed(w: Workspace, check: Callable[[DataFrame, str], DataFrame], feeds: Feeds | None = None) -> DataFrame:
     out = None
-    for name, df in w.feeds.items():
+    for name, df in (w.feeds if feeds is None else feeds).items():
         part = check(df, name)
         out = part if out is None else out.unionByName(part)
     return out
@@ -153,6 +170,20 @@ def _result_diff(w: Workspace) -> DataFrame:
     return integrity.result_diff(raw, kept)
 
 
+def _malformed(w: Workspace) -> DataFrame:
+    return _per_feed(w, lambda df, name: df.agg(
+        F.count("*").alias("n_rows"), malformed_rows(df).alias("malformed_rows"), F.count_distinct(df.columns[0]).alias("keys"),
+    ).select(F.lit(name).alias("feed"), "*"), w.delivered)
+
+
+def _without(w: Workspace, feed: str, column: str | None = None) -> DataFrame:
+    """The audit of an incomplete delivery."""
+    feeds = {k: v for k, v in w.feeds.items() if k != feed}
+    if column:
+        feeds[feed] = w.feeds[feed].drop(column)
+    return audit.audit(w.spark, feeds, copies=w.curated.performance)
+
+
 def _volume(w: Workspace) -> DataFrame:
     return audit.daily_volume(w.feeds[PERF])
 
@@ -162,7 +193,9 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
     q: dict[str, Callable[[Workspace], DataFrame]] = {
         # Sources
         "feed_counts": lambda w: feed_counts(w.feeds),
-        "feed_inventory": lambda w: feed_inventory(w.feeds),
+        "feed_inventory": lambda w: feed_inventory(w.flawed.feeds),
+        "csv_feed_counts": lambda w: feed_counts({k: v for k, v in w.delivered.items() if k != "fx_rates"}),
+        "csv_malformed": _malformed,
         # Cleaning
         "clean_campaigns": lambda w: clean.clean_campaigns(w.feeds["campaigns"]),
         "norm_categories": _categories,
@@ -188,8 +221,8 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "currency_mismatch": lambda w: audit.attr_mismatch(
             perf(w), w.feeds["campaigns"], "campaign_id", "currency"
         ),
-        "unrated_rows": lambda w: quality.unrated_rows(w.fact),
-        "conflicting_rates": lambda w: rates.conflicting_keys(w.curated.rates),
+        "unrated_rows": lambda w: quality.unrated_rows(w.flawed.fact),
+        "conflicting_rates": lambda w: rates.conflicting_keys(w.flawed.curated.rates),
         # Periods
         "period_clamped": lambda w: period_totals(
             w.fact,
@@ -210,8 +243,9 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "daily_volume": _volume,
         # Rankings
         "rank_revenue_by_campaign": lambda w: aggregates.rank(
-            w.fact, "revenue", "campaign", w.period(*QUARTER), 3
+            w.fact, "revenue", "campaign", w.period(*QUARTER), aggregates.ranking_size(3)[0]
         ),
+        "rank_limit_100": lambda w: aggregates.rank(w.fact, "impressions", "creative", limit=100),
         "rank_spend_by_date": lambda w: aggregates.rank(w.fact, "spend", "date"),
         "rank_worst_cpc_by_creative": lambda w: aggregates.rank(
             w.fact, "cpc", "creative", limit=20, ascending=True
@@ -227,6 +261,7 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "partial_day_flags": _partial_day_flags,
         "last_day_check": lambda w: anomaly.last_day_check(w.fact, w.span[1]),
         "last_day_ratios": lambda w: anomaly.last_day_ratios(_volume(w)),
+        "anomaly_most_recent_day": lambda w: anomaly.anomaly(w.fact, "conversions", w.period("most_recent_day")),
         # Pause decision
         "pause_scorecard": lambda w: pause.pause_scorecard(w.fact, w.period(*PAUSE)),
         "pause_scorecard_all_time": lambda w: pause.pause_scorecard(w.fact, min_conv=600),
@@ -249,19 +284,29 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "date_offenders": lambda w: audit.date_offenders(perf(w), "date"),
         "ambiguous_dates": lambda w: audit.ambiguous_dates(perf(w), "date"),
         "currency_mix": lambda w: audit.value_counts(perf(w), "currency"),
-        "base_rate_check": lambda w: audit.base_rate_check(w.feeds["fx_rates"]),
+        "base_rate_check": lambda w: audit.base_rate_check(w.flawed.feeds["fx_rates"]),
         "fx_dup_keys": lambda w: audit.dup_keys(w.feeds["fx_rates"], audit.RATE_GRAIN),
-        "stray_dates": lambda w: audit.stray_dates(_volume(w)),
+        "stray_dates": lambda w: audit.stray_dates(_volume(w.flawed)),
         "audit_missing_days": lambda w: audit.audit_missing_days(_volume(w)),
         "numeric_summary": lambda w: audit.numeric_summary(perf(w)),
-        "non_numeric": lambda w: audit.non_numeric(perf(w)),
+        "non_numeric": lambda w: audit.non_numeric(perf(w.flawed)),
         "impossible_values": lambda w: audit.impossible_values(perf(w)),
         "zero_denoms": lambda w: audit.zero_denoms(perf(w)),
         "vocabulary": lambda w: audit.vocabulary(w.feeds),
         "campaign_windows": lambda w: audit.window_check(perf(w), w.feeds["campaigns"]),
         "budget_check": lambda w: audit.budget_check(w.feeds["campaigns"]),
-        "audit_findings": lambda w: audit.audit(w.spark, w.feeds),
-        "audit_severities": lambda w: audit.severity_counts(audit.audit(w.spark, w.feeds)),
+        "audit_findings": lambda w: audit.audit(w.spark, w.feeds, copies=w.curated.performance),
+        "audit_severities": lambda w: audit.severity_counts(w.findings),
+        "audit_missing_feed": lambda w: _without(w, "creatives"),
+        "audit_missing_column": lambda w: _without(w, "creatives", "headline"),
+        # The feeds with the graver defects
+        "flawed_safe_casts": lambda w: _safe_casts(w.flawed),
+        "flawed_row_accounting": lambda w: quality.row_accounting(w.flawed.curated.performance, w.flawed.fact),
+        "flawed_flag_counts": lambda w: quality.flag_counts(w.flawed.fact),
+        "flawed_date_offenders": lambda w: audit.date_offenders(perf(w.flawed), "date"),
+        "flawed_impossible_values": lambda w: audit.impossible_values(perf(w.flawed)),
+        "flawed_campaign_windows": lambda w: audit.window_check(perf(w.flawed), w.flawed.feeds["campaigns"]),
+        "flawed_audit_missing_days": lambda w: audit.audit_missing_days(_volume(w.flawed)),
         # Integrity
         "parts_sum_to_total": lambda w: integrity.parts_sum_to_total(w.fact),
         "ratio_bounds": lambda w: integrity.ratio_bounds(w.fact, "creative"),

@@ -41,12 +41,14 @@ def norm_code(c: Column | str) -> Column:
 def safe_double(c: Column | str) -> Column:
     """Text to DOUBLE, NULL when it is not a number.
 
-    Java accepts a type suffix ("12d"), which no data feed means as a number.
+    Java accepts a type suffix ("12d"), which no data feed means as a number. Text
+    for "not a number" or an infinity is none either: one such cell would turn every
+    sum over it into the same, so it counts as unreadable.
     """
     raw = _col(c)
     tail = F.right(F.trim(raw), F.lit(1))
-    suffixed = tail.isin("d", "D", "f", "F") & ~F.lower(raw).contains("inf")
-    return F.when(~suffixed, raw).try_cast("double")
+    number = F.when(~tail.isin("d", "D", "f", "F"), raw).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def safe_long(c: Column | str) -> Column:

@@ -65,6 +65,14 @@ def aggregate(
     return out.orderBy(*_ordered(keys, metric(name).label))
 
 
+def ranking_size(asked: int, floor: int = RANK_FLOOR, cap: int = RANK_CAP) -> tuple[int, str | None]:
+    """A readable number of rows for a ranking, and a warning when it is not the one asked for."""
+    rows = RANK_DEFAULT if asked <= 0 else min(max(asked, floor), cap)
+    if asked <= 0 or rows == asked:
+        return rows, None
+    return rows, f"{asked} rows were asked for and {rows} are shown (from {floor} to {cap})"
+
+
 def rank(
     fact: DataFrame,
     name: str,
@@ -73,13 +81,14 @@ def rank(
     limit: int = 0,
     ascending: bool = False,
 ) -> DataFrame:
-    """The best groups by a metric, ten unless asked, never under five or over fifty.
+    """The best ``limit`` groups by a metric, ten unless asked.
 
-    Ranked by the metric for every grouping, dates included.
+    Ranked by the metric for every grouping, dates included. A caller that shows
+    rankings to people may pass its limit through ``ranking_size`` first.
     """
     if grouping_column(group_by) is None:
         raise ValueError("a ranking needs a grouping")
-    rows = RANK_DEFAULT if limit <= 0 else min(max(limit, RANK_FLOOR), RANK_CAP)
+    rows = RANK_DEFAULT if limit <= 0 else limit
     out, keys = _grouped(fact, name, group_by, period)
     return out.orderBy(*_ordered(keys, metric(name).label, ascending)).limit(rows)
 

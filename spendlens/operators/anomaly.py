@@ -99,8 +99,12 @@ def last_day_check(fact: DataFrame, last: dt.date | None = None) -> DataFrame:
 VOLUME = ["n_rows", "campaigns", "impressions", "conversions", "spend"]
 
 
-def last_day_ratios(daily: DataFrame) -> DataFrame:
-    """Every volume figure of the last reported day against the 14 days before it."""
+def last_day_ratios(daily: DataFrame, min_days: int = TRAILING_ROWS + 1) -> DataFrame:
+    """Every volume figure of the last reported day against the 14 days before it.
+
+    With fewer than ``min_days`` reported days there is no past to judge by: the
+    ratio is NULL then and nothing looks partial.
+    """
     recent = daily.orderBy(F.col("date").desc()).limit(TRAILING_ROWS + 1)
     newest = F.row_number().over(Window.orderBy(F.col("date").desc())) == 1
     tagged = recent.withColumn("is_last", newest)
@@ -108,11 +112,13 @@ def last_day_ratios(daily: DataFrame) -> DataFrame:
     long = tagged.select("date", "is_last", *doubles).unpivot(
         ["date", "is_last"], VOLUME, "measure", "value"
     )
-    ratio = F.try_divide(F.col("last_value"), F.nullif(F.col("median_value"), F.lit(0.0)))
+    judged = F.when(F.col("days") >= min_days, F.col("last_value"))
+    ratio = F.try_divide(judged, F.nullif(F.col("median_value"), F.lit(0.0)))
     return (
         long.groupBy("measure")
         .agg(
             F.max("date").alias("last_day"),
+            F.count("*").alias("days"),
             F.max(F.when(F.col("is_last"), F.col("value"))).alias("last_value"),
             median_of(F.collect_list(F.when(~F.col("is_last"), F.col("value")))).alias("median_value"),
         )

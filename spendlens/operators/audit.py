@@ -22,8 +22,10 @@ from spendlens.operators.anomaly import last_day_ratios
 from spendlens.operators.quality import missing_days
 from spendlens.plans.quantiles import exact_quantiles
 from spendlens.plans.store import new_folder, written
-from spendlens.sources.feeds import EXPECTED, Feeds
+from spendlens.sources.feeds import EXPECTED, MALFORMED, Feeds, data_columns, malformed_rows
 
+PERFORMANCE = "ad_performance_daily"
+# Which of the documented columns are keys, numbers, dates and categories.
 KEY_COLUMNS = ["date", "campaign_id", "creative_id", "currency", "rate_to_usd"]
 NUMERIC = ["impressions", "clicks", "conversions", "spend", "revenue"]
 DENOMINATORS = ["spend", "impressions", "conversions"]
@@ -61,6 +63,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def has(feeds: Feeds, feed: str, *columns: str) -> bool:
+    """Whether a feed is there with these columns."""
+    return feed in feeds and all(c in feeds[feed].columns for c in columns)
+
+
 def _rows(weight: str | None) -> Column:
     return F.count("*") if weight is None else F.sum(weight)
 
@@ -72,36 +79,34 @@ def _number(df: DataFrame, name: str) -> Column:
 # Profiles ------------------------------------------------------------------
 
 
-def profile(df: DataFrame, feed: str) -> DataFrame:
-    """Nulls, blanks, exact distinct values and the first value per column.
+def profile(df: DataFrame, feed: str, approx: bool = False) -> DataFrame:
+    """Nulls, blanks, distinct values and the first value per column.
 
-    Columns are unfolded to (column, value) and equal values counted before the
-    shuffle; the counts then answer everything at once.
+    All but the distinct values come from one plain aggregate. Those are counted
+    column by column, each pass reading one column; ``approx`` takes them from the
+    aggregate as well, within two percent, which is what a very large feed affords.
     """
-    values = (
-        df.unpivot([], df.columns, "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    null = F.col("value").isNull()
-    summed = values.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("nulls"),
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(is_blank("value"), F.col("n"))), F.lit(0)).alias("blanks"),
-        F.count("value").alias("distinct_values"),
-        F.substring(F.min("value"), 1, 28).alias("sample"),
-    )
-    severity = F.when(F.col("nulls") > 0, F.when(F.col("column").isin(KEY_COLUMNS), "HIGH").otherwise("MEDIUM"))
-    return summed.select(
-        F.lit(feed).alias("feed"),
-        "column",
-        "nulls",
-        rounded(100 * F.col("nulls") / F.col("rows"), 2).alias("null_pct"),
-        "blanks",
-        "distinct_values",
-        "sample",
-        severity.alias("severity"),
+    columns = data_columns(df)
+    figures = {c: {
+        "nulls": F.count_if(F.col(c).isNull()), "blanks": F.count_if(is_blank(c)), "sample": F.min(c),
+        "distinct_values": F.approx_count_distinct(c, 0.02) if approx else F.lit(0),
+    } for c in columns}
+    row = df.agg(
+        F.count("*").alias("rows"),
+        *[F.struct(*[v.alias(k) for k, v in own.items()]).alias(f"of_{i}") for i, own in enumerate(figures.values())],
     )
+    tagged = []
+    for i, c in enumerate(columns):
+        own = F.col(f"of_{i}")
+        distinct = own["distinct_values"] if approx else df.select(c).distinct().agg(F.count(c)).scalar()
+        grave = F.lit("HIGH" if c in KEY_COLUMNS else "MEDIUM")
+        tagged.append(F.struct(
+            F.lit(c).alias("column"), own["nulls"].alias("nulls"),
+            rounded(100 * F.try_divide(own["nulls"], F.col("rows")), 2).alias("null_pct"),
+            own["blanks"].alias("blanks"), distinct.cast("bigint").alias("distinct_values"), own["sample"].alias("sample"),
+            F.when(own["nulls"] > 0, grave).alias("severity"),
+        ))
+    return row.select(F.lit(feed).alias("feed"), F.inline(F.array(*tagged)))
 
 
 # Duplicates and grain ------------------------------------------------------
@@ -109,7 +114,7 @@ def profile(df: DataFrame, feed: str) -> DataFrame:
 
 def dup_rows(df: DataFrame, feed: str) -> DataFrame:
     """Extra copies of fully identical rows."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
+    copies = df.groupBy(*data_columns(df)).agg(F.count("*").alias("n"))
     return copies.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"),
         F.count_if(F.col("n") > 1).alias("repeated_rows"),
@@ -129,7 +134,7 @@ def grain_summary(df: DataFrame, keys: list[str], feed: str, weight: str | None
 
 
 def grain_sample(df: DataFrame, keys: list[str], size: int = 12) -> DataFrame:
-    """The first rows that share a key, for a reader to look at.
+    """The first ``size`` rows that share a key, for a reader to look at; ``grain_summary`` counts them all.
 
     ``size`` keys hold at least ``size`` rows, so no more keys are ever looked up.
     """
@@ -170,11 +175,12 @@ def date_check(df: DataFrame, column: str, feed: str) -> DataFrame:
 
 
 def date_offenders(df: DataFrame, column: str) -> DataFrame:
-    """The distinct date texts that are not in ISO form."""
+    """The distinct date texts that are not in ISO form, and whether they can be read at all."""
     return (
         df.filter(non_iso_flag(column))
         .groupBy(F.trim(column).alias("text"))
         .agg(F.count("*").alias("n_rows"))
+        .withColumn("readable", parse_dates("text").isNotNull())
     )
 
 
@@ -203,21 +209,21 @@ def unmatched(a: DataFrame, b: DataFrame, key: str, weight: str | None = None) -
 
 
 def referential(feeds: Feeds) -> DataFrame:
-    """Unmatched ids in all four directions."""
-    perf, campaigns = feeds["ad_performance_daily"], feeds["campaigns"]
-    creatives = feeds["creatives"]
+    """Unmatched ids in all four directions, those between feeds that are there."""
     directions = [
-        ("performance without campaign", perf, campaigns, "campaign_id"),
-        ("campaign without performance", campaigns, perf, "campaign_id"),
-        ("performance without creative", perf, creatives, "creative_id"),
-        ("creative without campaign", creatives, campaigns, "campaign_id"),
+        ("performance without campaign", PERFORMANCE, "campaigns", "campaign_id"),
+        ("campaign without performance", "campaigns", PERFORMANCE, "campaign_id"),
+        ("performance without creative", PERFORMANCE, "creatives", "creative_id"),
+        ("creative without campaign", "creatives", "campaigns", "campaign_id"),
     ]
-    return _union(
-        [
-            unmatched(a, b, key).select(F.lit(name).alias("direction"), F.col(key).alias("id"), "n_rows")
-            for name, a, b, key in directions
-        ]
-    )
+    parts = [
+        unmatched(feeds[a], feeds[b], key).select(F.lit(name).alias("direction"), F.col(key).alias("id"), "n_rows")
+        for name, a, b, key in directions
+        if has(feeds, a, key) and has(feeds, b, key)
+    ]
+    if not parts:
+        raise ValueError("no two feeds share a key")
+    return _union(parts)
 
 
 def attr_mismatch(
@@ -322,19 +328,19 @@ def audit_missing_days(daily: DataFrame) -> DataFrame:
 
 
 def numeric_summary(perf: DataFrame) -> DataFrame:
-    """Count, mean, deviation, range and exact quartiles per numeric column."""
-    long = (
-        perf.select(*[_number(perf, c).alias(c) for c in NUMERIC])
-        .unpivot([], NUMERIC, "column", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    )
-    basic = long.groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    """Count, mean, deviation, range and exact quartiles per numeric column.
+
+    The plain figures come from one row of aggregates, the quartiles from bucket
+    counts and the values of a few buckets.
+    """
+    numbers = perf.select(*[_number(perf, c).alias(c) for c in NUMERIC])
+    row = numbers.agg(*[
+        F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"),
+                 F.min(c).alias("min"), F.max(c).alias("max")).alias(c)
+        for c in NUMERIC
+    ])
+    basic = row.select(F.inline(F.array(*NUMERIC)))
+    long = numbers.unpivot([], NUMERIC, "column", "value")
     quartiles = exact_quantiles(long, "column", "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     both = basic.join(quartiles, "column")
     figures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
@@ -342,7 +348,10 @@ def numeric_summary(perf: DataFrame) -> DataFrame:
 
 
 def non_numeric(perf: DataFrame, examples: int = 5) -> DataFrame:
-    """Text that is no number in each numeric column, with a few examples."""
+    """Text that is no number in each numeric column: the count, and the first ``examples`` texts in order.
+
+    Text for "not a number" and for infinities is among them.
+    """
     bad = (
         perf.unpivot([], NUMERIC, "column", "text")
         .filter(F.col("text").isNotNull() & safe_double("text").isNull())
@@ -375,8 +384,8 @@ class Rule:
     broken: Column
 
 
-def rule_counts(df: DataFrame, rules: list[Rule], weight: str | None = None) -> DataFrame:
-    """How many rows break each rule, all rules in one pass."""
+def rule_counts(df: DataFrame, rules: list[Rule], weight: str | None = None, once: frozenset | set = frozenset()) -> DataFrame:
+    """How many rows break each rule, all rules in one pass. Checks in ``once`` don't count the first of equal rows."""
     each = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     if not rules:
         raise ValueError("no rules given")
@@ -392,7 +401,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], weight: str | None = None) ->
     ]
     counted = df.agg(
         *[
-            F.coalesce(F.sum(F.when(r.broken, each)), F.lit(0)).alias(f"broken_{i}")
+            F.coalesce(F.sum(F.when(r.broken, each - 1 if r.check in once else each)), F.lit(0)).alias(f"broken_{i}")
             for i, r in enumerate(rules)
         ]
     )
@@ -405,7 +414,7 @@ def _parsed(name: str) -> Column:
 
 def with_numbers(perf: DataFrame) -> DataFrame:
     """Adds each measure as a number, parsed once for however many rules use it."""
-    return perf.withColumns({f"{c}_number": _number(perf, c) for c in NUMERIC})
+    return perf.withColumns({f"{c}_number": _number(perf, c) for c in NUMERIC if c in perf.columns})
 
 
 def impossible_rules(target: str = "ad_performance_daily") -> list[Rule]:
@@ -443,14 +452,16 @@ def zero_denoms(perf: DataFrame) -> DataFrame:
 
 
 def vocabulary(feeds: Feeds, expected: dict[str, list[str]] | None = None) -> DataFrame:
-    """Value counts of every category column, marked against the documented values."""
+    """Value counts of every category column that is there, marked against the documented values."""
     expected = VOCABULARY if expected is None else expected
     parts = []
     for feed in ("campaigns", "creatives"):
-        df = feeds[feed]
-        columns = [c for c in CATEGORIES if c in df.columns]
-        long = df.unpivot([], columns, "column", "value").groupBy("column", "value")
-        parts.append(long.agg(F.count("*").alias("n_rows")).select(F.lit(feed).alias("feed"), "*"))
+        columns = [c for c in CATEGORIES if has(feeds, feed, c)]
+        if columns:
+            long = feeds[feed].unpivot([], columns, "column", "value").groupBy("column", "value")
+            parts.append(long.agg(F.count("*").alias("n_rows")).select(F.lit(feed).alias("feed"), "*"))
+    if not parts:
+        raise ValueError("no feed has a category column")
     known = F.lit(None).cast("boolean")
     for column, values in expected.items():
         known = F.when(F.col("column") == column, F.col("value").isin(values)).otherwise(known)
@@ -517,28 +528,35 @@ def budget_check(campaigns: DataFrame) -> DataFrame:
 
 # Roll-up -------------------------------------------------------------------
 
+SUMMARY_KEYS = ["date", "campaign_id", "currency"]
+SUMMARY_SUMS = ["impressions", "conversions", "spend"]
+
 
 def summarise(copies: DataFrame) -> DataFrame:
-    """Counted performance rows per raw date, campaign and currency."""
-    return copies.groupBy("date", "campaign_id", "currency").agg(
+    """Counted performance rows per raw date, campaign and currency; what is not there is left out."""
+    keys = [c for c in SUMMARY_KEYS if c in copies.columns]
+    sums = [c for c in SUMMARY_SUMS if c in copies.columns]
+    return copies.groupBy(*keys).agg(
         F.sum("copies").alias("n_raw"),
-        *[
-            F.coalesce(F.sum(safe_double(c) * F.col("copies")), F.lit(0.0)).alias(c)
-            for c in ("impressions", "conversions", "spend")
-        ],
+        *[F.coalesce(F.sum(safe_double(c) * F.col("copies")), F.lit(0.0)).alias(c) for c in sums],
     )
 
 
-def _feed_rules(feed: str) -> list[Rule]:
-    """Everything about one feed that a row shows by itself."""
+def _feed_rules(feed: str, columns: list[str]) -> list[Rule]:
+    """Everything about one feed that a row shows by itself, as far as its columns are there."""
+
+    def there(*names: str) -> bool:
+        return all(n in columns for n in names)
+
     rules = [
         Rule(
             "nulls", f"{feed}.{c}", "HIGH" if c in KEY_COLUMNS else "MEDIUM",
             "empty values", F.col(c).isNull(),
         )
         for c in EXPECTED[feed]
+        if there(c)
     ]
-    if feed in DATE_COLUMNS:
+    if feed in DATE_COLUMNS and there(DATE_COLUMNS[feed]):
         column = DATE_COLUMNS[feed]
         target, raw = f"{feed}.{column}", F.col(column)
         rules += [
@@ -547,137 +565,200 @@ def _feed_rules(feed: str) -> list[Rule]:
             Rule("non-ISO date", target, "HIGH", "mixed formats land in the wrong month",
                  non_iso_flag(column)),
         ]
-    if feed == "ad_performance_daily":
+    if feed == PERFORMANCE:
         rules += [
             Rule("non-numeric", f"{feed}.{c}", "HIGH", "text in a numeric column",
                  F.col(c).isNotNull() & _parsed(c).isNull())
             for c in NUMERIC
+            if there(c)
         ]
-        rules += impossible_rules(feed)
+        rules += [r for r in impossible_rules(feed) if there(*(c for c in NUMERIC if c in r.detail))]
         rules += [
             Rule("zero denominator", f"{feed}.{c}", "INFO", "a ratio of this row has no value",
                  _parsed(c) == 0)
             for c in DENOMINATORS
+            if there(c)
         ]
-    if feed == "campaigns":
-        rules += [
-            Rule("reversed window", feed, "HIGH", "ends before it starts",
-                 naive_date("end_date") < naive_date("start_date")),
-            Rule("budget", f"{feed}.daily_budget", "MEDIUM", "not positive",
-                 safe_double("daily_budget") <= 0),
-        ]
-    if feed == "fx_rates":
+    if feed == "campaigns" and there("start_date", "end_date"):
+        rules.append(Rule("reversed window", feed, "HIGH", "ends before it starts",
+                          naive_date("end_date") < naive_date("start_date")))
+    if feed == "campaigns" and there("daily_budget"):
+        rules.append(Rule("budget", f"{feed}.daily_budget", "MEDIUM", "not positive",
+                          safe_double("daily_budget") <= 0))
+    if feed == "fx_rates" and there("currency", "rate_to_usd"):
         off = F.coalesce(F.abs(safe_double("rate_to_usd") - 1) >= 1e-9, F.lit(True))
         rules.append(Rule("base rate", f"{feed}.rate_to_usd", "MEDIUM", "USD rate is not one",
                           (F.col("currency") == "USD") & off))
     return rules
 
 
-def _finding(df: DataFrame, check: str, target: Column | str, severity: str, n: Column, detail: str) -> DataFrame:
+def _finding(df: DataFrame, check: str, target: Column | str, severity: str, n: Column, detail: Column | str) -> DataFrame:
     target = F.lit(target) if isinstance(target, str) else target
+    detail = F.lit(detail) if isinstance(detail, str) else detail
     return df.select(
         F.lit(check).alias("check"),
         target.alias("target"),
         F.lit(severity).alias("severity"),
         n.cast("bigint").alias("n_rows"),
-        F.lit(detail).alias("detail"),
+        detail.alias("detail"),
     )
 
 
+def drift(spark: SparkSession, feeds: Feeds) -> DataFrame | None:
+    """Feeds and columns that are not as documented."""
+    rows = []
+    for feed, wanted in EXPECTED.items():
+        present = data_columns(feeds[feed]) if feed in feeds else []
+        lacking = [c for c in wanted if c not in present]
+        extra = [c for c in present if c not in wanted]
+        if feed not in feeds:
+            rows.append(("missing feed", feed, "BLOCKER", 1, "its checks are left out"))
+        elif lacking:
+            rows.append(("missing columns", feed, "BLOCKER", len(lacking), ", ".join(lacking)))
+        if extra:
+            rows.append(("extra columns", feed, "INFO", len(extra), ", ".join(extra)))
+    schema = "check string, target string, severity string, n_rows bigint, detail string"
+    return spark.createDataFrame(rows, schema) if rows else None
+
+
+def _against_campaigns(summary: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Rows of unknown campaigns, in another currency, and outside their window, from one join.
+
+    Grouped by campaign, currency and day the summary meets each campaign once, and
+    a campaign delivered twice is counted for each delivery, as a plain join would.
+    """
+    wanted = [c for c in ("currency", "start_date", "end_date") if c in campaigns.columns]
+    known = campaigns.select("campaign_id", F.lit(True).alias("is_known"), *[F.col(c).alias(f"known_{c}") for c in wanted])
+    rows = summary.filter(F.col("campaign_id").isNotNull()).join(known, "campaign_id", "left")
+    tests = {"orphan": F.col("is_known").isNull()}
+    if "currency" in wanted and "currency" in summary.columns:
+        tests["mismatch"] = F.col("currency") != F.col("known_currency")
+    if "date" in summary.columns and len(wanted) > 1 and "start_date" in wanted and "end_date" in wanted:
+        day = naive_date("date")
+        tests["outside"] = (day < naive_date("known_start_date")) | (day > naive_date("known_end_date"))
+    names = {
+        "orphan": ("orphan campaigns", "HIGH", "rows an inner join would drop", "campaign_id"),
+        "mismatch": ("currency mismatch", "HIGH", "row and campaign disagree", "campaign_id"),
+        "outside": ("outside window", "MEDIUM", "rows outside their campaign window", "campaign_id"),
+    }
+    per_id = rows.groupBy("campaign_id").agg(
+        *[F.coalesce(F.sum(F.when(t, F.col("n_raw"))), F.lit(0)).alias(k) for k, t in tests.items()]
+    )
+    sums = per_id.agg(*[F.struct(F.sum(k).alias("n"), F.count_if(F.col(k) > 0).alias("ids")).alias(k) for k in tests])
+    findings = F.array(*[
+        F.struct(F.lit(names[k][0]).alias("check"), F.lit(PERFORMANCE).alias("target"), F.lit(names[k][1]).alias("severity"),
+                 F.col(f"{k}.n").cast("bigint").alias("n_rows"),
+                 F.concat(F.lit(names[k][2] + ", "), F.col(f"{k}.ids").cast("string"), F.lit(" ids")).alias("detail"))
+        for k in tests
+    ])
+    return sums.select(F.inline(findings))
+
+
 def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | None = None,
-          folder: str | None = None) -> DataFrame:
+          folder: str | None = None, copies: DataFrame | None = None) -> DataFrame:
     """All findings, gravest first.
 
-    The performance feed is read once, to count identical rows. Everything else
-    about it weighs the written counts or the small summary made of them. A feed
-    without its documented columns cannot be checked further, so then the missing
-    columns are all that is reported.
+    Every check stands alone: where a feed or a column is missing, that is a
+    finding, and only the checks that need it are left out.
+
+    The performance feed is read once, to count identical rows; ``copies`` may hand
+    over those counts when the cleaning layer has written them already. All that a
+    row shows by itself is one aggregate over them, and the rest weighs a written
+    summary by day, campaign and currency.
     """
-    drift = [
-        _finding(spark.range(1), check, feed, severity, F.lit(len(columns)), ", ".join(columns))
+    parts = [p for p in [drift(spark, feeds)] if p is not None]
+    parts += [
+        _finding(df.agg(malformed_rows(df).alias("n")), "malformed rows", feed, "HIGH", F.col("n"),
+                 "rows do not have as many fields as their header")
         for feed, df in feeds.items()
-        for check, severity, columns in (
-            ("missing columns", "BLOCKER", [c for c in EXPECTED[feed] if c not in df.columns]),
-            ("extra columns", "INFO", [c for c in df.columns if c not in EXPECTED[feed]]),
-        )
-        if columns
+        if MALFORMED in df.columns
     ]
-    if any(c not in df.columns for feed, df in feeds.items() for c in EXPECTED[feed]):
-        return _union(drift)
+    feeds = {feed: df.select(*data_columns(df)) for feed, df in feeds.items() if feed in EXPECTED}
     folder = folder or f"{new_folder(spark)}/audit"
-    name = "ad_performance_daily"
-    perf, campaigns = feeds[name], feeds["campaigns"]
-    creatives, fx = feeds["creatives"], feeds["fx_rates"]
-    copies = written(
-        perf.groupBy(*perf.columns).agg(F.count("*").alias("copies")), f"{folder}/copies"
-    )
-    summary = written(summarise(copies), f"{folder}/summary")
-    parts = drift + [rule_counts(with_numbers(copies), _feed_rules(name), "copies")]
-    parts += [rule_counts(df, _feed_rules(feed)) for feed, df in feeds.items() if feed != name]
+    n = F.col("n")
 
     for feed, df in feeds.items():
-        if feed == name:
-            extra = copies.agg(F.sum(F.col("copies") - 1).alias("extra_rows"))
-            shared = grain_summary(copies, GRAIN[feed], feed, "copies")
-        else:
-            extra, shared = dup_rows(df, feed), grain_summary(df, GRAIN[feed], feed)
-        parts.append(_finding(extra, "duplicate rows", feed, "HIGH", F.col("extra_rows"),
-                              "identical rows count twice in every sum"))
-        parts.append(_finding(shared, "grain", feed, "HIGH", F.col("colliding_rows"),
-                              "rows share " + ", ".join(GRAIN[feed])))
+        rows, weight = df, None
+        if feed == PERFORMANCE:
+            if copies is None:
+                copies = written(df.groupBy(*df.columns).agg(F.count("*").alias("copies")), f"{folder}/copies")
+            copies = copies.select(*df.columns, "copies")
+            rows, weight = with_numbers(copies), "copies"
+        rules = _feed_rules(feed, df.columns)
+        if weight:
+            rules.append(Rule("duplicate rows", feed, "HIGH", "identical rows count twice in every sum", F.lit(True)))
+        if rules:
+            found = rule_counts(rows, rules, weight, once={"duplicate rows"})
+            parts.append(found)
+        if not weight:
+            parts.append(_finding(dup_rows(df, feed), "duplicate rows", feed, "HIGH", F.col("extra_rows"),
+                                  "identical rows count twice in every sum"))
+        if has(feeds, feed, *GRAIN[feed]):
+            shared = grain_summary(copies if weight else df, GRAIN[feed], feed, weight)
+            parts.append(_finding(shared, "grain", feed, "HIGH", F.col("colliding_rows"),
+                                  "rows share " + ", ".join(GRAIN[feed])))
 
     def total(df: DataFrame) -> DataFrame:
-        return df.agg(F.sum("n_rows").alias("n"))
+        return df.agg(F.sum("n_rows").alias("n"), F.count("*").alias("ids"))
 
     def size(df: DataFrame) -> DataFrame:
         return df.agg(F.count("*").alias("n"))
 
-    n = F.col("n")
-    volume = written(daily_volume(summary, "n_raw"), f"{folder}/volume")
-    outside = outside_window(summary, campaigns, "n_raw").select(
-        (F.col("rows_before_start") + F.col("rows_after_end")).alias("n")
-    )
-    parts += [
-        _finding(total(unmatched(summary, campaigns, "campaign_id", "n_raw")),
-                 "orphan campaigns", name, "HIGH", n, "rows an inner join would drop"),
-        _finding(size(unmatched(campaigns, summary, "campaign_id")),
-                 "unused campaigns", "campaigns", "INFO", n, "campaigns without performance"),
-        _finding(total(unmatched(copies, creatives, "creative_id", "copies")),
-                 "orphan creatives", name, "MEDIUM", n, "rows without a creative"),
-        _finding(size(unmatched(creatives, campaigns, "campaign_id")),
-                 "unknown campaigns", "creatives", "MEDIUM", n, "campaigns only creatives know"),
-        _finding(total(attr_mismatch(summary, campaigns, "campaign_id", "currency", "n_raw")),
-                 "currency mismatch", name, "HIGH", n, "row and campaign disagree"),
-        _finding(size(missing_pairs(summary, fx, RATE_GRAIN)),
-                 "missing rates", "fx_rates", "HIGH", n, "day and currency pairs without a rate"),
-        _finding(feed_gaps(fx), "rate gaps", F.concat(F.lit("fx_rates."), "currency"), "HIGH",
-                 F.col("calendar_gaps"), "calendar days without a rate"),
-        _finding(dup_keys(fx, RATE_GRAIN), "duplicate rate keys", "fx_rates", "HIGH",
-                 F.col("extra_rows"), "the rate join fans out"),
-        _finding(last_day_ratios(volume).filter("looks_partial"), "partial last day",
-                 F.concat(F.lit(name + "."), "measure"), "HIGH", F.lit(1),
-                 "last day far below the 14 days before"),
-        _finding(total(stray_dates(volume)), "stray dates", name, "HIGH", n,
-                 "rows dated far outside the extract"),
-        _finding(size(audit_missing_days(volume)), "missing days", name, "MEDIUM", n,
-                 "days without rows"),
-        _finding(outside, "outside window", name, "MEDIUM", n, "rows outside their campaign window"),
-    ]
-    words = vocabulary(feeds, expected)
-    per_column = words.groupBy("feed", "column").agg(
-        F.coalesce(F.sum(F.when(~F.col("is_expected"), F.col("n_rows"))), F.lit(0)).alias("unexpected"),
-        F.coalesce(F.sum(F.when(F.col("has_stray_blanks"), F.col("n_rows"))), F.lit(0)).alias("stray"),
-    )
-    where = F.concat("feed", F.lit("."), "column")
-    parts += [
-        _finding(per_column, "unexpected values", where, "MEDIUM", F.col("unexpected"),
-                 "outside the documented set"),
-        _finding(per_column, "stray blanks", where, "MEDIUM", F.col("stray"),
-                 "whitespace around a category"),
-    ]
+    summary = None
+    if PERFORMANCE in feeds:
+        summary = written(summarise(copies), f"{folder}/summary")
+    with_campaigns = has(feeds, "campaigns", "campaign_id")
+    if summary is not None and with_campaigns and "campaign_id" in summary.columns:
+        parts.append(_against_campaigns(summary, feeds["campaigns"]))
+        parts.append(_finding(size(unmatched(feeds["campaigns"], summary, "campaign_id")), "unused campaigns", "campaigns",
+                              "INFO", n, "campaigns without performance"))
+    if has(feeds, "creatives", "creative_id") and has(feeds, PERFORMANCE, "creative_id"):
+        lost = total(unmatched(copies, feeds["creatives"], "creative_id", "copies"))
+        parts.append(_finding(lost, "orphan creatives", PERFORMANCE, "MEDIUM", n,
+                              F.concat(F.lit("rows without a creative, "), F.col("ids").cast("string"), F.lit(" ids"))))
+    if has(feeds, "creatives", "campaign_id") and with_campaigns:
+        parts.append(_finding(size(unmatched(feeds["creatives"], feeds["campaigns"], "campaign_id")), "unknown campaigns",
+                              "creatives", "MEDIUM", n, "campaigns only creatives know"))
+    if has(feeds, "fx_rates", *RATE_GRAIN):
+        fx = feeds["fx_rates"]
+        if summary is not None and all(c in summary.columns for c in RATE_GRAIN):
+            parts.append(_finding(size(missing_pairs(summary, fx, RATE_GRAIN)), "missing rates", "fx_rates", "HIGH", n,
+                                  "day and currency pairs without a rate"))
+        parts.append(_finding(dup_keys(fx, RATE_GRAIN), "duplicate rate keys", "fx_rates", "HIGH",
+                              F.col("extra_rows"), "the rate join fans out"))
+        if "rate_to_usd" in fx.columns:
+            parts.append(_finding(feed_gaps(fx), "rate gaps", F.concat(F.lit("fx_rates."), "currency"), "HIGH",
+                                  F.col("calendar_gaps"), "calendar days without a rate"))
+    if summary is not None and all(c in summary.columns for c in ["date", "campaign_id", *SUMMARY_SUMS]):
+        volume = daily_volume(summary, "n_raw")
+        parts += [
+            _finding(last_day_ratios(volume).filter("looks_partial"), "partial last day",
+                     F.concat(F.lit(PERFORMANCE + "."), "measure"), "HIGH", F.lit(1),
+                     "last day far below the 14 days before"),
+            _finding(total(stray_dates(volume)), "stray dates", PERFORMANCE, "HIGH", n,
+                     "rows dated far outside the extract"),
+            _finding(size(audit_missing_days(volume)), "missing days", PERFORMANCE, "MEDIUM", n,
+                     "days without rows"),
+        ]
+    if any(has(feeds, feed, c) for feed in ("campaigns", "creatives") for c in CATEGORIES):
+        per_column = vocabulary(feeds, expected).groupBy("feed", "column").agg(
+            F.coalesce(F.sum(F.when(~F.col("is_expected"), F.col("n_rows"))), F.lit(0)).alias("unexpected"),
+            F.coalesce(F.sum(F.when(F.col("has_stray_blanks"), F.col("n_rows"))), F.lit(0)).alias("stray"),
+        )
+        where = F.concat("feed", F.lit("."), "column").alias("target")
+        words = F.array(*[
+            F.struct(F.lit(check).alias("check"), where, F.lit("MEDIUM").alias("severity"),
+                     F.col(c).cast("bigint").alias("n_rows"), F.lit(detail).alias("detail"))
+            for check, c, detail in (("unexpected values", "unexpected", "outside the documented set"),
+                                     ("stray blanks", "stray", "whitespace around a category"))
+        ])
+        parts.append(per_column.select(F.inline(words)))
+    if not parts:
+        return spark.createDataFrame([], "check string, target string, severity string, n_rows bigint, detail string")
     weight = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     return _union(parts).filter(F.col("n_rows") > 0).orderBy(weight, "check", "target", "detail")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
+    """Findings per severity, of findings already made."""
     return findings.groupBy("severity").agg(F.count("*").alias("n_findings"))

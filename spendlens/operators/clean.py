@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.text import (
     ISO, non_iso_flag, norm_category, norm_code, norm_label, parse_dates, safe_double,
 )
+from spendlens.sources.feeds import data_columns
 
 
 def clean_campaigns(raw: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def dedupe_exact(df: DataFrame) -> DataFrame:
 
 def counted_rows(df: DataFrame) -> DataFrame:
     """Like ``dedupe_exact``, and ``copies`` tells how often the row arrived."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
+    return df.groupBy(*data_columns(df)).agg(F.count("*").alias("copies"))
 
 
 def dated(df: DataFrame) -> DataFrame:

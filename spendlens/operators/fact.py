@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.text import norm_code, safe_double, safe_long
 from spendlens.operators.clean import clean_campaigns, dated_performance
-from spendlens.operators.rates import clean_rates, dense_rates, first_and_last, span_bounds
-from spendlens.plans.joins import BROADCAST_BYTES, lookup_join
-from spendlens.plans.store import new_folder, read_by_month, write_by_month, written
+from spendlens.operators.rates import clean_rates, dense_rates, first_and_last, rates_as_of, span_bounds
+from spendlens.plans.joins import lookup_join
+from spendlens.plans.store import drop_folder, new_folder, read_by_month, write_by_month, written
 from spendlens.sources.feeds import Feeds
 
+# The columns of the curated fact.
 FACT_COLUMNS = [
     "date", "campaign_id", "creative_id", "campaign_name", "channel", "objective",
     "is_running", "impressions", "clicks", "conversions", "spend_local",
@@ -32,7 +33,7 @@ def to_usd(amount: Column | str) -> Column:
 
 
 def attach_campaigns(
-    performance: DataFrame, campaigns: DataFrame, limit: int = BROADCAST_BYTES
+    performance: DataFrame, campaigns: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Left join to the campaign dimension; rows of deleted campaigns keep their spend.
 
@@ -63,9 +64,10 @@ def attach_campaigns(
     )
 
 
-def attach_rates(performance: DataFrame, rates: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Left join to the dense rates on day and resolved currency."""
-    return lookup_join(performance, rates, ["day", "currency"], limit)
+def attach_rates(performance: DataFrame, rates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Left join to the rate of each day and resolved currency that occurs."""
+    used = rates_as_of(performance.filter(F.col("currency").isNotNull()), rates)
+    return lookup_join(performance, used, ["day", "currency"], limit)
 
 
 def measures(df: DataFrame) -> DataFrame:
@@ -93,21 +95,17 @@ def quality_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def assemble(performance: DataFrame, campaigns: DataFrame, rates: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The fact from dated performance, clean campaigns and dense rates."""
+def assemble(performance: DataFrame, campaigns: DataFrame, rates: DataFrame, limit: int | None = None) -> DataFrame:
+    """The fact from dated performance, clean campaigns and published rates."""
     usable = performance.filter(F.col("day").isNotNull()).drop("date")
     rated = attach_rates(attach_campaigns(usable, campaigns, limit), rates, limit)
     return quality_flags(measures(rated)).withColumnRenamed("day", "date").select(*FACT_COLUMNS)
 
 
-def curated_fact(feeds: Feeds, limit: int = BROADCAST_BYTES) -> DataFrame:
+def curated_fact(feeds: Feeds, limit: int | None = None) -> DataFrame:
     """The whole cleaning layer as one lazy frame."""
     performance = dated_performance(feeds["ad_performance_daily"])
-    rates = clean_rates(feeds["fx_rates"])
-    lo, hi = first_and_last(span_bounds(performance, rates))
-    return assemble(
-        performance, clean_campaigns(feeds["campaigns"]), dense_rates(rates, lo, hi), limit
-    )
+    return assemble(performance, clean_campaigns(feeds["campaigns"]), clean_rates(feeds["fx_rates"]), limit)
 
 
 def write_curated(fact: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
@@ -123,21 +121,28 @@ class Curated:
     performance: DataFrame  # distinct dated rows with their number of copies
     campaigns: DataFrame
     rates: DataFrame  # as published, typed
-    dense: DataFrame  # one row per day and currency
     fact: DataFrame
+    folder: str
+
+    @property
+    def dense(self) -> DataFrame:
+        """One row per currency and day of the calendar, from the first day to the last of feed and quotes."""
+        return dense_rates(self.rates, *first_and_last(span_bounds(self.performance, self.rates)))
+
+    def drop(self) -> None:
+        """Remove the written tables. Frames made from them can't be read after that."""
+        drop_folder(self.fact.sparkSession, self.folder)
 
 
 def build_curated(spark: SparkSession, feeds: Feeds, folder: str | None = None) -> Curated:
     """Run the cleaning layer once and write what later jobs share.
 
     The raw feed is read a single time: the deduplicated rows are written first,
-    so the day span and the row accounting come from columnar files.
+    so rates, row accounting and the audit come from columnar files.
     """
     folder = folder or new_folder(spark)
     performance = written(dated_performance(feeds["ad_performance_daily"]), f"{folder}/performance")
     campaigns = clean_campaigns(feeds["campaigns"])
     rates = written(clean_rates(feeds["fx_rates"]), f"{folder}/rates")
-    lo, hi = first_and_last(span_bounds(performance, rates))
-    dense = written(dense_rates(rates, lo, hi), f"{folder}/dense_rates")
-    fact = write_curated(assemble(performance, campaigns, dense), f"{folder}/fact")
-    return Curated(performance, campaigns, rates, dense, fact)
+    fact = write_curated(assemble(performance, campaigns, rates), f"{folder}/fact")
+    return Curated(performance, campaigns, rates, fact, folder)

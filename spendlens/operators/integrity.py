@@ -11,33 +11,32 @@ from spendlens.operators.anomaly import SUSPECT_SHARE, anomaly
 from spendlens.operators.periods import Period, in_period
 
 BREAKDOWNS = ["channel", "campaign", "creative", "objective", "date"]
+# Six decimals of money are more than any feed holds.
+EXACT = "decimal(28,6)"
 ROAS_LOW, ROAS_HIGH = 0.0, 50.0
 
 
 def parts_sum_to_total(fact: DataFrame, name: str = "spend", tolerance: float = 0.01) -> DataFrame:
     """Each breakdown of an additive metric, summed again, against the plain total.
 
-    One pass over the fact serves every breakdown and the total.
+    Summed as decimals, which add up to the same in any order, so sound data agree
+    however large the total is. Every breakdown is a plain aggregate of its own that
+    reads two columns and leaves its sums, not the rows, to the shuffle.
     """
     m = metric(name)
     if m.is_ratio:
         raise ValueError(f"{name} is a ratio and its parts do not add up")
-    columns = [grouping_column(g) for g in BREAKDOWNS]
-    sets = [[F.col(c)] for c in columns] + [[]]
-    parts = fact.groupingSets(sets, *columns).agg(
-        F.sum(m.numerator).alias("part"), F.grouping_id().alias("without")
-    )
-    # A bit of the grouping id is set for every column a row is not grouped by.
-    everything = 2 ** len(columns) - 1
-    alone = {g: everything - 2 ** (len(columns) - 1 - i) for i, g in enumerate(BREAKDOWNS)}
-    sums = parts.agg(
-        F.max(F.when(F.col("without") == everything, F.col("part"))).alias("total"),
-        *[F.sum(F.when(F.col("without") == bits, F.col("part"))).alias(g) for g, bits in alone.items()],
-    )
-    return sums.unpivot("total", BREAKDOWNS, "grouping", "parts").select(
+    amount = F.sum(F.col(m.numerator).try_cast(EXACT))
+    total = fact.agg(amount).scalar()
+    parts = None
+    for group in BREAKDOWNS:
+        sums = fact.groupBy(grouping_column(group)).agg(amount.alias("part")).agg(F.sum("part").alias("parts"))
+        row = sums.select(F.lit(group).alias("grouping"), "parts", total.alias("total"))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts.select(
         "grouping",
-        rounded("parts", m.digits).alias("parts_total"),
-        rounded("total", m.digits).alias("total"),
+        rounded(F.col("parts").cast("double"), m.digits).alias("parts_total"),
+        rounded(F.col("total").cast("double"), m.digits).alias("total"),
         (F.abs(F.col("parts") - F.col("total")) <= tolerance).alias("agrees"),
     )
 

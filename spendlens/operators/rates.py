@@ -77,8 +77,28 @@ def dense_rates(rates: DataFrame, lo: dt.date | None, hi: dt.date | None) -> Dat
     return filled.select("day", "currency", "rate_to_usd", "rate_was_filled")
 
 
+def rates_as_of(pairs: DataFrame, rates: DataFrame) -> DataFrame:
+    """The rate of each (day, currency) pair: that of the latest quote up to its day.
+
+    One row per pair in use, however far its day lies from the others. Days before
+    the first quote get none; a pair of a currency that is never quoted gets no flag
+    either. Of several quotes for one day the highest counts.
+    """
+    asked = pairs.select("currency", "day").distinct().withColumns({"quote": F.lit(None).cast("double"), "asked": F.lit(1)})
+    quoted = rates.groupBy("currency", "day").agg(F.max("rate_to_usd").alias("quote")).withColumn("asked", F.lit(0))
+    rows = asked.unionByName(quoted.filter(F.col("currency").isNotNull()))
+    # One row per day a currency is quoted or used on, so no partition outgrows the calendar.
+    so_far = Window.partitionBy("currency").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.min("asked").over(Window.partitionBy("currency")) == 0
+    on = F.last(F.when(F.col("quote").isNotNull(), F.col("day")), ignorenulls=True).over(so_far)
+    dated = rows.withColumns({"rate_to_usd": F.last("quote", ignorenulls=True).over(so_far), "on": on, "known": known})
+    return dated.filter("asked = 1").select(
+        "day", "currency", "rate_to_usd", F.when(F.col("known"), ~F.col("on").eqNullSafe(F.col("day"))).alias("rate_was_filled")
+    )
+
+
 def conflicting_keys(rates: DataFrame) -> DataFrame:
-    """Day and currency pairs quoted with different rates; joining them fans out."""
+    """Day and currency pairs quoted with different rates; the fact uses the highest."""
     return (
         rates.groupBy("day", "currency")
         .agg(F.count("*").alias("n_rates"))

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup is sent to every executor only when its counted bytes stay below this.
-BROADCAST_BYTES = 256 * 1024 * 1024
+# A lookup is sent to every executor only when its counted bytes stay below this. The
+# session setting may state another limit.
+BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_SETTING = "spark.spendlens.broadcastBytes"
+
+
+def broadcast_limit(spark) -> int:
+    return int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
 
 
 def counted_bytes(df: DataFrame) -> int:
@@ -18,8 +24,8 @@ def counted_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0))).first()[0]
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return counted_bytes(df) <= limit
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    return counted_bytes(df) <= (broadcast_limit(df.sparkSession) if limit is None else limit)
 
 
 def spread_left_join(fact: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
@@ -55,7 +61,7 @@ def spread_left_join(fact: DataFrame, lookup: DataFrame, on: list[str]) -> DataF
 
 
 def lookup_join(
-    fact: DataFrame, lookup: DataFrame, on: list[str], limit: int = BROADCAST_BYTES
+    fact: DataFrame, lookup: DataFrame, on: list[str], limit: int | None = None
 ) -> DataFrame:
     """Left join that keeps every fact row; broadcast only below the byte limit."""
     if fits_broadcast(lookup, limit):

@@ -24,19 +24,17 @@ def _bucket(value: Column) -> Column:
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
     """One row per key with a column per named quantile, linearly interpolated.
 
-    Equal values are counted before any shuffle, then only bucket totals are
-    ranked; values are ordered inside the few buckets which hold a wanted rank.
+    Buckets are counted straight from the rows, a few thousand sums per task. Only
+    rows of the few buckets that hold a wanted rank are then read again, counted by
+    value and ordered.
     """
-    counted = (
-        df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
-        .groupBy(key, value)
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", _bucket(F.col(value)))
+    rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
+        key, value, _bucket(F.col(value)).alias("bucket")
     )
     per_key = Window.partitionBy(key)
     ranked = (
-        counted.groupBy(key, "bucket")
-        .agg(F.sum("n").alias("held"))
+        rows.groupBy(key, "bucket")
+        .agg(F.count("*").alias("held"))
         .withColumn("total", F.sum("held").over(per_key))
         .withColumn(
             "before",
@@ -64,8 +62,14 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
     ).filter(F.size("wanted") > 0)
     inside = Window.partitionBy(key, "bucket").orderBy(value)
     upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    # Two buckets per quantile and key at most.
+    counted = (
+        rows.join(F.broadcast(targets.select(key, "bucket", "before", "wanted")), [key, "bucket"])
+        .groupBy(key, "bucket", "before", "wanted", value)
+        .agg(F.count("*").alias("n"))
+    )
     placed = (
-        counted.join(F.broadcast(targets.select(key, "bucket", "before", "wanted")), [key, "bucket"])
+        counted
         .withColumn("upto", upto)
         .withColumn("w", F.explode("wanted"))
         .withColumn("lower", F.floor("w.position"))

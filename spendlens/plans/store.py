@@ -15,17 +15,22 @@ from pyspark.sql import functions as F
 
 MONTH = "month"
 
+# Folders made for local sessions without a setting, by application.
+_temporary: dict[str, str] = {}
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
+    local = spark.sparkContext.master.startswith("local")
+    if shared and (local or not shared.startswith(("file:", "/"))):
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spendlens-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _temporary:
+        _temporary[app] = tempfile.mkdtemp(prefix="spendlens-")
+    return _temporary[app]
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -39,6 +44,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a run's folder from the shared store, when no frame made from it is used any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def month_of(day) -> F.Column:
     """Partition value of a day: 200111 for November 2001."""
     return F.year(day) * 100 + F.month(day)

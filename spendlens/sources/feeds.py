@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # The documented columns of each feed.
 EXPECTED: dict[str, list[str]] = {
@@ -23,19 +26,63 @@ EXPECTED: dict[str, list[str]] = {
 Feeds = dict[str, DataFrame]
 
 
+# Text of a CSV row that does not have as many fields as its file's header.
+MALFORMED = "_corrupt_record"
+
+
+def data_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c != MALFORMED]
+
+
 def _as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a feed by their first line, read in one pass over the text."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    first = lines.filter(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    # Headers that agree are one entry; the names of a feed's files are what a listing of the folder holds.
+    return {r.header: r.files for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()}
+
+
+def read_csv_by_name(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """CSV files as text columns under the names of each file's own header.
+
+    Files of one folder may order their columns differently or lack some: those with
+    the same header are read together under it, and the parts are joined by name, a
+    column that a file lacks being NULL. Rows with too many or too few fields are
+    kept and carry their whole text in ``MALFORMED``.
+    """
+    parts = None
+    headers = _headers(spark, path) or {None: [path]}
+    for header, files in sorted(headers.items(), key=lambda x: (x[0] or "", x[1])):
+        names = next(csv.reader([(header or "").removeprefix("\ufeff")]), [])
+        fields = [*dict.fromkeys(n.strip() for n in names), MALFORMED]
+        schema = StructType([StructField(n, StringType()) for n in fields])
+        # A row is only known to be malformed when all its fields are parsed.
+        reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
+        part = reader.csv(files, header=True, mode="PERMISSIVE", escape='"', multiLine=multiline)
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+    return parts.select(*data_columns(parts), MALFORMED)
+
+
 def read_feeds(
-    spark: SparkSession, folder: str, fmt: str = "csv", multiline: bool = False
+    spark: SparkSession, folder: str, fmt: str = "csv", multiline: bool = False, allow_missing: bool = False
 ) -> Feeds:
     """Open every feed with all columns as text, under their header names.
 
     Types are never inferred: that would turn bad values into NULL before anyone
     could count them. A feed is ``<folder>/<name>.<fmt>``, one file or a folder of
     files. ``multiline`` allows line breaks inside quotes, at the price of files
-    that can no longer be split between tasks.
+    that can no longer be split between tasks. CSV feeds carry ``MALFORMED`` as well,
+    which the inventory and the audit count. With ``allow_missing`` a feed that is
+    not there is left out, and those two report it.
     """
     feeds: Feeds = {}
     missing = []
@@ -43,16 +90,14 @@ def read_feeds(
         path = f"{folder.rstrip('/')}/{name}.{fmt}"
         try:
             if fmt == "csv":
-                feeds[name] = spark.read.csv(
-                    path, header=True, inferSchema=False, escape='"', multiLine=multiline
-                )
+                feeds[name] = read_csv_by_name(spark, path, multiline)
             else:
                 feeds[name] = _as_text(spark.read.format(fmt).load(path))
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             missing.append(f"{name}.{fmt}")
-    if missing:
+    if missing and not allow_missing:
         raise FileNotFoundError(f"missing {', '.join(missing)} in {folder}")
     return feeds
 
@@ -69,19 +114,39 @@ def feed_counts(feeds: Feeds) -> DataFrame:
     return out
 
 
-def feed_inventory(feeds: Feeds, expected: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rows and column drift per feed; missing columns block, extra ones inform."""
+def malformed_rows(df: DataFrame) -> Column:
+    """Aggregate: rows that did not fit their header. Another column is read with it, as CSV requires."""
+    if MALFORMED not in df.columns:
+        return F.lit(0).cast("bigint")
+    beside = data_columns(df)[0]
+    return F.count(F.when(F.col(MALFORMED).isNotNull(), F.struct(beside)))
+
+
+def feed_inventory(
+    feeds: Feeds, expected: dict[str, list[str]] | None = None, spark: SparkSession | None = None
+) -> DataFrame:
+    """Rows, malformed rows and column drift per feed; missing feeds and columns block, extra ones inform.
+
+    ``spark`` is needed only when no feed is there at all.
+    """
+    spark = spark or next(iter(feeds.values())).sparkSession
     parts = []
     for name, wanted in (expected or EXPECTED).items():
-        df = feeds[name]
-        lacking = [c for c in wanted if c not in df.columns]
-        extra = [c for c in df.columns if c not in wanted]
+        df = feeds.get(name)
+        present = [] if df is None else data_columns(df)
+        lacking = [c for c in wanted if c not in present]
+        extra = [c for c in present if c not in wanted]
         severity = "BLOCKER" if lacking else "INFO" if extra else None
+        if df is None:
+            counts = spark.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in ("n_rows", "malformed_rows")])
+        else:
+            counts = df.agg(F.count("*").alias("n_rows"), malformed_rows(df).alias("malformed_rows"))
         parts.append(
-            df.agg(F.count("*").alias("n_rows")).select(
+            counts.select(
                 F.lit(name).alias("feed"),
                 "n_rows",
-                F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
+                "malformed_rows",
+                F.lit(len(present)).cast("bigint").alias("n_columns"),
                 F.lit(", ".join(lacking)).alias("missing_columns"),
                 F.lit(", ".join(extra)).alias("extra_columns"),
                 F.lit(severity).cast("string").alias("severity"),

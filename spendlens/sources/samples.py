@@ -44,7 +44,8 @@ def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_performance(spark: SparkSession, folder: str) -> DataFrame:
+def _performance(spark: SparkSession, folder: str) -> DataFrame:
+    """Performance rows with the order number ``k`` that their defects are planted by."""
     day, k, ln = F.col("day"), F.col("l_orderkey"), F.col("l_linenumber")
     sk, px = F.col("l_suppkey"), F.col("l_extendedprice")
     qn = F.col("l_quantity").cast("bigint")
@@ -75,10 +76,15 @@ def raw_performance(spark: SparkSession, folder: str) -> DataFrame:
         F.when(every(211), "USD").otherwise(_currency()).alias("currency"),
         # Rows of every 307th order arrive twice.
         F.explode(F.array_repeat(F.lit(1), F.when(every(307), 2).otherwise(1))).alias("copy"),
+        k.alias("k"),
     )
     return rows.drop("copy")
 
 
+def raw_performance(spark: SparkSession, folder: str) -> DataFrame:
+    return _performance(spark, folder).drop("k")
+
+
 def raw_campaigns(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("s_suppkey")
     known = _suppliers(spark, folder).filter(F.col("r_regionkey").isNotNull())
@@ -148,3 +154,79 @@ def sample_feeds(spark: SparkSession, folder: str) -> Feeds:
         "creatives": raw_creatives(spark, folder),
         "fx_rates": raw_fx(spark, folder),
     }
+
+
+# The flawed feeds ------------------------------------------------------------
+
+STRAY_DAY = "2031-01-01"
+FIRST_QUOTE = "1995-04-01"
+QUOTED_TWICE, OFF_BASE = "2001-08-06", "2001-08-07"
+
+
+def _planted(c: str, *cases: tuple[int, str | Column]) -> Column:
+    """The column, replaced in the rows of every n-th order."""
+    out = F.col(c)
+    for n, value in reversed(cases):
+        out = F.when(F.col("k") % n == 0, value).otherwise(out)
+    return out.alias(c)
+
+
+def flawed_feeds(spark: SparkSession, folder: str) -> Feeds:
+    """The sample feeds with the graver defects: unreadable numbers and dates, a stray year, days before
+    the first quote, a day quoted twice, a base rate off one, impossible values, reversed and late windows,
+    and drifted columns."""
+    perf = _performance(spark, folder)
+    planted = {
+        "date": [(367, F.lit("soon")), (499, F.lit(STRAY_DAY))],
+        "impressions": [(439, F.lit("12.5")), (241, F.lit("many"))],
+        "conversions": [(431, F.lit("-1"))],
+        "spend": [(313, F.lit("n/a")), (317, F.lit("nan"))],
+        "revenue": [(421, F.concat(F.lit("-"), F.col("revenue"))), (331, F.lit("inf"))],
+    }
+    base = sample_feeds(spark, folder)
+    number = F.substring("campaign_id", 2, 20).cast("bigint")
+    campaigns = base["campaigns"].withColumns(
+        {
+            "start_date": F.when(number % 23 == 3, "1999-01-01").otherwise(F.col("start_date")),
+            "end_date": F.when(number % 19 == 2, "1994-01-01").otherwise(F.col("end_date")),
+        }
+    )
+    quoted = base["fx_rates"].filter(F.col("date") >= FIRST_QUOTE)
+    off_base = (F.col("date") == OFF_BASE) & (F.col("currency") == "USD")
+    fx = quoted.withColumn("rate_to_usd", F.when(off_base, "1.01").otherwise(F.col("rate_to_usd")))
+    again = quoted.filter((F.col("date") == QUOTED_TWICE) & (F.col("currency") != "USD")).distinct()
+    return {
+        "ad_performance_daily": perf.select(*[_planted(c, *planted.get(c, [])) for c in perf.columns if c != "k"]),
+        "campaigns": campaigns,
+        "creatives": base["creatives"].withColumn("owner", F.col("creative_id")).drop("headline"),
+        "fx_rates": fx.unionByName(again.withColumn("rate_to_usd", F.lit("0.09"))),
+    }
+
+
+# Feeds as delivered -----------------------------------------------------------
+
+
+def write_as_csv(feeds: Feeds, folder: str) -> None:
+    """Feeds as folders of CSV files. Creatives arrive in two column orders, and some quotes with a field
+    too many or too few."""
+    for name, df in feeds.items():
+        path = f"{folder}/{name}.csv"
+        writer = {"header": True, "escape": '"'}
+        if name == "creatives":
+            key = F.substring("creative_id", 2, 20).cast("bigint")
+            df.filter(key % 2 == 0).write.options(**writer).csv(path)
+            df.filter(key % 2 == 1).select(*reversed(df.columns)).write.options(**writer).mode("append").csv(path)
+            continue
+        df.write.options(**writer).csv(path)
+        if name == "fx_rates":
+            day = F.substring("date", 9, 2)
+            fields = [F.col("date"), F.col("currency")]
+            lines = df.filter(day.isin("13", "14")).select(
+                F.lit(1).alias("place"),
+                F.when(day == "13", F.concat_ws(",", *fields, "rate_to_usd", F.lit("surplus"))).otherwise(F.concat_ws(",", *fields)).alias("value"),
+            )
+            header = df.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(",".join(df.columns)).alias("value"))
+            # A file of its own, with the header on top.
+            one = header.unionByName(lines).coalesce(1).sortWithinPartitions("place").select("value")
+            one.write.mode("append").option("compression", "none").text(f"{folder}/malformed")
+            df.sparkSession.read.text(f"{folder}/malformed").coalesce(1).write.mode("append").text(path)

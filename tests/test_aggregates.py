@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import GROUPINGS, METRICS
 from spendlens.operators import aggregates as a
@@ -90,14 +91,21 @@ def test_unknown_names_are_rejected(fact):
         a.rank(fact, "spend", "none")
 
 
-@pytest.mark.parametrize("limit, want", [(0, 10), (1, 5), (3, 5), (12, 12), (500, 50)])
-def test_rank_has_a_floor_and_a_cap(spark, limit, want):
+@pytest.mark.parametrize("limit, want", [(0, 10), (1, 1), (12, 12), (70, 70), (500, 80)])
+def test_rank_honours_its_limit(spark, limit, want):
     fact = fact_frame(spark, [{"creative_id": f"K{i:03}", "spend_usd": float(i)} for i in range(80)])
     got = rows(a.rank(fact, "spend", "creative", limit=limit))
     assert len(got) == want and got[0] == ("K079", 79.0)
     assert rows(a.rank(fact, "spend", "creative", limit=limit, ascending=True))[0] == ("K000", 0.0)
 
 
+def test_a_readable_size_reports_what_it_changes():
+    assert a.ranking_size(0) == (10, None) and a.ranking_size(12) == (12, None)
+    assert a.ranking_size(3)[0] == 5 and "3 rows" in a.ranking_size(3)[1]
+    assert a.ranking_size(500)[0] == 50 and "500" in a.ranking_size(500)[1]
+    assert a.ranking_size(500, cap=1000) == (500, None)
+
+
 def test_rank_by_date_ranks_by_the_metric(fact):
     assert rows(a.rank(fact, "spend", "date"))[0] == (D(2026, 6, 2), 30.0)
 
@@ -149,6 +157,15 @@ def test_parts_sum_to_total(fact):
         parts_sum_to_total(fact, "roas")
 
 
+def test_large_totals_agree_or_not(spark):
+    sound = fact_frame(spark, [{"creative_id": f"K{i % 977}", "campaign_id": f"C{i % 13}", "spend_usd": 1e12 / 3 + i} for i in range(4000)])
+    got = parts_sum_to_total(sound).collect()
+    assert all(r["agrees"] for r in got) and got[0]["total"] > 1e15
+    # A group that a breakdown loses shows, even beside so large a total.
+    lost = parts_sum_to_total(sound.withColumn("spend_usd", F.col("spend_usd")), tolerance=-1.0).collect()
+    assert not any(r["agrees"] for r in lost)
+
+
 def test_implausible_ratio_is_marked(spark):
     fact = fact_frame(spark, [{"campaign_id": "A", "revenue_usd": 51.0}, {"campaign_id": "B", "revenue_usd": 50.0}])
     assert {r["campaign_name"]: r["plausible"] for r in ratio_bounds(fact).collect()} == {

@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 
 from spendlens.operators import audit as a
+from spendlens.operators.anomaly import last_day_ratios
+from spendlens.operators.clean import dated_performance
 
 from feeds import PERF, PERF_COLUMNS, literal_feeds
 
@@ -210,5 +212,68 @@ def test_rollup_reports_column_drift(spark, feeds):
     assert found["extra columns", "campaigns"]["detail"] == "owner"
     assert ("duplicate rows", "ad_performance_daily") in found
     lacking = {**feeds, "fx_rates": feeds["fx_rates"].drop("currency")}
-    only = a.audit(spark, lacking).collect()
-    assert [(r["check"], r["severity"], r["detail"]) for r in only] == [("missing columns", "BLOCKER", "currency")]
+    rest = {(r["check"], r["target"]): r for r in a.audit(spark, lacking).collect()}
+    assert rest["missing columns", "fx_rates"]["severity"] == "BLOCKER"
+    assert rest["missing columns", "fx_rates"]["detail"] == "currency"
+    # Only what needs the column is left out.
+    whole = {(r["check"], r["target"]) for r in a.audit(spark, feeds).collect()}
+    gone = whole - set(rest)
+    assert gone and all("fx_rates" in target for _, target in gone)
+    assert ("duplicate rows", "fx_rates") in rest and ("orphan campaigns", "ad_performance_daily") in rest
+
+
+@pytest.mark.parametrize("feed", ["ad_performance_daily", "campaigns", "creatives", "fx_rates"])
+def test_rollup_of_a_delivery_that_lacks_a_feed(spark, feeds, feed):
+    rest = {k: v for k, v in feeds.items() if k != feed}
+    found = {(r["check"], r["target"]): r["severity"] for r in a.audit(spark, rest).collect()}
+    assert found["missing feed", feed] == "BLOCKER" and len(found) > 3
+    assert not any(target.startswith(feed) for check, target in found if check != "missing feed")
+
+
+def test_rollup_of_nothing(spark):
+    assert {r["check"] for r in a.audit(spark, {}).collect()} == {"missing feed"}
+
+
+@pytest.mark.parametrize("column", PERF_COLUMNS)
+def test_rollup_without_any_one_column(spark, feeds, column):
+    lacking = {**feeds, "ad_performance_daily": feeds["ad_performance_daily"].drop(column)}
+    found = {(r["check"], r["target"]) for r in a.audit(spark, lacking).collect()}
+    assert ("missing columns", "ad_performance_daily") in found and ("duplicate rate keys", "fx_rates") in found
+
+
+def test_findings_state_ids_and_rows(spark, feeds):
+    found = {r["check"]: r["detail"] for r in a.audit(spark, feeds).collect()}
+    assert found["orphan campaigns"].endswith("1 ids") and found["currency mismatch"].endswith("2 ids")
+
+
+def test_counts_of_the_cleaning_layer_serve_the_audit(spark, feeds):
+    copies = dated_performance(feeds["ad_performance_daily"])
+    own, given = a.audit(spark, feeds), a.audit(spark, feeds, copies=copies)
+    assert own.exceptAll(given).count() == 0 and own.count() == given.count()
+
+
+def test_not_a_number_and_infinity_are_no_numbers(spark):
+    rows = [("2026-06-05", "C1", "K", t, "1", "1", t, "1", "INR") for t in ("nan", "NaN", "inf", "-Infinity", "1e400", "7")]
+    perf = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in PERF_COLUMNS))
+    bad = by(a.non_numeric(perf, examples=9), "column")
+    assert bad["spend"]["n_bad"] == 5 and "nan" in bad["spend"]["examples"]
+    assert by(a.numeric_summary(perf), "column")["spend"]["mean"] == 7.0
+
+
+def test_short_feeds_are_not_judged_by_their_last_day(spark):
+    def volume(days):
+        return spark.createDataFrame(
+            [(D(2026, 6, 1) + dt.timedelta(days=i), 1 if i == days - 1 else 100, 1, 1, 1, 1.0) for i in range(days)],
+            "date date, n_rows long, campaigns long, impressions long, conversions long, spend double")
+
+    few, enough = by(last_day_ratios(volume(14)), "measure"), by(last_day_ratios(volume(15)), "measure")
+    assert few["n_rows"]["ratio"] is None and not few["n_rows"]["looks_partial"]
+    assert enough["n_rows"]["ratio"] == 0.01 and enough["n_rows"]["looks_partial"]
+    assert by(last_day_ratios(volume(3), min_days=3), "measure")["n_rows"]["looks_partial"]
+
+
+def test_profile_keeps_whole_values_and_can_approximate(spark):
+    df = spark.createDataFrame([("x" * 100, str(i % 300)) for i in range(3000)], "a string, b string")
+    exact, rough = by(a.profile(df, "f"), "column"), by(a.profile(df, "f", approx=True), "column")
+    assert exact["a"]["sample"] == "x" * 100 and exact["b"]["distinct_values"] == 300
+    assert abs(rough["b"]["distinct_values"] - 300) < 30

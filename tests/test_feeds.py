@@ -1,8 +1,9 @@
 import pytest
 
 from spendlens.operators.aggregates import aggregate
+from spendlens.operators.audit import audit
 from spendlens.operators.fact import build_curated, curated_fact, write_curated
-from spendlens.sources.feeds import EXPECTED, feed_counts, feed_inventory, read_feeds
+from spendlens.sources.feeds import EXPECTED, MALFORMED, feed_counts, feed_inventory, read_feeds
 
 from feeds import literal_feeds
 
@@ -25,7 +26,7 @@ def folder(path, skip=(), headers=HEADERS):
 def test_everything_arrives_as_text(spark, tmp_path):
     feeds = read_feeds(spark, folder(tmp_path))
     for name, df in feeds.items():
-        assert df.columns == EXPECTED[name]
+        assert df.columns == [*EXPECTED[name], MALFORMED]
         assert {t for _, t in df.dtypes} == {"string"}
     perf = feeds["ad_performance_daily"].collect()
     assert perf[0]["revenue"] is None and perf[0]["spend"] == "12.5"
@@ -87,3 +88,41 @@ def test_from_csv_files_to_an_answer(spark, tmp_path):
     assert fact.drop("month").exceptAll(want).count() == 0 and fact.count() == want.count()
     spend = {r["channel"]: r["spend_usd"] for r in aggregate(fact, "spend", "channel").collect()}
     assert spend == {"google_search": 79.0, "youtube": 20.0, "unattributed": 3.0, "meta": 1.0}
+
+
+def test_files_of_one_feed_may_order_their_columns_differently(spark, tmp_path):
+    path = folder(tmp_path, skip=("ad_performance_daily",))
+    (tmp_path / "ad_performance_daily.csv").mkdir()
+    first, second = list(EXPECTED["ad_performance_daily"]), list(EXPECTED["ad_performance_daily"])
+    second[1], second[2] = second[2], second[1]
+    rows = ["2026-06-05,C{0},K{0},1,1,1,1,1,INR", "2026-06-05,K{0},C{0},1,1,1,1,1,INR"]
+    for i, names in enumerate((first, second)):
+        lines = [",".join(names), *(rows[i].format(2 * n + i) for n in range(5))]
+        (tmp_path / "ad_performance_daily.csv" / f"part{i}.csv").write_text("\n".join(lines) + "\n")
+    third = [",".join(c for c in first if c != "revenue"), "2026-06-05,C99,K99,1,1,1,1,INR"]
+    (tmp_path / "ad_performance_daily.csv" / "part2.csv").write_text("\ufeff" + "\n".join(third))
+    got = {r["campaign_id"]: r for r in read_feeds(spark, path)["ad_performance_daily"].collect()}
+    assert set(got) == {*(f"C{i}" for i in range(10)), "C99"}
+    assert all(r["creative_id"] == "K" + c[1:] for c, r in got.items())
+    assert got["C99"]["revenue"] is None and got["C99"]["date"] == "2026-06-05" and got["C99"][MALFORMED] is None
+
+
+def test_rows_that_do_not_fit_are_kept_and_counted(spark, tmp_path):
+    path = folder(tmp_path)
+    with open(tmp_path / "fx_rates.csv", "a") as f:
+        f.write("2026-06-06,INR,0.01,surplus\n2026-06-07,INR\n2026-06-08,INR,\n")
+    feeds = read_feeds(spark, path)
+    rows = {r["date"]: r for r in feeds["fx_rates"].collect()}
+    assert rows["2026-06-06"][MALFORMED] == "2026-06-06,INR,0.01,surplus" and rows["2026-06-06"]["rate_to_usd"] == "0.01"
+    assert rows["2026-06-07"][MALFORMED] == "2026-06-07,INR" and rows["2026-06-08"][MALFORMED] is None
+    counts = {r["feed"]: r["malformed_rows"] for r in feed_inventory(feeds).collect()}
+    assert counts == {"ad_performance_daily": 0, "campaigns": 0, "creatives": 0, "fx_rates": 2}
+    found = {(r["check"], r["target"]): r["n_rows"] for r in audit(spark, feeds).collect()}
+    assert found["malformed rows", "fx_rates"] == 2
+
+
+def test_an_absent_feed_is_a_row_of_the_inventory(spark, tmp_path):
+    feeds = read_feeds(spark, folder(tmp_path, skip=("creatives",)), allow_missing=True)
+    rows = {r["feed"]: r for r in feed_inventory(feeds).collect()}
+    assert rows["creatives"]["severity"] == "BLOCKER" and rows["creatives"]["n_rows"] == 0
+    assert "headline" in rows["creatives"]["missing_columns"] and rows["campaigns"]["severity"] is None

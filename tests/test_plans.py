@@ -5,7 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import queries
-from spendlens.catalog.queries import workspace
+from spendlens.catalog.queries import catalog, workspace
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(catalog()))
 def test_no_pairing_of_everything_and_no_python(spark, key):
     text = plan(queries()[key](spark, FOLDER))
     for word in ("NestedLoop", "Cartesian", "Python", "MapInPandas"):
@@ -54,6 +54,20 @@ def test_sums_are_combined_before_the_shuffle(spark):
         assert "partial_" in text and "SortAggregate(key=[date" not in text
 
 
+def test_audit_reads_the_written_counts_and_stays_small(spark):
+    space = workspace(spark, FOLDER)
+    text = plan(queries()["audit_findings"](spark, FOLDER))
+    wide = [l for l in text.split("\n") if "Exchange hashpartitioning(" in l and "creative_id" in l and "revenue" in l]
+    assert not wide and "raw/ad_performance_daily" not in text
+    assert space.curated.performance.inputFiles()
+
+
+def test_quartiles_do_not_shuffle_the_values(spark):
+    text = plan(queries()["numeric_summary"](spark, FOLDER))
+    first = [l for l in text.split("\n") if "Exchange hashpartitioning(" in l]
+    assert any("bucket" in l for l in first) and "Expand" not in plan(queries()["profile"](spark, FOLDER))
+
+
 def test_shared_tables_are_written_once(spark):
     space = workspace(spark, FOLDER)
     assert workspace(spark, FOLDER + "/") is space

@@ -1,7 +1,7 @@
 import datetime as dt
 
 from spendlens.operators.rates import (
-    calendar, clean_rates, conflicting_keys, dense_rates, densify, first_and_last, span_bounds,
+    calendar, clean_rates, conflicting_keys, dense_rates, densify, first_and_last, rates_as_of, span_bounds,
 )
 
 D = dt.date
@@ -54,3 +54,20 @@ def test_empty_span_gives_no_grid(spark):
 def test_conflicting_quotes_are_found(spark):
     feed = rates(spark, [("2026-06-05", "INR", "0.012"), ("2026-06-05", "INR", "0.013"), ("2026-06-05", "USD", "1")])
     assert [tuple(r) for r in conflicting_keys(feed).collect()] == [(D(2026, 6, 5), "INR", 2)]
+
+
+def test_rates_as_of_equal_the_dense_table(spark):
+    feed = rates(spark, [("2026-06-05", "INR", "0.012"), ("2026-06-08", "INR", "0.010"), ("2026-06-06", "USD", "1"),
+                         ("2026-06-07", "INR", "closed"), ("2026-06-01", "EUR", "?")])
+    days = [D(2026, 6, d) for d in range(1, 13)]
+    pairs = spark.createDataFrame([(d, c) for d in days for c in ("INR", "USD", "EUR")], "day date, currency string")
+    dense = dense_rates(feed, days[0], days[-1])
+    got = rates_as_of(pairs, feed)
+    assert got.exceptAll(dense).count() == 0 and got.count() == dense.count()
+
+
+def test_a_far_day_or_an_unknown_currency_costs_one_row(spark):
+    feed = rates(spark, [("2026-06-05", "INR", "0.012"), ("2026-06-05", "INR", "0.013")])
+    pairs = [(D(9999, 12, 31), "INR"), (D(9999, 12, 31), "INR"), (D(2026, 6, 5), "INR"), (D(2026, 6, 5), "XYZ")]
+    got = sorted(map(tuple, rates_as_of(spark.createDataFrame(pairs, "day date, currency string"), feed).collect()), key=str)
+    assert got == [(D(2026, 6, 5), "INR", 0.013, False), (D(2026, 6, 5), "XYZ", None, None), (D(9999, 12, 31), "INR", 0.013, True)]

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from spendlens.plans.store import new_folder, read_by_month, work_dir, write_by_month, written
+from spendlens.plans.store import drop_folder, new_folder, read_by_month, work_dir, write_by_month, written
 
 
 class Session:
@@ -12,6 +12,7 @@ class Session:
     def __init__(self, master, setting=None):
         self.settings = {"spark.checkpoint.dir": setting} if setting else {}
         self.master, self.folder = master, None
+        self.applicationId = f"app-{id(self)}"
         self.conf, self.sparkContext = self, self
 
     def get(self, key, default):
@@ -36,8 +37,18 @@ def test_a_temporary_folder_only_in_local_mode():
     session = Session("local[2]")
     folder = work_dir(session)
     assert os.path.isdir(folder) and work_dir(session) == folder
-    with pytest.raises(RuntimeError):
-        work_dir(Session("spark://host:7077"))
+    assert session.folder is None  # the context's own setting is left alone
+    for setting in (None, "file:/tmp/checkpoints", "/tmp/checkpoints"):
+        with pytest.raises(RuntimeError):
+            work_dir(Session("spark://host:7077", setting))
+    assert work_dir(Session("local-cluster[2,1,1024]", "file:/shared")) == "file:/shared"
+
+
+def test_a_run_can_be_dropped(spark, tmp_path):
+    path = str(tmp_path / "run")
+    written(spark.range(3), f"{path}/t")
+    drop_folder(spark, path)
+    assert not os.path.exists(path)
 
 
 def test_written_table_has_no_lineage_beyond_its_files(spark, tmp_path):
