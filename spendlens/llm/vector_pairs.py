@@ -39,95 +39,146 @@ COSINE = 0.95
 SAMPLE = 2048  # rows that the upper levels are made from
 CELLS = 64  # most centres of the upper levels
 BLOCK = 4096  # rows of a block, about
-LEAF = 8
-SLACK = 1e-9  # distances closer than this to a bound are decided row by row
+LEAF = 8  # a node of so few rows is not opened further
+SLACK = 1e-9  # a node of this radius is not opened further
+ROUNDING = 1e-5  # more than a product of unit vectors in single precision can be off
 
 
 @dataclass
 class Tree:
-    """Nodes in arrays; the rows of a node are ``order[start:end]``, its children ``first:last`` in ``kids``."""
-
-    order: np.ndarray
-    centre: list[int]
-    radius: list[float]
-    start: list[int]
-    end: list[int]
-    kids: list[list[int]]
+    """Nodes in arrays. A node's rows are ``start`` to ``end``, its children the nodes ``first`` to ``last``."""
+
+    order: np.ndarray  # the rows in the order that start and end count in
+    radius: np.ndarray
+    centre: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def packed(self) -> dict[str, bytes]:
+        nodes = np.stack([self.centre, self.start, self.end, self.first, self.last])
+        return {"nodes": nodes.tobytes(), "radius": self.radius.tobytes()}
+
+    @staticmethod
+    def unpacked(nodes: bytes, radius: bytes) -> Tree:
+        """A tree over rows that are stored in its order."""
+        radius = np.frombuffer(radius)
+        fields = np.frombuffer(nodes, np.int64).reshape(5, len(radius))
+        return Tree(np.arange(fields[2].max(initial=0)), radius, *fields)
+
+    def children(self, node: int) -> np.ndarray:
+        """The node itself if it has none."""
+        return np.arange(self.first[node], self.last[node]) if self.last[node] else np.array([node])
+
+
+def _net(rows: np.ndarray, members: np.ndarray, centre: int, radius: float) -> list[tuple[int, np.ndarray]]:
+    """Centres further apart than the radius, the given one first, and the rows each is the first to cover."""
+    near, out = 1 - radius * radius / 2, []
+    free = np.concatenate([[centre], members[members != centre]])
+    while len(free):
+        # A batch of candidates in order: one is a centre unless an earlier centre covers it.
+        batch = free[:256]
+        covers = rows[batch] @ rows[batch].T >= near
+        chosen: list[int] = []
+        for i in range(len(batch)):
+            if not covers[i, chosen].any():
+                chosen.append(i)
+        reached = rows[free] @ rows[batch[chosen]].T >= near
+        reached[chosen, np.arange(len(chosen))] = True
+        owner = np.where(reached.any(axis=1), reached.argmax(axis=1), len(chosen))
+        owner[chosen] = np.arange(len(chosen))
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(len(chosen) + 1))
+        out += [(int(batch[c]), free[order[x:y]]) for c, x, y in zip(chosen, cuts[:-1], cuts[1:], strict=True)]
+        free = free[order[cuts[-1] :]]
+    return out
 
 
 def cover_tree(rows: np.ndarray) -> Tree:
     """A cover tree over unit vectors, from the radius 2 that holds all of them downwards."""
-    tree, order = Tree(np.empty(len(rows), np.int64), [], [], [], [], []), []
-
-    def add(members: np.ndarray, centre: int) -> int:
-        tree.centre.append(centre)
-        far = np.linalg.norm(rows[members] - rows[centre], axis=1)
-        tree.radius.append(float(far.max()))
-        tree.start.append(-1)
-        tree.end.append(-1)
-        tree.kids.append([])
-        return len(tree.centre) - 1
-
-    # A stack entry is a node to open, or (from the second visit on) one to close.
-    todo = [(add(np.arange(len(rows)), 0), np.arange(len(rows)), 2.0, False)] if len(rows) else []
+    order: list[int] = []
+    centre, radius, start, end, first, last = [], [], [], [], [], []
+
+    def add(middle: int, members: np.ndarray) -> int:
+        far = float(np.linalg.norm(rows[members] - rows[middle], axis=1).max()) if len(members) > 1 else 0.0
+        for values, value in zip((centre, radius, start, end, first, last), (middle, far, -1, -1, 0, 0), strict=True):
+            values.append(value)
+        return len(centre) - 1
+
+    todo = [(add(0, np.arange(len(rows))), np.arange(len(rows)), 2.0, False)] if len(rows) else []
     while todo:
-        node, members, radius, closing = todo.pop()
+        node, members, level, closing = todo.pop()
         if closing:
-            tree.end[node] = len(order)
+            end[node] = len(order)
             continue
-        tree.start[node] = len(order)
-        todo.append((node, members, radius, True))
-        if len(members) <= LEAF or tree.radius[node] <= SLACK:
+        start[node] = len(order)
+        if len(members) <= LEAF or radius[node] <= SLACK:
             order.extend(members.tolist())
+            end[node] = len(order)
             continue
-        half = radius / 2
-        while tree.radius[node] <= half:
+        todo.append((node, members, level, True))  # closed when its children are done
+        half = level / 2
+        while radius[node] <= half:
             half /= 2
-        free, centre = members, tree.centre[node]
-        while len(free):
-            near = np.linalg.norm(rows[free] - rows[centre], axis=1) <= half
-            near |= free == centre
-            own = free[near]
-            child = add(own, centre)
-            tree.kids[node].append(child)
-            todo.append((child, own, half, False))
-            free = free[~near]
-            centre = int(free[0]) if len(free) else -1
-    tree.order = np.array(order, np.int64)
-    return tree
+        first[node] = len(centre)
+        todo += [(add(middle, own), own, half, False) for middle, own in _net(rows, members, centre[node], half)]
+        last[node] = len(centre)
+    fields = [np.array(x, np.int64) for x in (centre, start, end, first, last)]
+    return Tree(np.array(order, np.int64), np.array(radius), *fields)
+
 
+def _exact(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the row pairs that are linked, in double precision."""
+    keep = np.einsum("ij,ij->i", a[x], b[y]) >= cosine
+    return x[keep], y[keep]
 
-def near_rows(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(a @ b.T >= cosine)
+
+def _row_pairs(tree_a: Tree, n: np.ndarray, tree_b: Tree, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row of a node with every row of its partner, for pairs of small nodes."""
+    wide = tree_b.end[m] - tree_b.start[m]
+    count = (tree_a.end[n] - tree_a.start[n]) * wide
+    pair = np.repeat(np.arange(len(n)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return tree_a.start[n][pair] + place // wide[pair], tree_b.start[m][pair] + place % wide[pair]
 
 
 def walk(a: np.ndarray, tree_a: Tree, b: np.ndarray, tree_b: Tree, cosine: float = COSINE):
-    """Yields ``(rows of a, rows of b, whole)``: whole when every such pair is linked, else one by one."""
+    """Yields ``(rows of a, rows of b, whole)``: whole when every such pair is linked, else one by one.
+
+    Rows are in the order of their tree. Products are taken in single precision, and
+    ``ROUNDING`` keeps every decision that they can't make for the exact one.
+    """
     reach = float(np.sqrt(2 - 2 * cosine))
+    low_a, low_b = a.astype(np.float32), b.astype(np.float32)
     todo = [(0, 0)] if len(a) and len(b) else []
     while todo:
         i, j = todo.pop()
-        # A node without children stands for itself.
-        left, right = np.array(tree_a.kids[i] or [i]), np.array(tree_b.kids[j] or [j])
-        centre_b = b[[tree_b.centre[x] for x in right]]
-        radius_b = np.array([tree_b.radius[x] for x in right])
-        for at in range(0, len(left), 512):
-            part = left[at : at + 512]
-            product = a[[tree_a.centre[x] for x in part]] @ centre_b.T
-            apart = np.sqrt(np.maximum(0, 2 - 2 * product))
-            span = np.add.outer([tree_a.radius[x] for x in part], radius_b)
-            for x, y in zip(*np.nonzero(apart - span <= reach + 1e-7), strict=True):
-                n, m = int(part[x]), int(right[y])
-                rows_a = tree_a.order[tree_a.start[n] : tree_a.end[n]]
-                rows_b = tree_b.order[tree_b.start[m] : tree_b.end[m]]
-                if apart[x, y] + span[x, y] <= reach - 1e-7:
-                    yield rows_a, rows_b, True
-                elif not tree_a.kids[n] and not tree_b.kids[m]:
-                    p, q = near_rows(a[rows_a], b[rows_b], cosine)
-                    if len(p):
-                        yield rows_a[p], rows_b[q], False
-                else:
-                    todo.append((n, m))
+        left, right = tree_a.children(i), tree_b.children(j)
+        alone_a, alone_b = (t.end[n] - t.start[n] == 1 for t, n in ((tree_a, left), (tree_b, right)))
+        # Single rows against single rows need no radius: one product and one comparison.
+        rows_a, rows_b = tree_a.start[left[alone_a]], tree_b.start[right[alone_b]]
+        for at in range(0, len(rows_a), 1024):
+            part = rows_a[at : at + 1024]
+            x, y = np.nonzero(low_a[part] @ low_b[rows_b].T >= cosine - ROUNDING)
+            if len(x):
+                yield *_exact(a, b, part[x], rows_b[y], cosine), False
+        for some, others in ((left[~alone_a], right), (left[alone_a], right[~alone_b])):
+            for at in range(0, len(some), 1024):
+                part = some[at : at + 1024]
+                product = low_a[tree_a.centre[part]] @ low_b[tree_b.centre[others]].T
+                span = np.add.outer(tree_a.radius[part], tree_b.radius[others])
+                far = 1 - np.minimum(2, reach + span) ** 2 / 2 - ROUNDING
+                inside = np.where(span <= reach, 1 - (reach - span) ** 2 / 2 + ROUNDING, np.inf)
+                x, y = np.nonzero(product >= far)
+                whole = product[x, y] >= inside[x, y]
+                n, m = part[x], others[y]
+                closed = (tree_a.last[n] == 0) & (tree_b.last[m] == 0) & ~whole
+                if closed.any():
+                    yield *_exact(a, b, *_row_pairs(tree_a, n[closed], tree_b, m[closed]), cosine), False
+                for i, j in zip(n[whole].tolist(), m[whole].tolist(), strict=True):
+                    yield np.arange(tree_a.start[i], tree_a.end[i]), np.arange(tree_b.start[j], tree_b.end[j]), True
+                todo += zip(n[~whole & ~closed].tolist(), m[~whole & ~closed].tolist(), strict=True)
 
 
 def _local_roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -150,10 +201,10 @@ def _local_roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
 def block_links(a: pd.Series, b: pd.Series | None, kind: str, cosine: float) -> pd.DataFrame:
     """Linked vectors of each row within a block, or across two, and a node to join it with."""
     sides = [a] if b is None else [a, b]
-    nodes = [np.frombuffer(s["nodes"], np.int64) for s in sides]
+    nodes = [np.frombuffer(s["ids"], np.int64) for s in sides]
     copies = [np.frombuffer(s["copies"], np.int64) for s in sides]
     rows = [unit(matrix(s["vectors"], kind, len(n))) for s, n in zip(sides, nodes, strict=True)]
-    trees = [cover_tree(r) for r in rows]
+    trees = [Tree.unpacked(s["nodes"], s["radius"]) for s in sides]
     other, shift = (0, 0) if b is None else (1, len(nodes[0]))
     links = [np.zeros(len(n), np.int64) for n in nodes]
     pairs = []
@@ -225,11 +276,21 @@ def _near_cells(cells: pd.DataFrame, centres: dict[int, np.ndarray], cosine: flo
     return out
 
 
-def _block(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("node")
-    row = {"width": group["width"].iloc[0], "cell": group["cell"].iloc[0], "part": group["part"].iloc[0]}
-    row |= {"nodes": group["node"].to_numpy(np.int64).tobytes(), "copies": group["copies"].to_numpy(np.int64).tobytes()}
-    return pd.DataFrame([row | {"vectors": b"".join(group["vector"])}])
+def _block(kind: str):
+    """A block in one row: its classes in the order of its tree, and the tree."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        tree = cover_tree(unit(matrix(b"".join(group["vector"]), kind, len(group))))
+        place = np.empty(len(group), np.int64)
+        place[tree.order] = np.arange(len(group))
+        tree.centre = place[tree.centre]
+        group = group.iloc[tree.order]
+        row = {c: group[c].iloc[0] for c in ("width", "cell", "part")}
+        row |= {"ids": group["node"].to_numpy(np.int64).tobytes(), "copies": group["copies"].to_numpy(np.int64).tobytes()}
+        return pd.DataFrame([row | {"vectors": b"".join(group["vector"]), **tree.packed()}])
+
+    return run
 
 
 def class_links(classes: DataFrame, kind: str, cosine: float = COSINE) -> DataFrame:
@@ -249,8 +310,8 @@ def class_links(classes: DataFrame, kind: str, cosine: float = COSINE) -> DataFr
     # One row per cell and length, at most ``CELLS`` for each length of vector.
     parts = spark.createDataFrame([(int(r.width), int(r.cell), -(-int(r.n) // BLOCK)) for r in cells.itertuples()], "width int, cell int, parts int")
     rows = placed.join(F.broadcast(parts), ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    schema = "width int, cell int, part int, nodes binary, copies binary, vectors binary"
-    blocks = cut(rows.drop("far", "parts").groupBy("width", "cell", "part").applyInPandas(_block, schema))
+    schema = "width int, cell int, part int, ids binary, copies binary, vectors binary, nodes binary, radius binary"
+    blocks = cut(rows.drop("far", "parts").groupBy("width", "cell", "part").applyInPandas(_block(kind), schema))
     blocks = blocks.withColumn("block", F.struct("cell", "part"))
     near = spark.createDataFrame(_near_cells(cells, centres, cosine), "width int, cell int, cell_b int")
     ids = blocks.select("width", "cell", F.col("block").alias("a"))

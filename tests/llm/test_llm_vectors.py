@@ -88,16 +88,40 @@ def test_the_walk_prunes_and_takes_whole_nodes():
     rows = unit(np.repeat(centres, 50, axis=0) + rng.normal(size=(300, 32)) * 0.01)
     tree = vector_pairs.cover_tree(rows)
     assert sorted(tree.order.tolist()) == list(range(300))
-    for i, kids in enumerate(tree.kids):
+    for i in range(len(tree.radius)):
         own = tree.order[tree.start[i] : tree.end[i]]
         assert np.linalg.norm(rows[own] - rows[tree.centre[i]], axis=1).max() <= tree.radius[i] + 1e-12
-        if kids:
+        if tree.last[i]:
+            kids = range(tree.first[i], tree.last[i])
             assert sorted(x for k in kids for x in tree.order[tree.start[k] : tree.end[k]]) == sorted(own)
-    steps = list(vector_pairs.walk(rows, tree, rows, tree))
+            assert tree.centre[i] in [tree.centre[k] for k in kids]
+    place = np.argsort(tree.order)
+    rows, tree.centre = rows[tree.order], place[tree.centre]
+    again = vector_pairs.Tree.unpacked(**tree.packed())
+    steps = list(vector_pairs.walk(rows, again, rows, tree))
     assert sum(len(x) * len(y) if whole else len(x) for x, y, whole in steps) == 6 * 50 * 50
     assert sum(whole for *_, whole in steps) > 0 and len(steps) < 300
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.05, 0.1, 0.2, 1.0])
+def test_the_walk_links_what_the_product_links(noise):
+    rng = np.random.default_rng(8)
+    a, b = (unit(np.repeat(rng.normal(size=(5, 12)), 80, axis=0) + rng.normal(size=(400, 12)) * noise) for _ in range(2))
+    b[:50] = a[:50]
+    for x, y in ((a, a), (a, b)):
+        trees = [vector_pairs.cover_tree(z) for z in (x, y)]
+        x, y = (z[t.order] for z, t in zip((x, y), trees, strict=True))
+        for t in trees:
+            t.centre = np.argsort(t.order)[t.centre]
+        got = np.zeros((400, 400), int)
+        for p, q, whole in vector_pairs.walk(x, trees[0], y, trees[1]):
+            if whole:
+                got[np.ix_(p, q)] += 1
+            else:
+                np.add.at(got, (p, q), 1)
+        assert (got == (x @ y.T >= 0.95)).all()
+
+
 def test_single_and_no_vectors(spark):
     assert [tuple(r) for r in vector_pairs.near_vectors(frame(spark, [(7, [1.0, 2.0])])).collect()] == [(7, 0, 7, True)]
     assert vector_pairs.near_vectors(frame(spark, [])).collect() == []
