@@ -28,6 +28,7 @@ from spendlens.llm.common import cut
 CAPACITY = 2048
 GROUPS = 64
 SMALL = 1 / 8  # pieces up to this part of a sequence are small
+OPEN = 1 / 32  # a configuration's sequences are kept with at most this part of room
 ROWS_PER_CELL = 5000
 
 
@@ -120,9 +121,11 @@ class Stock:
         """The largest length up to ``most``, 0 if there is none."""
         return max(0, (self.lengths & ((2 << most) - 1)).bit_length() - 1)
 
-    def take(self, length: int, count: int) -> None:
-        self.counts[length] -= count
-        if not self.counts[length]:
+    def add(self, length: int, count: int) -> None:
+        self.counts[length] = self.counts.get(length, 0) + count
+        if self.counts[length]:
+            self.lengths |= 1 << length
+        else:
             self.lengths &= ~(1 << length)
 
 
@@ -146,25 +149,33 @@ def _substitute(layout: Layout, slots: list[tuple[int, int]], times: int, stock:
     """Sequences of one configuration, filled with actual pieces of the groups (smallest, largest) it names.
 
     The actual pieces are shorter than the rounded ones, so the last place takes
-    the largest piece that fits into the room they leave.
+    the largest piece that fits into the room they leave. Sequences that still come
+    out with much room are not kept; their pieces go back.
     """
-    runs = [(layout.new(times), layout.capacity)]
+    runs: list[tuple[int, list[int], int]] = [(times, [], layout.capacity)]
     for place, (low, high) in enumerate(slots):
         last, filled = place == len(slots) - 1, []
-        for (first, count), room in runs:
+        for count, pieces, room in runs:
             while count:
                 length = stock.largest(room if last else min(high, room))
                 if length < (least if last else low):
                     break
                 here = min(count, stock.counts[length])
-                stock.take(length, here)
-                layout.put(length, (first, here), room)
-                filled.append(((first, here), room - length))
-                first, count = first + here, count - here
+                stock.add(length, -here)
+                filled.append((here, [*pieces, length], room - length))
+                count -= here
             if count:
-                filled.append(((first, count), room))
+                filled.append((count, pieces, room))
         runs = filled
-    for run, room in runs:
+    for count, pieces, room in runs:
+        if room > layout.capacity * OPEN:
+            for length in pieces:
+                stock.add(length, count)
+            continue
+        run, before = layout.new(count), layout.capacity
+        for length in pieces:
+            layout.put(length, run, before)
+            before -= length
         layout.offer(run, room)
 
 

@@ -140,7 +140,7 @@ def _sets_and_sketch(words: int):
 
 
 def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype({c: "Int64" for c in ("doc_id", "n_shingles", "node", "chunk") if c in frame})
+    return frame.astype({c: "Int64" for c in ("n_shingles", "node", "chunk")})
 
 
 def _added(old: list[bytes], new: list[bytes]) -> list[bytes]:
@@ -311,10 +311,11 @@ def shingle_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ``class_id`` is the smallest ``doc_id`` with the same shingle set, and
     ``component_id`` the smallest that links reach.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, node long, chunk int, f0 binary"
+    # Ids go through as text, since pandas would turn those beside a NULL into doubles.
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    schema = "doc_id string, n_shingles long, node long, chunk int, f0 binary"
     first = cut(docs.mapInPandas(_sets_and_sketch(words), schema))
-    rows = first.filter("chunk is null").select("doc_id", "n_shingles", "node")
+    rows = first.filter("chunk is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "node")
     sketch = _sketch(first.filter("chunk is not null").select("chunk", "f0"))
     texts = docs.select("text")
     roots = components(_links(texts, sketch, words))

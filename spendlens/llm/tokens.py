@@ -91,7 +91,9 @@ def token_pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
                     for piece, start in enumerate(range(0, len(ids) // 4, size)):
                         own = ids[4 * start : 4 * (start + size)]
                         rows.append((doc_id, piece, start, len(own) // 4, own))
-                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=columns)
 
-    schema = "doc_id long, piece int, start long, length long, ids binary"
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(run, schema)
+    # As text, since pandas would turn ids beside a NULL into doubles.
+    schema = "doc_id string, piece int, start long, length long, ids binary"
+    pieces = docs.selectExpr("cast(doc_id as string) as doc_id", "text").mapInPandas(run, schema)
+    return pieces.withColumn("doc_id", pieces["doc_id"].cast("long"))

@@ -22,15 +22,17 @@ def _named(kind: str):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         packed = [(np.asarray(v, kind) + 0.0).tobytes() for v in batch["embedding"]]  # -0.0 becomes 0.0
         node = [int.from_bytes(blake2b(p, digest_size=8).digest(), "little", signed=True) for p in packed]
-        return pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "node": node, "vector": packed})
+        return pd.DataFrame({"vec_id": batch["vec_id"], "node": node, "vector": packed})
 
     return by_batch(run)
 
 
 def packed_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, node, vector`` of the usable rows: bytes in the table's own precision, and a hash that names equal ones."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(usable(F.col("embedding")))
-    return rows.mapInPandas(_named(precision(vectors)), "vec_id long, node long, vector binary")
+    # Ids go through as text, since pandas would turn those beside a NULL into doubles.
+    rows = vectors.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding").filter(usable(F.col("embedding")))
+    named = rows.mapInPandas(_named(precision(vectors)), "vec_id string, node long, vector binary")
+    return named.withColumn("vec_id", F.col("vec_id").cast("long"))
 
 
 def precision(vectors: DataFrame) -> str:

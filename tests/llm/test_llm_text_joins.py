@@ -84,6 +84,12 @@ def test_chains_and_a_large_group(documents):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(chain + group)
 
 
+def test_large_ids_beside_a_null_stay_exact(documents):
+    rows = [(2**62 + 1, "a b c d e f"), (None, "x"), (2**62 + 3, "a b c d e f")]
+    got = shingle_join.shingle_components(documents(rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (2**62 + 1, 2**62 + 1), (2**62 + 3, 2**62 + 1)]
+
+
 def test_odd_documents(documents, odd_rows):
     got = shingle_join.shingle_components(documents(odd_rows, extra=True)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(odd_rows)
