@@ -9,7 +9,7 @@ order gives the same links. Within a column, sizes and positions bound the overl
 pair can still reach, and parities of the two sets bound their difference from below;
 pairs below the bounds are dropped before their sets are read.
 
-Of a column with many rows not every pair is compared. Each row is first compared
+Where columns hold many rows not every pair is compared. Each row is first compared
 with one pivot of its column and size band; rows that link are one component from
 then on, and only pairs across components go on, to further pivots and in the end
 to each other. A group of near copies is thus settled by as many comparisons as it
@@ -44,7 +44,8 @@ WORDS = 5
 SKETCH_BITS = 18  # counters of the frequency sketch, as a power of two
 SKETCH_CHUNK = 2**14  # counters merged together
 PIVOT_ROUNDS = 6
-PAIRS_PER_ROW = 4  # pairs within columns that may be left per entry before further pivots are tried
+PAIRS_PER_ROW = 16  # with more pairs per entry within columns than this, pivots are tried first
+PROGRESS = 0.7  # and again while a round leaves at most this part of the pairs
 
 # Link when 100 * intersection >= 80 * union, kept in whole numbers: 5 i >= 4 u.
 NUM, DEN = 4, 5
@@ -291,16 +292,17 @@ def _links(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
 
     verifier = Verifier(docs, classes.select("node", "n", "parity"), words)
     edges: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS):
+    before = None
+    for turn in range(PIVOT_ROUNDS + 1):
         left = _open_entries(live, edges)
         per_column = left.groupBy("column", "band").agg(F.count("*").alias("c"))
-        totals = per_column.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-        if not totals[0] or (turn and totals[1] <= PAIRS_PER_ROW * totals[0]):
+        rows, pairs = per_column.agg(F.coalesce(F.sum("c"), F.lit(0)), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+        few = not rows or pairs <= PAIRS_PER_ROW * rows
+        # Pivots go on while they settle much of what is there.
+        if few or turn == PIVOT_ROUNDS or (before and pairs > PROGRESS * before):
             break
-        found = verifier.linked(_pivot_pairs(left, turn))
+        found, before = verifier.linked(_pivot_pairs(left, turn)), pairs
         edges = found if edges is None else edges.union(found)
-    else:
-        left = _open_entries(live, edges)
     found = verifier.linked(_cross_pairs(left))
     return found if edges is None else edges.union(found)
 
