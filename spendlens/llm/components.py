@@ -27,6 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return cut(out.filter("a > b").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node ``a`` has one neighbour ``b``, and no ``b`` is an ``a`` as well."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    per_node = roles.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return per_node.filter("leaf > 1 or (leaf = 1 and centre = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b``; the root is the smallest node of the component.
 
@@ -34,12 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, so a lost executor costs that step only.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    state = None
-    while True:
-        sums = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(sums) == state:
-            break
-        state = tuple(sums)
+    while not _stars(edges):
         edges = _star(_star(edges, large=True), large=False)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -15,7 +15,6 @@ and number; a length that very many pieces share is numbered in cells.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np

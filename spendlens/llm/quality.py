@@ -184,7 +184,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model:
     for view, x in (("text", text), ("meta", meta)):
         line = np.stack([x[held] @ getattr(model, view), np.ones(len(held))], 1)
         setattr(model, f"{view}_line", logistic(line, y, 1e-2, start=np.array([1.0, 0.0])))
-    odds = [np.stack([x[held] @ w, np.ones(len(held))], 1) @ line for x, w, line in ((text, model.text, model.text_line), (meta, model.meta, model.meta_line))]
+    both = ((text, model.text, model.text_line), (meta, model.meta, model.meta_line))
+    odds = [np.stack([x[held] @ w, np.ones(len(held))], 1) @ line for x, w, line in both]
     model.joint = logistic(np.stack([*odds, np.ones(len(held))], 1), y, 1e-2, start=np.array([0.5, 0.5, 0.0]))
     return model
 

@@ -257,13 +257,17 @@ def _open_entries(live: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each row with one seeded pivot of its column and band, unless they are together already."""
+    """Each row with one seeded pivot of another component, the first among those of its columns and bands.
+
+    Near copies share many columns, so most of a group meets the same pivot.
+    """
     order = F.xxhash64(F.lit(turn), F.col("node"))
     chosen = F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p")
-    pivots = cut(entries.groupBy("column", "band").agg(chosen).select("column", "band", "p.node", "p.label", "p.n"))
-    pivots = pivots.toDF("column", "band", "p_node", "p_label", "p_n")
+    pivots = cut(entries.groupBy("column", "band").agg(chosen).select("column", "band", "p.o", "p.node", "p.label", "p.n"))
+    pivots = pivots.toDF("column", "band", "p_order", "p_node", "p_label", "p_n")
     rows = entries.join(pivots, ["column", "band"]).filter((F.col("label") != F.col("p_label")) & reaches(F.col("n"), F.col("p_n")))
-    return rows.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
+    first = rows.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("p_order", "p_node")).alias("p"))
+    return first.select("a", F.col("p.p_node").alias("b"))
 
 
 def _cross_pairs(entries: DataFrame) -> DataFrame:

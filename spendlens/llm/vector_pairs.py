@@ -308,7 +308,8 @@ def class_links(classes: DataFrame, kind: str, cosine: float = COSINE) -> DataFr
     if not len(cells):
         return spark.createDataFrame([], "node long, links long, root long")
     # One row per cell and length, at most ``CELLS`` for each length of vector.
-    parts = spark.createDataFrame([(int(r.width), int(r.cell), -(-int(r.n) // BLOCK)) for r in cells.itertuples()], "width int, cell int, parts int")
+    counts = [(int(r.width), int(r.cell), -(-int(r.n) // BLOCK)) for r in cells.itertuples()]
+    parts = spark.createDataFrame(counts, "width int, cell int, parts int")
     rows = placed.join(F.broadcast(parts), ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     schema = "width int, cell int, part int, ids binary, copies binary, vectors binary, nodes binary, radius binary"
     blocks = cut(rows.drop("far", "parts").groupBy("width", "cell", "part").applyInPandas(_block(kind), schema))
