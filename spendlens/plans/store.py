@@ -23,7 +23,7 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     local = spark.sparkContext.master.startswith("local")
-    if shared and (local or not shared.startswith(("file:", "/"))):
+    if shared and (local or not shared.startswith("file:")):
         return shared.rstrip("/")
     if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -223,7 +223,9 @@ def write_as_csv(feeds: Feeds, folder: str) -> None:
             fields = [F.col("date"), F.col("currency")]
             lines = df.filter(day.isin("13", "14")).select(
                 F.lit(1).alias("place"),
-                F.when(day == "13", F.concat_ws(",", *fields, "rate_to_usd", F.lit("surplus"))).otherwise(F.concat_ws(",", *fields)).alias("value"),
+                F.when(day == "13", F.concat_ws(",", *fields, "rate_to_usd", F.lit("surplus")))
+                .otherwise(F.concat_ws(",", *fields))
+                .alias("value"),
             )
             header = df.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(",".join(df.columns)).alias("value"))
             # A file of its own, with the header on top.

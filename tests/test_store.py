@@ -38,7 +38,7 @@ def test_a_temporary_folder_only_in_local_mode():
     folder = work_dir(session)
     assert os.path.isdir(folder) and work_dir(session) == folder
     assert session.folder is None  # the context's own setting is left alone
-    for setting in (None, "file:/tmp/checkpoints", "/tmp/checkpoints"):
+    for setting in (None, "file:/tmp/checkpoints"):
         with pytest.raises(RuntimeError):
             work_dir(Session("spark://host:7077", setting))
     assert work_dir(Session("local-cluster[2,1,1024]", "file:/shared")) == "file:/shared"
