@@ -23,6 +23,7 @@ vectors of different length do not link; equal rows, also of one ``vec_id``, lin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +41,9 @@ SAMPLE = 2048  # rows that the upper levels are made from
 CELLS = 64  # most centres of the upper levels
 BLOCK = 4096  # rows of a block, about
 LEAF = 8  # a node of so few rows is not opened further
-SLACK = 1e-9  # a node of this radius is not opened further
+SLACK = 1e-7  # a node of this radius is not opened further; products can't tell rows apart much below it
 ROUNDING = 1e-5  # more than a product of unit vectors in single precision can be off
+PAIRS = 2**17  # row pairs that are compared exactly at a time
 
 
 @dataclass
@@ -113,7 +115,8 @@ def cover_tree(rows: np.ndarray) -> Tree:
             end[node] = len(order)
             continue
         start[node] = len(order)
-        if len(members) <= LEAF or radius[node] <= SLACK:
+        # The level halves each time, so this ends even where rounding leaves the radius as it was.
+        if len(members) <= LEAF or min(radius[node], level) <= SLACK:
             order.extend(members.tolist())
             end[node] = len(order)
             continue
@@ -134,13 +137,15 @@ def _exact(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: f
     return x[keep], y[keep]
 
 
-def _row_pairs(tree_a: Tree, n: np.ndarray, tree_b: Tree, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every row of a node with every row of its partner, for pairs of small nodes."""
+def _row_pairs(tree_a: Tree, n: np.ndarray, tree_b: Tree, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every row of a node with every row of its partner, for pairs of closed nodes, at most ``PAIRS`` at a time."""
     wide = tree_b.end[m] - tree_b.start[m]
-    count = (tree_a.end[n] - tree_a.start[n]) * wide
-    pair = np.repeat(np.arange(len(n)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return tree_a.start[n][pair] + place // wide[pair], tree_b.start[m][pair] + place % wide[pair]
+    ends = np.cumsum((tree_a.end[n] - tree_a.start[n]) * wide)
+    for at in range(0, int(ends[-1]), PAIRS):
+        number = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        pair = np.searchsorted(ends, number, side="right")
+        place = number - np.concatenate([[0], ends])[pair]
+        yield tree_a.start[n][pair] + place // wide[pair], tree_b.start[m][pair] + place % wide[pair]
 
 
 def walk(a: np.ndarray, tree_a: Tree, b: np.ndarray, tree_b: Tree, cosine: float = COSINE):
@@ -175,7 +180,8 @@ def walk(a: np.ndarray, tree_a: Tree, b: np.ndarray, tree_b: Tree, cosine: float
                 n, m = part[x], others[y]
                 closed = (tree_a.last[n] == 0) & (tree_b.last[m] == 0) & ~whole
                 if closed.any():
-                    yield *_exact(a, b, *_row_pairs(tree_a, n[closed], tree_b, m[closed]), cosine), False
+                    for p, q in _row_pairs(tree_a, n[closed], tree_b, m[closed]):
+                        yield *_exact(a, b, p, q, cosine), False
                 for i, j in zip(n[whole].tolist(), m[whole].tolist(), strict=True):
                     yield np.arange(tree_a.start[i], tree_a.end[i]), np.arange(tree_b.start[j], tree_b.end[j]), True
                 todo += zip(n[~whole & ~closed].tolist(), m[~whole & ~closed].tolist(), strict=True)

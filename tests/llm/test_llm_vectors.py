@@ -122,6 +122,56 @@ def test_the_walk_links_what_the_product_links(noise):
         assert (got == (x @ y.T >= 0.95)).all()
 
 
+def last_place_copies(n, d, seed):
+    """Vectors of single precision that are some units in the last place of a few components apart."""
+    rng = np.random.default_rng(seed)
+    ints = np.repeat(rng.normal(size=(1, d)).astype(np.float32), n, axis=0).view(np.int32)
+    at = rng.integers(0, d, size=(n, 3))
+    ints[np.arange(n)[:, None], at] += rng.integers(0, 3, size=(n, 3)).astype(np.int32)
+    return np.unique(ints.view(np.float32), axis=0)
+
+
+@pytest.mark.parametrize("d", [8, 64, 1024])
+def test_trees_end_on_copies_that_differ_in_the_last_place(monkeypatch, d):
+    opened, net = [], vector_pairs._net
+
+    def counted(*args):
+        opened.append(1)
+        assert len(opened) < 5000
+        return net(*args)
+
+    monkeypatch.setattr(vector_pairs, "_net", counted)
+    rows = unit(last_place_copies(3000, d, 9).astype(float))
+    tree = vector_pairs.cover_tree(rows)
+    assert sorted(tree.order.tolist()) == list(range(len(rows)))
+    tree.centre, rows = np.argsort(tree.order)[tree.centre], rows[tree.order]
+    steps = list(vector_pairs.walk(rows, tree, rows, tree))
+    assert sum(len(x) * len(y) if whole else len(x) for x, y, whole in steps) == len(rows) ** 2
+
+
+def test_closed_nodes_at_the_threshold_are_compared_in_parts(monkeypatch):
+    rows = unit(last_place_copies(300, 16, 10).astype(float))
+    other = unit(last_place_copies(200, 16, 11).astype(float))
+    cosine = float(np.median(rows @ other.T))
+    trees = [vector_pairs.cover_tree(x) for x in (rows, other)]
+    a, b = (x[t.order] for x, t in zip((rows, other), trees, strict=True))
+    for t in trees:
+        t.centre = np.argsort(t.order)[t.centre]
+    monkeypatch.setattr(vector_pairs, "PAIRS", 1000)
+    got = np.zeros((len(a), len(b)), int)
+    for x, y, whole in vector_pairs.walk(a, trees[0], b, trees[1], cosine):
+        assert whole or len(x) <= 1000
+        got[np.ix_(x, y) if whole else (x, y)] += 1
+    exact = np.einsum("ij,ij->i", np.repeat(a, len(b), axis=0), np.tile(b, (len(a), 1))).reshape(got.shape)
+    assert (got == (exact >= cosine)).all()
+
+
+def test_thousands_of_vectors_that_differ_in_the_last_place(spark):
+    rows = last_place_copies(3000, 64, 12)
+    got = vector_pairs.near_vectors(frame(spark, list(enumerate(rows.tolist())))).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, len(rows) - 1, 0) for i in range(len(rows))]
+
+
 def test_single_and_no_vectors(spark):
     assert [tuple(r) for r in vector_pairs.near_vectors(frame(spark, [(7, [1.0, 2.0])])).collect()] == [(7, 0, 7, True)]
     assert vector_pairs.near_vectors(frame(spark, [])).collect() == []
