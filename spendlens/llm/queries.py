@@ -64,6 +64,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -99,6 +103,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+#: Further outputs of operators, not among those that count once per operator.
+MORE: dict[str, Query] = {"op7_ngram_links": op7_ngram_links}
+
 
 def catalog() -> dict[str, Query]:
     return dict(QUERIES)

@@ -13,7 +13,12 @@ Where columns hold many rows not every pair is compared. Each row is first compa
 with one pivot of its column and size band; rows that link are one component from
 then on, and only pairs across components go on, to further pivots and in the end
 to each other. A group of near copies is thus settled by as many comparisons as it
-has members. What is left is compared exactly, nothing is capped.
+has members. What is left is compared exactly, nothing is capped. So components come
+without most of the links inside them.
+
+``link_counts`` is the whole product instead: the overlaps of every two rows of
+neighbouring sizes are added up over blocks of columns, in cells of two blocks of rows,
+and all links of a row are counted. Its work grows with the square of the rows.
 
 Shingles and sets are named by 64-bit hashes. Overlaps are counted on whole sets.
 
@@ -46,6 +51,10 @@ SKETCH_CHUNK = 2**14  # counters merged together
 PIVOT_ROUNDS = 6
 PAIRS_PER_ROW = 16  # with more pairs per entry within columns than this, pivots are tried first
 PROGRESS = 0.7  # and again while a round leaves at most this part of the pairs
+CELL_ROWS, CELL_ENTRIES = 4096, 2**22  # rows and entries of a block of the whole product, about
+DENSE = 64  # columns in which one in so many pairs of rows meet are multiplied as a dense block
+COLUMNS = 2048  # of so many columns
+EXPANDED = 2**22  # pairs of entries that other columns add at a time
 
 # Link when 100 * intersection >= 80 * union, kept in whole numbers: 5 i >= 4 u.
 NUM, DEN = 4, 5
@@ -239,13 +248,18 @@ class Verifier:
         return cut(rows.mapInPandas(by_batch(_linked), "a long, b long"))
 
 
+def _band(n: Column) -> Column:
+    """Band of sizes; rows that can link are in the same or in neighbouring bands."""
+    return F.floor(F.log(n.cast("double")) / np.log(DEN / NUM)).cast("int")
+
+
 def _open_entries(live: DataFrame, edges: DataFrame | None) -> DataFrame:
     """Entries with their component, of the columns and size bands that hold more than one component.
 
     Rows that can link are in the same or in neighbouring bands of sizes, and meet
     in the band that both are entered for.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM)).cast("int")
+    band = _band(F.col("n"))
     if edges is None:
         rows = live.withColumn("label", F.col("node"))
     else:
@@ -338,3 +352,99 @@ def shingle_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         F.when(F.col("node").isNull(), own).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def _entries(sets: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of the entries in the given columns, by column, and where each column begins."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.searchsorted(columns, flat)
+    held = columns[np.minimum(column, len(columns) - 1)] == flat
+    row, column = row[held], column[held]
+    order = np.argsort(column, kind="stable")
+    return row[order], column[order], np.searchsorted(column[order], np.arange(len(columns) + 1))
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each set of one list shares with each of the other: their product, added up over blocks of columns."""
+    total = np.zeros((len(a), len(b)), np.int32)
+    columns = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    if not len(columns):
+        return total
+    (row_a, column_a, start_a), (row_b, column_b, start_b) = _entries(a, columns), _entries(b, columns)
+    wide = np.diff(start_b)
+    pairs = np.diff(start_a) * wide
+    dense = pairs * DENSE >= len(a) * len(b)
+    many = np.flatnonzero(dense)
+    for at in range(0, len(many), COLUMNS):
+        place = np.full(len(columns), -1)
+        place[many[at : at + COLUMNS]] = np.arange(len(many[at : at + COLUMNS]))
+        sides = []
+        for rows, row, column in ((len(a), row_a, column_a), (len(b), row_b, column_b)):
+            own = place[column] >= 0
+            sides.append(np.zeros((rows, min(COLUMNS, len(many) - at)), np.float32))
+            sides[-1][row[own], place[column[own]]] = 1
+        total += (sides[0] @ sides[1].T).astype(np.int32)
+    few = np.flatnonzero(~dense)
+    ends = np.cumsum(pairs[few])
+    for at in range(0, int(ends[-1]) if len(few) else 0, EXPANDED):
+        number = np.arange(at, min(at + EXPANDED, int(ends[-1])))
+        which = np.searchsorted(ends, number, side="right")
+        step = number - (ends - pairs[few])[which]
+        x = row_a[start_a[few[which]] + step // wide[few[which]]]
+        y = row_b[start_b[few[which]] + step % wide[few[which]]]
+        np.add.at(total.reshape(-1), x * len(b) + y, 1)
+    return total
+
+
+def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of the rows of a block with each other, or of two blocks across."""
+    blocks = [own for _, own in group.groupby(["band", "part"])]
+    sets = [[np.frombuffer(h, np.uint64) for h in own["hashes"]] for own in blocks]
+    sizes = [np.array([len(x) for x in own]) for own in sets]
+    copies = [own["copies"].to_numpy(np.int64) for own in blocks]
+    alone = len(blocks) == 1
+    both = overlaps(sets[0], sets[-1])
+    links = [np.zeros(len(x), np.int64) for x in copies]
+    for at in range(0, len(both), 256):
+        part = both[at : at + 256].astype(np.int64)
+        linked = DEN * part >= NUM * (np.add.outer(sizes[0][at : at + 256], sizes[-1]) - part)
+        if alone:  # a row is not linked with itself; every pair is met from both sides
+            linked[np.arange(len(part)), at + np.arange(len(part))] = False
+        links[0][at : at + 256] = linked @ copies[-1]
+        if not alone:
+            links[1] += copies[0][at : at + 256] @ linked
+    return pd.DataFrame({"node": np.concatenate([own["node"] for own in blocks]), "links": np.concatenate(links)})
+
+
+def _whole_sets(words: int):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, set_id(x) if len(x) else None, x.tobytes()) for i, x in zip(batch["doc_id"], _in_parts(batch["text"], words), strict=True)]
+        return pd.DataFrame(rows, columns=["doc_id", "node", "hashes"]).astype({"node": "Int64"})
+
+    return by_batch(run)
+
+
+def link_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_links`` for every row of ``docs``: with how many other rows it links, equal ones included."""
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    named = cut(docs.mapInPandas(_whole_sets(words), "doc_id string, node long, hashes binary"))
+    classes = named.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("hashes").alias("hashes"))
+    n = F.octet_length("hashes") / 8
+    classes = cut(classes.withColumn("band", _band(n)))
+    per_band = classes.groupBy("band").agg(F.count("*").alias("rows"), F.sum(n).alias("entries")).collect()
+    parts = {r.band: max(-(-r.rows // CELL_ROWS), int(-(-r.entries // CELL_ENTRIES))) for r in per_band}
+    cells = []
+    for band, k in sorted(parts.items()):
+        cells += [((band, p), (band, q)) for p in range(k) for q in range(p, k)]
+        cells += [((band, p), (band + 1, q)) for p in range(k) for q in range(parts.get(band + 1, 0))]
+    spark = docs.sparkSession
+    per_band = spark.createDataFrame(list(parts.items()), "band int, parts int")
+    sides = spark.createDataFrame([(*s, i) for i, c in enumerate(cells) for s in sorted(set(c))], "band int, part int, cell int")
+    rows = classes.join(F.broadcast(per_band), "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    held = rows.join(F.broadcast(sides), ["band", "part"]).select("cell", "band", "part", "node", "copies", "hashes")
+    links = held.groupBy("cell").applyInPandas(_cell_links, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    counted = cut(classes.select("node", "copies").join(links, "node"))
+    out = spread_left_join(named.select(F.col("doc_id").cast("long").alias("doc_id"), "node"), counted, ["node"])
+    # The other rows of its own class are links of a row as well.
+    return out.select("doc_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))

@@ -70,6 +70,37 @@ def test_components_are_those_of_all_pairs(documents, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = [shingles(t) for _, t in rows]
+    return sorted(((d, sum(i != j and bool(s and o) and 100 * len(s & o) >= 80 * len(s | o) for j, o in enumerate(sets)))
+                   for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def test_overlaps_are_those_of_the_sets(monkeypatch):
+    monkeypatch.setattr(shingle_join, "COLUMNS", 7)
+    monkeypatch.setattr(shingle_join, "EXPANDED", 50)
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 3000, 60) ** 2 // 3000).astype(np.uint64) for _ in range(n)] for n in (40, 30))
+    for dense in (1, 64, 10_000):
+        monkeypatch.setattr(shingle_join, "DENSE", dense)
+        assert (shingle_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    assert not shingle_join.overlaps(a, [np.array([2**63], np.uint64)]).any()
+
+
+def test_links_inside_a_group_are_all_counted(documents, odd_rows, monkeypatch):
+    monkeypatch.setattr(shingle_join, "CELL_ROWS", 16)
+    rng, group = random.Random(5), []
+    for i in range(60):
+        copy = [f"y{k}" for k in range(80)]
+        for at in rng.sample(range(80), rng.randint(0, 2)):
+            copy[at] = f"z{i}"
+        group.append((1000 + i, " ".join(copy)))
+    rows = near_copies(4) + group + [(2000 + i, t) if d is not None else (d, t) for i, (d, t) in enumerate(odd_rows)]
+    got = shingle_join.link_counts(documents(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_links(rows)
+    assert shingle_join.link_counts(documents([])).collect() == []
+
+
 def test_chains_and_a_large_group(documents):
     """Neighbours link, the ends do not: pivots alone would not join them."""
     words = [f"x{i}" for i in range(200)]
