@@ -33,7 +33,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 CREDENTIAL = re.compile(r"\b(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{12,256})")
 
@@ -50,6 +50,18 @@ CONTEXT = {
 }
 AGAINST = {"ip": ("version", "release"), "card": ("order", "serial", "isbn"), "ssn": ("order", "part")}
 
+#: Characters of an account by country.
+ACCOUNT_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+        31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+
 
 class Span(NamedTuple):
     kind: str
@@ -71,6 +83,29 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the end at a token border for which mod 97 holds: of the country's length, or else the furthest.
+
+    The search goes on behind an account, and right behind the first four characters of a start that no end confirms.
+    """
+    m = IBAN.search(text)
+    while m:
+        tokens = m[0].split(" ")
+        after = text[m.end() : m.end() + 1]
+        if after.isascii() and after.isalnum():
+            tokens.pop()
+        ends, end, account = {}, m.start() - 1, ""
+        for token in tokens:
+            end, account = end + 1 + len(token), account + token
+            if 15 <= len(account) <= 34:
+                ends[end] = account
+        order = sorted(ends, key=lambda end: (len(ends[end]) != ACCOUNT_LENGTHS.get(m[0][:2]), -end))
+        found = next((end for end in order if mod97(ends[end])), None)
+        if found:
+            yield m.start(), found
+        m = IBAN.search(text, found or m.start() + 4)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
@@ -105,10 +140,8 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end()
+    for start, end in accounts(text):
+        yield "iban", start, end
     if "-" in text:
         for m in SSN.finditer(text):
             yield "ssn", m.start(), m.end()

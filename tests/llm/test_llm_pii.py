@@ -69,6 +69,33 @@ def test_added_kinds_need_a_check_or_context():
     assert [s.kind for s in pii.find_spans('token = "abcdef123456789"')] == ["credential"]
 
 
+@pytest.mark.parametrize("text, found", [
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000 EUR 50", ["DE89370400440532013000"]),
+    ("DE89370400440532013000 GB82WEST12345698765432", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("XX12 ABCD DE89 3704 0044 0532 0130 00 X", ["DE89 3704 0044 0532 0130 00"]),
+    ("MT84MALT011000012345MTLCAST001S 1", ["MT84MALT011000012345MTLCAST001S"]),
+    ("GB82WEST12345698765432a GB82WEST12345698765432A", []),
+    ("DE89370400440532013000\u00e9 x", ["DE89370400440532013000"]),
+    ("NO9386011117947", ["NO9386011117947"]),
+])
+def test_accounts_beside_capitals_and_numbers(text, found):
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == found
+
+
+def test_the_country_tells_the_length_of_an_account():
+    account = "DE89 3704 0044 0532 0130 00"
+    by_chance = next(f"{account} {i:04d}" for i in range(10_000) if pii.mod97(f"{account}{i:04d}".replace(" ", "")))
+    assert [by_chance[s.start : s.end] for s in pii.find_spans(by_chance) if s.kind == "iban"] == [account]
+
+
+def test_many_account_starts_take_linear_time():
+    start = time.time()
+    pii.find_spans("AB12 " * 60_000)
+    assert time.time() - start < 5
+
+
 def test_context_moves_the_score_but_drops_no_base_span():
     near, far, against = (pii.find_spans(f"{w} 4111111111111111")[0].score for w in ("credit card", "xx", "order"))
     assert near > far > against
