@@ -90,6 +90,26 @@ def test_the_country_tells_the_length_of_an_account():
     assert [by_chance[s.start : s.end] for s in pii.find_spans(by_chance) if s.kind == "iban"] == [account]
 
 
+@pytest.mark.parametrize("before", ["token=", "API_KEY=", "Password: ", "db_password=", "x-secret = '", "MY_API_KEY: \"", "\u00e9 Token="])
+@pytest.mark.parametrize("size", [12, 256, 400, 5000])
+def test_credentials_are_whole_whatever_their_name_looks_like(before, size):
+    text = f"{before}{'aB3/' * (size // 4)} end"
+    found = [(s.start, s.end) for s in pii.find_spans(text) if s.kind == "credential"]
+    assert found == [(len(before), len(before) + size)]
+
+
+@pytest.mark.parametrize("text", ["mytoken=abcdefghijkl", "2token=abcdefghijkl", "\u00e9token=abcdefghijkl", "token=abcdefghijk", "to\u212aen=abcdefghijkl"])
+def test_other_words_name_no_credential(text):
+    assert pii.find_spans(text) == []
+
+
+@pytest.mark.parametrize("text", ["token=" + "a" * 300_000, "token=" * 60_000, "token_" * 60_000 + "=", "token=a " * 40_000])
+def test_long_credentials_take_linear_time(text):
+    start = time.time()
+    pii.find_spans(text)
+    assert time.time() - start < 5
+
+
 def test_many_account_starts_take_linear_time():
     start = time.time()
     pii.find_spans("AB12 " * 60_000)
