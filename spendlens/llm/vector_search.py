@@ -8,12 +8,14 @@ bound lies below the k-th best lower bound of a query is done with. The survivor
 are computed again in double precision and merged by a heap per query. Bounds are
 safe, so the result is that of brute force.
 
-Of equal vectors in a block only those with the smallest ids can be among the k
-nearest, so a vector that a third of the rows share is compared a few times a block.
+Of equal vectors in a block only k rows besides those of the query's own id can be
+among the k nearest, those with the smallest ids. So 2 k rows are kept, of them at most
+k of one id, and a vector that a third of the rows share is compared a few times a block.
 
 Defined results: unusable vectors take no part; vectors of another length than the
 query are no candidates; every row but those with the query's own id is one; rows
-without an id are none; repeated rows of one id can take several ranks.
+without an id are none; repeated rows of one id can take several ranks. Repeated rows
+of a query's id are queries each, and what they find is ranked together, as by a join.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ def _block(kind: str, copies: int | None):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
         if copies is not None:
-            group = group[group.groupby("node").cumcount() < copies]
+            group = group[group.groupby(["node", "vec_id"]).cumcount() < copies]
+            group = group[group.groupby("node").cumcount() < 2 * copies]
         codes, scale, error = quantised(unit(matrix(b"".join(group["vector"]), kind, len(group))))
         row = {"width": group["width"].iloc[0], "block": group["block"].iloc[0]}
         row |= {"ids": group["vec_id"].to_numpy(np.int64).tobytes(), "vectors": b"".join(group["vector"])}
@@ -130,7 +133,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         return cut(side.select("*", block).groupBy("width", "block").applyInPandas(_block(kind, copies), schema))
 
     groups = -(-parts // BLOCKS_PER_TASK)
-    candidates = blocks(rows, parts, k + 1).withColumn("is_query", F.lit(False))
+    candidates = blocks(rows, parts, k).withColumn("is_query", F.lit(False))
     candidates = candidates.withColumn("g", (F.col("block") / BLOCKS_PER_TASK).cast("int"))
     candidates = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
     queries = blocks(asked, asked_parts, None).withColumn("is_query", F.lit(True)).withColumn("q", F.col("block"))

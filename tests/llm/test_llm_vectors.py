@@ -1,10 +1,12 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spendlens.llm import vector_pairs, vector_search
+from spendlens.llm.oracle import oracle
 from spendlens.llm.vectors import unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -202,6 +204,19 @@ def test_search_is_that_of_brute_force(spark, seed, monkeypatch):
     assert got == {i: found for i, found in brute_nearest(rows, 5) if found}
 
 
+@pytest.mark.parametrize("repeats", [1, 2, 7, 20])
+def test_repeated_rows_of_a_query_lose_no_neighbours(spark, repeats):
+    rng = np.random.default_rng(7)
+    same, rows = rng.normal(size=8).tolist(), [(i, rng.normal(size=8).tolist()) for i in range(30, 60)]
+    rows += [(0, same)] * repeats + [(i, same) for i in range(1, 9)] + [(3, same)] * repeats + [(0, rng.normal(size=8).tolist())]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = [(q, r, v, round(s, 6)) for q, v, s, r in con.sql(f"SELECT query_id, vec_id, score, rank FROM ({oracle()['op5_vector_search']})").fetchall()]
+    got = vector_search.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got) == sorted(want)
+
+
 def test_few_candidates_and_none(spark):
     every = F.lit(True)
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None)]
