@@ -38,7 +38,7 @@ ROUNDS = 4
 SURE = 0.95  # probability from which a pseudo-label may be given
 PER_ROUND = 600  # pseudo-labels a view gives in a round, at most
 KEEP = 0.3  # a good document lost costs more than a bad one kept
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64  # longer words are read whole each time
 
 _UPPER, _LOWER, _DIGITS = re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[a-zß-öø-ÿ]+"), re.compile("[0-9]+")
 _REPEATED = re.compile(r"(.)\1+")
@@ -48,10 +48,12 @@ class Shapes(dict):
     """Hashed shape of a word: runs of capitals, small letters and digits, and marks, each once."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        shape = _DIGITS.sub("9", _LOWER.sub("a", _UPPER.sub("A", word[:64])))
-        self[word] = at = xxh3_64_intdigest(_REPEATED.sub(r"\1", shape)) % SHAPES
+        shape = _DIGITS.sub("9", _LOWER.sub("a", _UPPER.sub("A", word)))
+        at = xxh3_64_intdigest(_REPEATED.sub(r"\1", shape)) % SHAPES
+        if len(word) <= CACHED_LENGTH:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            self[word] = at
         return at
 
 

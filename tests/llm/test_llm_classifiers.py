@@ -162,3 +162,12 @@ def test_quality_without_labels_or_with_one_kind(spark, documents, odd_rows):
 def test_views_of_odd_texts():
     text, meta = views_of([(None, None, None), ("", "en", "s"), ("퟿🙂", "en", None), ("A" * 200_000, "en", "s")])
     assert np.isfinite(text).all() and np.isfinite(meta).all() and text.shape[0] == 4
+
+
+def test_shapes_are_of_whole_words():
+    shapes = quality.Shapes()
+    for n in (10, 64, 65, 100_000):
+        assert shapes["a" * n + "A1!"] == shapes["aA1!"] != shapes["a"]
+    assert max(map(len, shapes)) <= quality.CACHED_LENGTH
+    long = ["a" * 64 + "!" * 500]
+    assert (quality.text_view(long, shapes) != quality.text_view(["a" * 64], shapes)).any()
