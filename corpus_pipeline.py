@@ -28,15 +28,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
+    """Of each group of near copies the row with the smallest id; rows, not ids, are kept or dropped.
 
-    Equal rows are one document. Rows without an id can't be told apart by it, so
-    none of them is dropped as a copy.
+    Equal rows are one document. Rows without an id join groups, but none of them
+    is dropped as a copy.
     """
-    groups = shingle_join.shingle_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    # Written once, so that the numbers of the rows stay.
+    rows = cut(docs.withColumn("_ngram_row", F.monotonically_increasing_id()))
+    groups = shingle_join.shingle_components(rows.select(F.col("_ngram_row").alias("doc_id"), "text"))
+    ids = rows.filter("doc_id is not null").select("doc_id", "_ngram_row")
+    members = ids.join(groups.select(F.col("doc_id").alias("_ngram_row"), "component_id"), "_ngram_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_ngram_row")).alias("least")).select("least._ngram_row")
+    kept = rows.join(first, "_ngram_row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(rows.filter("doc_id is null")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.bloom import BloomFilter, filter_bits, merged_filter, packed_chunks
@@ -77,14 +77,15 @@ def seen_again(docs: DataFrame, bits: int, min_key: int = MIN_KEY) -> BloomFilte
 def _suspects(shared, bits: int, min_key: int):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         again = BloomFilter(bits, shared.value)
-        keys, ids = [], []
-        for doc, text in zip(batch["_id"], batch["text"], strict=True):
+        keys, ids, texts = [], [], []
+        for doc, name, text in zip(batch["_id"], batch["_text"], batch["text"], strict=True):
             own = list(set(line_digests(text, min_key)) - {None})
             if own:
                 found = [d for d, hit in zip(own, again.has(_hash64(own)), strict=True) if hit]
                 keys += found
                 ids += [doc] * len(found)
-        return pd.DataFrame({"key": keys, "_id": np.array(ids, np.int64)})
+                texts += [name] * len(found)
+        return pd.DataFrame({"key": keys, "_id": np.array(ids, np.int64), "_text": np.array(texts, np.int64)})
 
     return by_batch(run)
 
@@ -105,24 +106,29 @@ def _without(min_key: int):
     return run
 
 
+def _document() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+
+
 def repeated_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
-    """For each document that must lose lines, the digests of their keys."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), "text")
+    """For each document and text that must lose lines, the digests of their keys.
+
+    The hash of the text tells rows of one id, and those without one, apart, so no set is gathered
+    over them. Texts that share a hash share the keys of both, and all of these go from either.
+    """
+    docs = docs.select(_document().alias("_id"), F.xxhash64("text").alias("_text"), "text")
     bits = filter_bits(docs.count(), BITS_PER_ROW)
     shared = docs.sparkSession.sparkContext.broadcast(bytes(seen_again(docs, bits, min_key).data))
-    suspects = cut(docs.mapInPandas(_suspects(shared, bits, min_key), "key binary, _id long"))
+    suspects = cut(docs.mapInPandas(_suspects(shared, bits, min_key), "key binary, _id long, _text long"))
     # Both sides are files, so a key with very many documents is split by adaptive execution.
     first = F.min("_id").alias("_first")
     repeats = cut(suspects.groupBy("key").agg(first, F.max("_id").alias("_last")).filter("_first < _last"))
     losing = suspects.join(repeats.select("key", "_first"), "key").filter("_id > _first")
-    return losing.groupBy("_id").agg(F.collect_set("key").alias("_gone"))
+    return losing.groupBy("_id", "_text").agg(F.collect_set("key").alias("_gone"))
 
 
 def without_repeated_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """Each row of ``docs`` as ``row``, with the ``text`` that is left, ``n_lines`` before and ``n_dropped``."""
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"),
-    )
-    joined = rows.join(repeated_lines(docs, min_key), "_id", "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _document().alias("_id"), F.xxhash64("text").alias("_text"))
+    joined = rows.join(repeated_lines(docs, min_key), ["_id", "_text"], "left")
     return joined.select("row", _without(min_key)(F.col("row.text"), F.col("_gone")).alias("left")).select("row", "left.*")

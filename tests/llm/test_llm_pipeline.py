@@ -76,6 +76,16 @@ def test_one_document_of_each_group_stays(spark, documents, odd_rows):
     assert ids == sorted([0, 1, 2, 3, 4, 7, 8, None, None], key=str)
 
 
+def test_rows_of_one_id_are_kept_or_dropped_alone(spark, documents):
+    text = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [(3, text), (5, text + " end"), (5, "something else of six words or more"), (8, other), (8, other + " end"), (9, ""), (9, "")]
+    kept = corpus_pipeline.ngram_stage(spark, documents(rows, extra=True), "").collect()
+    left = [(r.doc_id, r.text) for r in kept]
+    assert sorted(x for x in left if x[0] < 8) == [rows[0], rows[2]]
+    assert sum(i == 8 for i, _ in left) == 1 and left.count((9, "")) == 1 and len(left) == 4
+
+
 def test_odd_and_empty_tables_go_through(spark, folder, odd_rows):
     path = folder(odd_rows, [(0, 1, 0), (1, None, None), (None, 0, 0)], extra=True)
     assert corpus_pipeline.run(spark, path).filter(F.col("length") > 1).count() > 0

@@ -178,6 +178,15 @@ def test_lines_are_those_of_brute_force(documents, odd_rows):
     assert sorted(map(tuple, got.collect()), key=str) == brute_lines(rows)
 
 
+def test_no_row_gathers_the_lines_of_others(documents):
+    lines = [f"a line that two rows hold, number {i}" for i in range(30)]
+    rows = [(1, "\n".join(lines))] + [(None, x) for x in lines] + [(7, f"{x}\nonly here {i}") for i, x in enumerate(lines)]
+    gone = line_dedup.repeated_lines(documents(rows)).collect()
+    assert sorted(len(r["_gone"]) for r in gone) == [1] * 60
+    got = line_dedup.without_repeated_lines(documents(rows)).select("row.doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows)
+
+
 def test_no_lines(documents):
     assert line_dedup.without_repeated_lines(documents([])).collect() == []
     (row,) = line_dedup.without_repeated_lines(documents([None])).collect()
