@@ -101,7 +101,37 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source
 """
 
-ORACLE: dict[str, str] = {"op1_warc": OP1, "op4_vector_pairs": OP4, "op5_vector_search": OP5, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
+# The checksum byte by byte from a table; the letters of a run take one or two bytes each.
+OP11 = """
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+many AS (SELECT doc, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY doc, run),
+bytes AS (SELECT doc, run, k, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c:
+            CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM many),
+hashed AS (SELECT run, k, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295) AS h
+           FROM bytes, crc),
+drawn AS (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2)
+                         ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM drawn WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+swap AS (SELECT word, n, i, left(word, i - 1) || '_' || substr(word, i + 1) AS rest FROM p),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS rest FROM p),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM swap a JOIN swap b ON a.rest = b.rest AND a.word <> b.word
+         UNION SELECT less.word, v.word, v.n FROM less JOIN v ON less.rest = v.word
+         UNION SELECT v.word, less.word, less.n FROM less JOIN v ON less.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word),
+f AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * n THEN other END AS form,
+             CASE WHEN top >= 10 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS reached, 0 AS step FROM f
+          UNION ALL SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.reached WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, r.root
+FROM f JOIN (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word) r ON f.word = r.word
+"""
+
+ORACLE: dict[str, str] = {"op11_spelling": OP11, "op1_warc": OP1, "op4_vector_pairs": OP4, "op5_vector_search": OP5, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
 
 
 def oracle() -> dict[str, str]:

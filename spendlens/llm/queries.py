@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import line_dedup, mixing, packing, pii, quality, shingle_join, tokens, toxicity, vector_pairs, vector_search, warc
+from spendlens.llm import (
+    line_dedup, mixing, packing, pii, quality, shingle_join, spelling, tokens, toxicity, vector_pairs, vector_search, warc,
+)
 from spendlens.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -95,11 +97,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_pii, op3_packing, op4_vector_pairs, op5_vector_search,
         op6_quality, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_mixing,
+        op11_spelling,
     )
 }
 
