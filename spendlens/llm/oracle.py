@@ -131,7 +131,24 @@ SELECT f.word, n, n_near, form, form_n, r.root
 FROM f JOIN (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word) r ON f.word = r.word
 """
 
-ORACLE: dict[str, str] = {"op11_spelling": OP11, "op1_warc": OP1, "op4_vector_pairs": OP4, "op5_vector_search": OP5, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
+OP13 = """
+WITH
+b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS term FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS all_terms FROM d WHERE len(terms) > 0),
+t AS (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM t SEMI JOIN b ON t.term = b.term GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term),
+s AS (SELECT item_id, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // all_terms))))::BIGINT AS score
+      FROM tf JOIN w USING (term) JOIN b USING (term), g GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op13_lexical_search": OP13, "op11_spelling": OP11, "op1_warc": OP1, "op4_vector_pairs": OP4, "op5_vector_search": OP5, "op7_ngram_join": OP7, "op8_line_dedup": OP8, "op10_mixing": OP10}
 
 
 def oracle() -> dict[str, str]:

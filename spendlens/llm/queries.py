@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import (
-    line_dedup, mixing, packing, pii, quality, shingle_join, spelling, tokens, toxicity, vector_pairs, vector_search, warc,
+    bytebpe, lexical, line_dedup, mixing, packing, pii, quality, shingle_join, spelling, tokens, toxicity, vector_pairs,
+    vector_search, warc,
 )
 from spendlens.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,12 +103,28 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    encoded = docs.select("doc_id", bytebpe.token_ids(F.col("text"), *vocabulary).alias("ids"))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bytebpe.decoded(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_pii, op3_packing, op4_vector_pairs, op5_vector_search,
         op6_quality, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_mixing,
-        op11_spelling,
+        op11_spelling, op12_byte_bpe, op13_lexical_search,
     )
 }
 
