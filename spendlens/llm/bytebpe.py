@@ -43,7 +43,7 @@ NO_RANK = sys.maxsize
 LOOK_AHEAD = 3  # characters after a match that can decide its end
 
 # Code points with the property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
