@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,8 @@ EXPECTED: dict[str, list[str]] = {
 
 Feeds = dict[str, DataFrame]
 
+HEADERS_AT_ONCE = 16
+
 
 # Text of a CSV row that does not have as many fields as its file's header.
 MALFORMED = "_corrupt_record"
@@ -38,17 +41,46 @@ def _as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
-def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files of a feed by their first line, read in one pass over the text."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("place"),
-        "value",
-    )
-    first = lines.filter(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    # Headers that agree are one entry; the names of a feed's files are what a listing of the folder holds.
-    return {r.header: r.files for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()}
+def first_line(spark: SparkSession, path: str, multiline: bool = False) -> str | None:
+    """The first line of a file, None where it is empty; no more of the file is read than a buffer at a time.
+
+    Goes through the file system that holds the file and the codec its name asks for.
+    With ``multiline`` a line that ends inside quotes goes on with the next.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        text = stream if codec is None else codec.createInputStream(stream)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"))
+        line = lines.readLine()
+        while multiline and line is not None and line.count('"') % 2:
+            more = lines.readLine()
+            if more is None:
+                break
+            line += "\n" + more
+        return line
+    finally:
+        stream.close()
+
+
+def csv_headers(spark: SparkSession, path: str, multiline: bool = False) -> dict[str, list[str]]:
+    """The files of a feed by their first line.
+
+    Files come from the listing that any reader of the folder makes, and each is opened
+    for its first buffer only, some at a time: no job runs and no body is read. Empty
+    files have no rows and are left out.
+    """
+    uri, place = spark.sparkContext._jvm.java.net.URI, spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = sorted(place(uri(name)).toString() for name in spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        lines = list(pool.map(lambda file: first_line(spark, file, multiline), files))
+    headers: dict[str, list[str]] = {}
+    for file, line in zip(files, lines, strict=True):
+        if line is not None:
+            headers.setdefault(line, []).append(file)
+    return headers
 
 
 def read_csv_by_name(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -60,7 +92,7 @@ def read_csv_by_name(spark: SparkSession, path: str, multiline: bool = False) ->
     kept and carry their whole text in ``MALFORMED``.
     """
     parts = None
-    headers = _headers(spark, path) or {None: [path]}
+    headers = csv_headers(spark, path, multiline) or {None: [path]}
     for header, files in sorted(headers.items(), key=lambda x: (x[0] or "", x[1])):
         names = next(csv.reader([(header or "").removeprefix("\ufeff")]), [])
         fields = [*dict.fromkeys(n.strip() for n in names), MALFORMED]

@@ -1,9 +1,11 @@
+import gzip
+
 import pytest
 
 from spendlens.operators.aggregates import aggregate
 from spendlens.operators.audit import audit
 from spendlens.operators.fact import build_curated, curated_fact, write_curated
-from spendlens.sources.feeds import EXPECTED, MALFORMED, feed_counts, feed_inventory, read_feeds
+from spendlens.sources.feeds import EXPECTED, MALFORMED, csv_headers, feed_counts, feed_inventory, read_csv_by_name, read_feeds
 
 from feeds import literal_feeds
 
@@ -126,3 +128,56 @@ def test_an_absent_feed_is_a_row_of_the_inventory(spark, tmp_path):
     rows = {r["feed"]: r for r in feed_inventory(feeds).collect()}
     assert rows["creatives"]["severity"] == "BLOCKER" and rows["creatives"]["n_rows"] == 0
     assert "headline" in rows["creatives"]["missing_columns"] and rows["campaigns"]["severity"] is None
+
+
+def bytes_read(spark):
+    """Bytes that this process has read from local files through Hadoop."""
+    stats = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    return stats.getLong("bytesRead")
+
+
+def test_headers_cost_no_job_and_no_scan(spark, tmp_path):
+    names = ",".join(EXPECTED["ad_performance_daily"])
+    (tmp_path / "big").mkdir()
+    for i in range(2):
+        with open(tmp_path / "big" / f"part{i}.csv", "w") as f:
+            f.write(names + "\n" + "2026-06-05,C1,K1,1000,100,5,12.5,,INR\n" * 200_000)
+    size = sum(f.stat().st_size for f in (tmp_path / "big").iterdir())
+    spark.sparkContext.setJobGroup("headers", "headers")
+    before = bytes_read(spark)
+    headers = csv_headers(spark, str(tmp_path / "big"))
+    read = bytes_read(spark) - before
+    assert list(headers) == [names] and len(headers[names]) == 2
+    assert read < 200_000 < size / 50
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert read_csv_by_name(spark, str(tmp_path / "big")).count() == 400_000
+
+
+def test_headers_that_are_long_quoted_compressed_or_oddly_named(spark, tmp_path):
+    long = [f"column_{i:05d}" for i in range(5000)]  # far beyond one buffer
+    (tmp_path / "long.csv").write_text(",".join(long) + "\n" + ",".join("x" * 5000) + "\n")
+    got = read_csv_by_name(spark, str(tmp_path / "long.csv"))
+    assert got.columns == [*long, MALFORMED] and got.select(long[-1]).first()[0] == "x"
+    (tmp_path / "quoted").mkdir()
+    (tmp_path / "quoted" / "a file of 100%25.csv").write_bytes('\ufeff"a ""b""","c, d"\r\n1,2\r\n'.encode())
+    with gzip.open(tmp_path / "quoted" / "b.csv.gz", "wt") as f:
+        f.write('"c, d","a ""b"""\n4,3\n')
+    (tmp_path / "quoted" / "empty.csv").write_text("")
+    (tmp_path / "quoted" / "bare.csv").write_text("c, d")
+    got = read_csv_by_name(spark, str(tmp_path / "quoted"))
+    rows = sorted((r['a "b"'], r["c, d"]) for r in got.collect())
+    assert rows == [("1", "2"), ("3", "4")]
+
+
+def test_a_header_may_span_lines_where_rows_may(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,"b\nc"\n1,"2\n3"\n')
+    got = read_csv_by_name(spark, str(tmp_path / "x.csv"), multiline=True)
+    assert got.columns == ["a", "b\nc", MALFORMED]
+    assert [tuple(r) for r in got.collect()] == [("1", "2\n3", None)]
+
+
+def test_only_empty_files_are_an_empty_feed(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("")
+    assert read_csv_by_name(spark, str(tmp_path / "none")).count() == 0
