@@ -27,7 +27,7 @@ import re
 import sys
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 
 CACHED_BYTES = 150_000_000
 CACHED_PAIRS = 500_000
+SLICE = 500  # rows
 LONGEST_CACHED = 256  # characters of a run
-ENTRY_BYTES = 250  # what an entry of the cache takes besides its strings
+ENTRY_BYTES = 200  # what an entry of the cache takes besides its strings
 NO_RANK = sys.maxsize
 LOOK_AHEAD = 3  # characters after a match that can decide its end
 
@@ -169,21 +170,29 @@ class PrefixTable:
 
 
 class Encoder(dict):
-    """Packed ids of runs and matches, encoded when first asked for."""
+    """Packed ids of runs and matches, encoded when first asked for.
+
+    When half of the room is used the entries become the older half, from which those
+    still in use come back, so frequent runs stay and rare ones go.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
-        self.room = CACHED_BYTES
+        self.older: dict[str, bytes] = {}
+        self.room = CACHED_BYTES // 2
 
     def __missing__(self, run: str) -> bytes:
-        matches = self.pattern.findall(run)
-        ids = b"".join(map(self.__getitem__, matches)) if len(matches) > 1 else self._match(run)
+        ids = self.older.get(run)
+        if ids is None:
+            matches = self.pattern.findall(run)
+            ids = b"".join(map(self.__getitem__, matches)) if len(matches) > 1 else self._match(run)
         if len(run) <= LONGEST_CACHED:
-            self.room -= ENTRY_BYTES + 2 * len(run) + len(ids)
+            self.room -= ENTRY_BYTES + len(run) + len(ids)
             if self.room < 0:
+                self.older = dict(self)
                 self.clear()
-                self.room = CACHED_BYTES
+                self.room = CACHED_BYTES // 2
             self[run] = ids
         return ids
 
@@ -273,14 +282,19 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[path, pattern]
 
 
+def _in_slices(batches: Iterator[pd.Series], function: Callable) -> Iterator[pd.Series]:
+    """Results of a few rows at a time, so that a batch of long texts is not held twice."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield pd.Series([function(x) for x in batch.iloc[at : at + SLICE]], dtype=object)
+
+
 def token_ids(text: Column, path: str, pattern: str) -> Column:
     """Ids of whole texts, as unsigned 32-bit numbers in little-endian order."""
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(path, pattern)
-        for texts in batches:
-            yield pd.Series([own.encode(t) for t in texts], dtype=object)
+        return _in_slices(batches, encoder(path, pattern).encode)
 
     return run(text)
 
@@ -290,8 +304,18 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(path, pattern)
-        for rows in batches:
-            yield pd.Series([own.decode(r) for r in rows], dtype=object)
+        return _in_slices(batches, encoder(path, pattern).decode)
 
     return run(ids)
+
+
+def there_and_back(text: Column, path: str, pattern: str) -> Column:
+    """Struct of ``ids`` and of ``decoded``, the bytes that these ids stand for, by one worker."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(path, pattern)
+        for ids in _in_slices(batches, own.encode):
+            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(i) for i in ids]})
+
+    return run(text)

@@ -106,12 +106,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents")
-    encoded = docs.select("doc_id", bytebpe.token_ids(F.col("text"), *vocabulary).alias("ids"))
+    encoded = docs.select("doc_id", bytebpe.there_and_back(F.col("text"), *vocabulary).alias("found"))
     return encoded.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bytebpe.decoded(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"),
+        (F.octet_length("found.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("found.ids", 256).alias("ids_sha256"),
+        F.sha2("found.decoded", 256).alias("decoded_sha256"),
     )
 
 
