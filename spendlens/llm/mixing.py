@@ -6,11 +6,18 @@ cannot give is shared among the others by weight, until none is above.
 
 A document is then taken as many whole times as its source needs, and a seeded
 part of the documents once more: those with the smallest hashes, up to the word
-count still missing. The same rows always give the same mix.
+count still missing. The hash is of the id and the text, so rows that share an id or
+have none are drawn one by one. Rows with the same id and text share a hash: they are
+counted, and where the part ends among them as many are taken once more as fit in. The
+same rows always give the same mix.
 
 Defined results: a NULL source is a source of its own, after all others; a NULL
 or empty text has size 0; a source without words has target 0; rows that repeat a
-``doc_id`` are taken or left together; an empty table gives an empty table.
+``doc_id`` or lack one are documents of their own; very long texts count like others, so
+a source of few long ones meets its target within half a document; ties do not occur but
+among equal rows, of which any may be the one taken; an empty table gives an empty table;
+other columns are passed on, and must be of kinds that can be grouped where equal rows
+are to be split.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ SEED = "mix"
 # A hash has 15 hexadecimal digits. Its first three name a bucket, so that even the
 # one bucket of a hot source that is sorted holds a 4096th of the source's rows.
 BUCKET = 16**12
+CHUNK = 4096  # equal rows that are unfolded together
 
 
 def words(text: Column) -> Column:
@@ -37,9 +45,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def seeded_hash(doc_id: Column, seed: str) -> Column:
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def seeded_hash(doc_id: Column, text: Column, seed: str) -> Column:
+    known = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    named = F.concat(F.lit(f"{seed}:"), known, F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def _known(source: Column) -> Column:
@@ -88,7 +97,7 @@ def targets(
 
 
 def mixing_cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Whole repetitions of each source, and the last hash that is taken once more.
+    """Whole repetitions of each source, and the last hash of which rows are taken once more: how many it has and gives.
 
     The fractional part is filled in order of the hashes; a document belongs to
     it while its middle lies inside. Sums by bucket find the one bucket in which
@@ -99,7 +108,9 @@ def mixing_cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
     )
     plan = plan.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-    rows = sizes.groupBy(_known(F.col("source")).alias("_key"), "_hash").agg(F.sum("size").alias("_size"))
+    rows = sizes.groupBy(_known(F.col("source")).alias("_key"), "_hash").agg(
+        F.sum("size").alias("_size"), F.max("size").alias("_each"), F.count("*").alias("_copies")
+    )
     rows = rows.withColumn("_bucket", F.floor(F.col("_hash") / BUCKET).cast("long"))
     buckets = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_size"))
     below = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,15 +123,40 @@ def mixing_cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         .select("_key", "_last.*")
     )
     running = Window.partitionBy("_key", "_bucket").orderBy("_hash")
+    # What is left of the part where the first row of a hash has its middle.
+    room = F.col("_part") - (F.col("_end") - F.col("_size") + F.col("_each") / 2)
+    fitting = F.when(F.col("_each") == 0, F.col("_copies")).otherwise(F.floor(room / F.col("_each")) + 1)
     inside = (
         lookup_join(rows, last, ["_key", "_bucket"])
         .filter(F.col("_base").isNotNull())
         .withColumn("_end", F.col("_base") + F.sum("_size").over(running))
+        .withColumn("_taken", F.least(F.col("_copies"), fitting.cast("long")))
         .groupBy("_key", "_bucket")
-        .agg(F.max(F.when(F.col("_end") - F.col("_size") / 2 <= F.col("_part"), F.col("_hash"))).alias("_hash"))
-        .select("_key", F.coalesce("_hash", F.col("_bucket") * BUCKET - 1).alias("_cut"))
+        .agg(F.max(F.when(room >= 0, F.struct("_hash", "_taken", "_copies"))).alias("_at"))
+        .select("_key", F.coalesce("_at._hash", F.col("_bucket") * BUCKET - 1).alias("_cut"), "_at._taken", "_at._copies")
     )
-    return plan.join(inside, "_key", "left").select("_key", "source_size", "target", "_whole", "_cut")
+    return plan.join(inside, "_key", "left").select("_key", "source_size", "target", "_whole", "_cut", "_taken", "_copies")
+
+
+def _part_of_equals(rows: DataFrame) -> DataFrame:
+    """Equal rows of which only ``_taken`` are taken once more: counted before they are shuffled, and unfolded again.
+
+    They are unfolded in chunks that are dealt out, so a row with very many copies is the work of many tasks.
+    """
+    same = rows.groupBy("row", "size", "_key", "source_size", "target", "_whole", "_taken").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0))
+    same = same.withColumn("_before", upto - F.col("_n"))
+    more = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_taken") - F.col("_before")))
+    kinds = F.array(
+        F.struct((F.col("_whole") + 1).alias("repeats"), more.alias("_rows")),
+        F.struct(F.col("_whole").alias("repeats"), (F.col("_n") - more).alias("_rows")),
+    )
+    kept = ["row", "size", "source_size", "target", "repeats"]
+    counted = same.withColumn("_kind", F.explode(kinds)).select(*kept[:-1], "_kind.*").filter("_rows > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1, F.lit(CHUNK).cast("long"))).alias("_start")
+    chunks = counted.select(*kept, "_rows", starts).repartition(F.col("_start"), F.col("repeats"))
+    left = F.least(F.lit(CHUNK), F.col("_rows") - F.col("_start")).cast("int")
+    return chunks.select(*kept, F.explode(F.array_repeat(F.lit(1), left))).select(*kept)
 
 
 def with_repeats(
@@ -140,16 +176,19 @@ def with_repeats(
         F.struct(*docs.columns).alias("row"),
         words(F.col("text")).alias("size"),
         _known(F.col("source")).alias("_key"),
-        seeded_hash(F.col("doc_id"), seed).alias("_hash"),
+        seeded_hash(F.col("doc_id"), F.col("text"), seed).alias("_hash"),
     )
     sizes = cut(rows.select("row.source", "size", "_hash"))
     plan = cut(mixing_cuts(sizes, targets(sizes, weights, share, max_epochs)))
-    once_more = (F.col("_hash") <= F.col("_cut")) & (F.col("_whole") < F.lit(float(max_epochs)))
-    return (
-        lookup_join(rows, plan, ["_key"])
-        .withColumn("repeats", F.col("_whole") + F.coalesce(once_more, F.lit(False)).cast("long"))
-        .select("row", "size", "source_size", "target", "repeats")
-    )
+    may = F.coalesce(F.col("_whole") < F.lit(float(max_epochs)), F.lit(False))
+    split = may & F.coalesce((F.col("_hash") == F.col("_cut")) & (F.col("_taken") < F.col("_copies")), F.lit(False))
+    once_more = may & F.coalesce(F.col("_hash") <= F.col("_cut"), F.lit(False))
+    planned = lookup_join(rows, plan, ["_key"])
+    mix = planned.filter(~split).withColumn("repeats", F.col("_whole") + once_more.cast("long"))
+    mix = mix.select("row", "size", "source_size", "target", "repeats")
+    if plan.filter("_taken < _copies").isEmpty():  # no part ends among equal rows
+        return mix
+    return mix.unionByName(_part_of_equals(planned.filter(split)))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:

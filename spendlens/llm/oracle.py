@@ -74,7 +74,9 @@ FROM m GROUP BY doc_id
 OP10 = """
 WITH RECURSIVE
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-             ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+             ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+      FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, h) AS copy FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
              [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
       FROM d GROUP BY source),
@@ -90,15 +92,12 @@ t AS (SELECT source, source_size, CASE WHEN clamped THEN cap ELSE w * (
            (1.5 * sum(source_size) OVER () - sum(CASE WHEN clamped THEN cap ELSE 0 END) OVER ())
            / nullif(sum(CASE WHEN clamped THEN 0 ELSE w END) OVER (), 0)) END AS target FROM settled),
 p AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole FROM t),
-c AS (SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) / 2 AS middle
-      FROM d GROUP BY source, h),
-u AS (SELECT c.source, max(h) AS last_h FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
-      WHERE middle <= target - whole * source_size GROUP BY c.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target, d.source,
-       (whole + CASE WHEN h <= last_h AND whole < 2 THEN 1 ELSE 0 END)::BIGINT AS repeats,
-       (size * (whole + CASE WHEN h <= last_h AND whole < 2 THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source
+m AS (SELECT e.*, source_size, target, whole, sum(size) OVER (PARTITION BY e.source ORDER BY h, copy) - size / 2
+             <= target - whole * source_size AS more
+      FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source),
+t2 AS (SELECT *, whole + CASE WHEN more AND whole < 2 THEN 1 ELSE 0 END AS repeats FROM m)
+SELECT doc_id, size::BIGINT AS size, source_size, target, source, repeats::BIGINT AS repeats, (size * repeats)::BIGINT AS taken
+FROM t2
 """
 
 # The checksum byte by byte from a table; the letters of a run take one or two bytes each.

@@ -1,13 +1,16 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spendlens.llm import bloom, line_dedup, mixing, shingle_join
 from spendlens.llm.components import components
+from spendlens.llm.oracle import oracle
 
 A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -240,6 +243,37 @@ def test_targets_and_taken_words(documents):
     assert sorted(map(tuple, again)) == sorted((r.doc_id, r.repeats) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["different, no id", "equal, no id", "equal, one id", "different, one id", "equal and some others"])
+def test_rows_without_an_id_or_of_one_id_are_drawn_one_by_one(spark, documents, kind, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    doc_id = 5 if "one id" in kind else None
+    text = (lambda i: "w x y z") if "equal" in kind else (lambda i: f"w x y z{i}")
+    rows = [(doc_id, text(i), "a") for i in range(200)] + [(1000 + i, "w x y z", "b") for i in range(300)]
+    if "others" in kind:
+        rows += [(i, f"{i} " * (i % 9), "a") for i in range(60)]
+    docs = documents(rows, extra=True)
+    taken = mixing.with_repeats(docs).cache()
+    assert taken.count() == len(rows)
+    for r in taken.groupBy("row.source").agg(F.sum(F.col("size") * F.col("repeats")).alias("n"), F.first("target").alias("t")).collect():
+        assert abs(r.n - r.t) <= 9
+    assert {r.repeats for r in taken.select("repeats").distinct().collect()} <= {0, 1, 2}
+    got = Counter(map(tuple, taken.select("row.doc_id", "row.source", "size", "source_size", "target", "repeats").collect()))
+    again = mixing.with_repeats(docs.repartition(7)).select("row.doc_id", "row.source", "size", "source_size", "target", "repeats")
+    assert Counter(map(tuple, again.collect())) == got
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(f"SELECT doc_id, source, size, source_size, target, repeats FROM ({oracle()['op10_mixing']})").fetchall()
+    near = lambda rows: Counter((*r[:4], round(r[4], 6), r[5]) for r in rows)
+    assert near(got.elements()) == near(want)
+
+
+def test_mix_without_python(spark, documents):
+    docs = documents([(None, "w x", "a")] * 50 + [(1, "w", "b")])
+    plan = mixing.with_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_mix_repeats_rows_with_their_own_columns(documents, odd_rows):
     docs = documents(odd_rows, extra=True)
     mix = mixing.mixed(docs)
