@@ -51,10 +51,11 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shi
 l AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, l.y FROM r JOIN l ON r.seen = l.x)
 SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, min(r.seen) AS component_id,
-       coalesce(any_value(k.class_id), s.doc_id) AS class_id
+       coalesce(any_value(k.class_id), s.doc_id) AS class_id, coalesce(any_value(c.n_links), 0)::BIGINT AS n_links
 FROM s JOIN r ON s.doc_id = r.node
 LEFT JOIN (SELECT list_sort(shingles) AS sorted, min(doc_id) AS class_id FROM s WHERE len(shingles) > 0
            GROUP BY list_sort(shingles)) k ON k.sorted = list_sort(s.shingles)
+LEFT JOIN (SELECT x, count(*) AS n_links FROM l GROUP BY x) c ON s.doc_id = c.x
 GROUP BY s.doc_id, s.shingles
 """
 

@@ -65,7 +65,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = shingle_join.shingle_components(table(spark, sf_dir, "documents"))
-    return joined.select("doc_id", "n_shingles", "component_id", "class_id")
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,41 @@
 """N-gram Jaccard join: a blocked sparse product of the document by shingle matrix.
 
 Rows of the matrix are classes of documents with the same shingle set, columns are
-shingles. Two rows can only reach the threshold if they meet in a column among the
-first ``n - ceil(t n) + 1`` of each, in an order of columns that all rows share. So
-only those columns enter the product. The order puts frequent columns last: how
-frequent a column is comes from a sketch of bounded size over all documents, and any
-order gives the same links. Within a column, sizes and positions bound the overlap a
-pair can still reach, and parities of the two sets bound their difference from below;
-pairs below the bounds are dropped before their sets are read.
-
-Where columns hold many rows not every pair is compared. Each row is first compared
-with one pivot of its column and size band; rows that link are one component from
-then on, and only pairs across components go on, to further pivots and in the end
-to each other. A group of near copies is thus settled by as many comparisons as it
-has members. What is left is compared exactly, nothing is capped. So components come
-without most of the links inside them.
-
-``link_counts`` is the whole product instead: the overlaps of every two rows of
-neighbouring sizes are added up over blocks of columns, in cells of two blocks of rows,
-and all links of a row are counted. Its work grows with the square of the rows.
+shingles. Overlaps of rows are counted by the product of the matrix with its transpose,
+added up over blocks of columns, for blocks of rows that can hold links; what sizes rule
+out is left out on the way, without losing a link:
+
+* A row can only link with rows whose sizes are at least four fifths of its own or at
+  most five fourths, so blocks of rows are cut by bands of sizes and meet blocks of the
+  same and of the next band.
+* Of the shingles of a row in the order of their hashes, the first ``n - ceil(0.8 n) + 1``
+  and a fifth of ``n`` more are looked at first. Two rows that link have at least a fifth
+  of ``n`` of these in common. Rows that do not share so many with any others leave.
+* Rows left that share one of those shingles, directly or over others, are a group, and
+  only rows of a group are multiplied. Groups that are too large for one block are cut
+  into blocks, each pair of blocks being a cell of the product.
+* In a cell, shingles that only one row holds and rows with less than four fifths of
+  their shingles left leave in turns before anything is multiplied.
+
+Entries of the matrix travel packed, and a shingle that many rows of a task hold is passed
+on once, so a very common shingle is no heavy task. A group of near copies is one
+dense block or several, and no pair of its rows is ever a row of a table; rows of one cell
+that link come out as a star and as counts. The work for a group of ``g`` rows that all
+link is ``g * g`` times their shingles, in cells of bounded size.
 
 Shingles and sets are named by 64-bit hashes. Overlaps are counted on whole sets.
 
 Defined results: NULL and empty texts have no shingles and link with nothing, so they
-are components of their own; a text of fewer words than a shingle is one shingle;
-rows that repeat a ``doc_id`` are independent rows that may link; a row without a
-``doc_id`` gets the smallest known id of its component, NULL if there is none.
+are components of their own; a text of fewer words than a shingle is one shingle; very
+long texts are rows like others; rows that repeat a ``doc_id`` are independent rows that
+may link; a row without a ``doc_id`` gets the smallest known id of its component, NULL if
+there is none; equal rows are links of each other; an empty table gives an empty table;
+other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,18 +44,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from spendlens.llm.bloom import filter_of
-from spendlens.llm.common import by_batch, cut, merged_chunks
+from spendlens.llm.common import by_batch, cut
 from spendlens.llm.components import components
-from spendlens.plans.joins import spread_left_join
+from spendlens.plans.joins import lookup_join, spread_left_join
 
 WORDS = 5
-SKETCH_BITS = 18  # counters of the frequency sketch, as a power of two
-SKETCH_CHUNK = 2**14  # counters merged together
-PIVOT_ROUNDS = 6
-PAIRS_PER_ROW = 16  # with more pairs per entry within columns than this, pivots are tried first
-PROGRESS = 0.7  # and again while a round leaves at most this part of the pairs
-CELL_ROWS, CELL_ENTRIES = 4096, 2**22  # rows and entries of a block of the whole product, about
+LONGER = 5  # the part of a row, one in so many, by which its prefix is longer than needed to meet all links
+PACKED = 2**21  # entries that a task holds before it passes them on, and about what a bucket of columns has
+CELL_ROWS, CELL_ENTRIES = 4096, 2**22  # rows and entries of a block of rows, about
 DENSE = 64  # columns in which one in so many pairs of rows meet are multiplied as a dense block
 COLUMNS = 2048  # of so many columns
 EXPANDED = 2**22  # pairs of entries that other columns add at a time
@@ -97,261 +97,224 @@ def _in_parts(texts: pd.Series, words: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(texts.iloc[at : at + 200], words)
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """A bit for each remainder of the hashes, set when an odd number has it; about one bit per shingle.
-
-    Two sets differ in at least as many shingles as their parities differ in bits.
-    """
-    bits = max(64, 1 << int(len(hashes)).bit_length())
-    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound for the number of shingles that only one of two sets has, from their parities."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def set_id(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxh3_64_intdigest(hashes.tobytes())).astype(np.int64)))
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    """Shingles of a row that are looked at first."""
+    return min(n, n - -(-NUM * n // DEN) + 1 + n // LONGER)
 
 
-def _sets_and_sketch(words: int):
-    """A row per document, and at the end of a task its part of the frequency sketch."""
-    columns = ["doc_id", "n_shingles", "node", "chunk", "f0"]
+def prefix_need(n: int | Column) -> int | Column:
+    """How many of them two rows that link have in common at least, for the size of either."""
+    if isinstance(n, Column):
+        return F.greatest(F.lit(1), F.floor(n / LONGER))
+    return max(1, n // LONGER)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(2**SKETCH_BITS, np.int64)
-        for batch in batches:
-            rows, held = [], []
-            for doc_id, own in zip(batch["doc_id"], _in_parts(batch["text"], words), strict=True):
-                held.append(own)
-                rows.append((doc_id, len(own), set_id(own) if len(own) else None, None, None))
-            if held:
-                at = (np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                sketch += np.bincount(at, minlength=len(sketch))
-            yield _typed(pd.DataFrame(rows, columns=columns))
-        for chunk in range(len(sketch) // SKETCH_CHUNK):
-            part = sketch[chunk * SKETCH_CHUNK : (chunk + 1) * SKETCH_CHUNK]
-            if part.any():
-                row = (None, None, None, chunk, zlib.compress(part.tobytes(), 1))
-                yield _typed(pd.DataFrame([row], columns=columns))
 
-    return run
-
-
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype({c: "Int64" for c in ("n_shingles", "node", "chunk")})
-
-
-def _added(old: list[bytes], new: list[bytes]) -> list[bytes]:
-    total = sum(np.frombuffer(zlib.decompress(x[0]), np.int64) for x in (old, new))
-    return [zlib.compress(total.tobytes(), 1)]
-
-
-def _sketch(parts: DataFrame) -> np.ndarray:
-    counters = np.zeros(2**SKETCH_BITS, np.int64)
-    for row in merged_chunks(parts, _added, ["f0"]).collect():
-        part = np.frombuffer(zlib.decompress(row.f0), np.int64)
-        counters[row.chunk * SKETCH_CHUNK : row.chunk * SKETCH_CHUNK + len(part)] = part
-    return counters
+def _band(n: Column) -> Column:
+    """Band of sizes; rows that can link are in the same or in neighbouring bands."""
+    return F.floor(F.log(n.cast("double")) / np.log(DEN / NUM)).cast("int")
 
 
-def _prefixes(shared, words: int):
+def _rows_of(words: int):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        sketch, rows = shared.value, []
+        sizes, nodes = [], []
         for own in _in_parts(batch["text"], words):
-            if len(own):
-                count = sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = own[np.argsort(count, kind="stable")[: prefix_length(len(own))]]
-                rows.append((set_id(own), len(own), first.view(np.int64), parities(own)))
-        return pd.DataFrame(rows, columns=["node", "n", "columns", "parity"])
+            sizes.append(len(own))
+            nodes.append(set_id(own) if len(own) else None)
+        # As an array of its own kind: beside a None pandas would make doubles of the numbers.
+        return batch[["doc_id", "of_text"]].assign(n_shingles=sizes, node=pd.array(nodes, "Int64"))
 
     return by_batch(run)
 
 
-def _sets_of(shared, words: int):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = [(set_id(own), own.tobytes()) for own in _in_parts(batch["text"], words) if len(own)]
-        found = pd.DataFrame(rows, columns=["node", "hashes"])
-        return found[shared.value.has(found["node"].to_numpy(np.int64).view(np.uint64))].drop_duplicates("node")
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Which entries are the first of their value."""
+    first = np.ones(len(sorted_values), bool)
+    first[1:] = sorted_values[1:] != sorted_values[:-1]
+    return first
 
-    return by_batch(run)
 
+def _entry_packs(words: int, bits: int):
+    """Prefix entries (column, row), packed by bucket of columns.
 
-def reaches(n_a: Column, n_b: Column) -> Column:
-    """Sizes near enough for a link."""
-    return (F.least(n_a, n_b) * DEN) >= (F.greatest(n_a, n_b) * NUM)
+    Of a column with several rows among those a task holds, all entries are known to be
+    shared and only the first goes on to meet those of other tasks.
+    """
 
+    def packs(nodes: list[int], prefixes: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        column = np.concatenate(prefixes)
+        node = np.repeat(np.array(nodes, np.int64), [len(p) for p in prefixes])
+        order = np.argsort(column, kind="stable")
+        column, node = column[order], node[order]
+        first = _starts(column)
+        many = np.diff(np.append(np.flatnonzero(first), len(column))) > 1
+        shared = np.repeat(many, np.diff(np.append(np.flatnonzero(first), len(column))))
+        rows = []
+        if shared.any():
+            # Settled here, so any bucket will do.
+            rows.append((nodes[0] & (2**bits - 1), True, column[shared].tobytes(), node[shared].tobytes(), b""))
+        column, node = column[first], node[first]
+        bucket = (column >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(column), np.int64)
+        ends = np.searchsorted(bucket, np.arange(2**bits + 1))
+        for b in np.flatnonzero(np.diff(ends)):
+            own = slice(ends[b], ends[b + 1])
+            rows.append((int(b), False, column[own].tobytes(), node[own].tobytes(), many[own].tobytes()))
+        yield pd.DataFrame(rows, columns=["bucket", "settled", "columns", "nodes", "known"])
 
-def _possible(batch: pd.DataFrame) -> pd.DataFrame:
-    """Pairs whose parities leave room for a link: a link allows (n_a + n_b) / 9 shingles of only one set."""
-    rows = zip(batch["n_a"], batch["n_b"], batch["parity_a"], batch["parity_b"], strict=True)
-    keep = [(NUM + DEN) * least_difference(x, y) <= (DEN - NUM) * (n + m) for n, m, x, y in rows]
-    return batch.loc[keep, ["a", "b"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, prefixes, seen, held = [], [], set(), 0
+        for batch in batches:
+            for own in _in_parts(batch["text"], words):
+                node = set_id(own) if len(own) else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                prefixes.append(own[: prefix_length(len(own))].copy())
+                held += len(prefixes[-1])
+                if held > PACKED:
+                    yield from packs(nodes, prefixes)
+                    nodes, prefixes, seen, held = [], [], set(), 0
+        if nodes:
+            yield from packs(nodes, prefixes)
 
+    return run
 
-def _linked(batch: pd.DataFrame) -> pd.DataFrame:
-    """Exact overlap of whole sets."""
-    keep = []
-    for a, b in zip(batch["hashes_a"], batch["hashes_b"], strict=True):
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-    return batch.loc[keep, ["a", "b"]]
 
+def _shared_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of the columns that several rows hold. The packs come sorted by bucket."""
+
+    def settle(packs: list[tuple]) -> pd.DataFrame:
+        column = np.concatenate([np.frombuffer(p[0], np.uint64) for p in packs])
+        node = np.concatenate([np.frombuffer(p[1], np.int64) for p in packs])
+        known = np.concatenate([np.frombuffer(p[2], bool) for p in packs])
+        order = np.lexsort((node, column))
+        column, node, known = column[order], node[order], known[order]
+        # A row that two tasks or two flushes of one have seen is one row.
+        again = ~_starts(column) & ~_starts(node)
+        pair = np.cumsum(~again) - 1
+        known = np.bincount(pair, known) > 0
+        column, node = column[~again], node[~again]
+        first = np.flatnonzero(_starts(column))
+        count = np.diff(np.append(first, len(column)))
+        new = np.repeat(count > 1, count) & ~known
+        return pd.DataFrame([(column[new].tobytes(), node[new].tobytes())], columns=["columns", "nodes"])
+
+    at, packs = None, []
+    for batch in batches:
+        done = batch[batch["settled"]]
+        if len(done):
+            yield done[["columns", "nodes"]]
+        for bucket, *pack in batch.loc[~batch["settled"], ["bucket", "columns", "nodes", "known"]].itertuples(index=False):
+            if bucket != at and packs:
+                yield settle(packs)
+                packs = []
+            at = bucket
+            packs.append(pack)
+    if packs:
+        yield settle(packs)
+
+
+def _unpacked(function: Callable[[np.ndarray, np.ndarray], pd.DataFrame]):
+    """``mapInPandas`` function over the columns and rows of each pack."""
 
-def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs ``a, b`` with the columns that a table keyed by ``node`` has for either."""
-    for side in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for columns, nodes in batch[["columns", "nodes"]].itertuples(index=False):
+                if len(nodes):
+                    yield function(np.frombuffer(columns, np.int64), np.frombuffer(nodes, np.int64))
 
+    return run
 
-class Verifier:
-    """Decides pairs of classes: by the parities first, and what they leave open by whole sets.
 
-    Sets are made anew from the texts, only for the classes that are still in question.
-    """
+def _held(columns: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
+    # A row that several tasks have seen may count a column more than once, which only keeps more rows.
+    node, count = np.unique(nodes, return_counts=True)
+    return pd.DataFrame({"node": node, "held": count})
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, words: int):
-        self.texts, self.classes, self.words = texts, classes, words
-        self.sets: DataFrame | None = None
-
-    def _fetch(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets, "node", "left_anti")
-        nodes = cut(nodes)
-        count = nodes.count()
-        if count or self.sets is None:
-            held = self.texts.sparkSession.sparkContext.broadcast(filter_of(nodes, "node", count))
-            found = self.texts.mapInPandas(_sets_of(held, self.words), "node long, hashes binary")
-            found = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
-            self.sets = cut(found) if self.sets is None else self.sets.union(cut(found))
-        return self.sets
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``a, b`` that link."""
-        near = _with_both(pairs, self.classes, ["n", "parity"]).mapInPandas(by_batch(_possible), "a long, b long")
-        near = cut(near)
-        rows = _with_both(near, self._fetch(near), ["hashes"])
-        return cut(rows.mapInPandas(by_batch(_linked), "a long, b long"))
 
+def _plain(columns: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"column": columns, "node": nodes})
 
-def _band(n: Column) -> Column:
-    """Band of sizes; rows that can link are in the same or in neighbouring bands."""
-    return F.floor(F.log(n.cast("double")) / np.log(DEN / NUM)).cast("int")
 
+def _local_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For the entries of a task: edges ``a, b`` to the first row of each column, and that row (``b`` NULL) to meet other tasks."""
 
-def _open_entries(live: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Entries with their component, of the columns and size bands that hold more than one component.
+    def stars(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(parts)
+        column, node = rows["column"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
+        order = np.argsort(column, kind="stable")
+        column, node = column[order], node[order]
+        first = _starts(column)
+        centre = node[first][np.cumsum(first) - 1]
+        edges = pd.DataFrame({"a": node, "b": centre}).loc[node != centre].drop_duplicates()
+        yield edges.assign(column=0).astype({"b": "Int64"})
+        yield pd.DataFrame({"a": node[first], "b": None, "column": column[first]}).astype({"b": "Int64"})
 
-    Rows that can link are in the same or in neighbouring bands of sizes, and meet
-    in the band that both are entered for.
-    """
-    band = _band(F.col("n"))
-    if edges is None:
-        rows = live.withColumn("label", F.col("node"))
-    else:
-        rows = live.join(components(edges), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
-    several = rows.groupBy("column", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    several = cut(several.filter("lo < hi").select("column", "band"))
-    return cut(cut(rows).join(several, ["column", "band"]))
+    parts, held = [], 0
+    for batch in batches:
+        parts.append(batch)
+        held += len(batch)
+        if held > PACKED:
+            yield from stars(parts)
+            parts, held = [], 0
+    if parts:
+        yield from stars(parts)
 
 
-def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each row with one seeded pivot of another component, the first among those of its columns and bands.
+def _groups(shared: DataFrame, alive: DataFrame) -> DataFrame:
+    """``node, root``: rows that share a column of their prefixes, directly or over others."""
+    entries = shared.mapInPandas(_unpacked(_plain), "column long, node long").join(alive.select("node"), "node")
+    stars = cut(entries.select("column", "node").mapInPandas(_local_stars, "column long, a long, b long"))
+    centres = stars.filter("b is null").select("column", "a")
+    lowest = centres.groupBy("column").agg(F.min("a").alias("b"))
+    across = centres.join(lowest, "column").filter("a <> b").select("a", "b")
+    return components(stars.filter("b is not null").select("a", "b").union(across))
 
-    Near copies share many columns, so most of a group meets the same pivot.
-    """
-    order = F.xxhash64(F.lit(turn), F.col("node"))
-    chosen = F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p")
-    pivots = cut(entries.groupBy("column", "band").agg(chosen).select("column", "band", "p.o", "p.node", "p.label", "p.n"))
-    pivots = pivots.toDF("column", "band", "p_order", "p_node", "p_label", "p_n")
-    rows = entries.join(pivots, ["column", "band"]).filter((F.col("label") != F.col("p_label")) & reaches(F.col("n"), F.col("p_n")))
-    first = rows.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("p_order", "p_node")).alias("p"))
-    return first.select("a", F.col("p.p_node").alias("b"))
-
-
-def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs across components that can still reach the threshold after the column they meet in."""
-    one = entries.select("column", "band", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "label")])
-    two = entries.select("column", "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")])
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    rows = one.join(two, ["column", "band"]).filter(
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("label_a") != F.col("label_b"))
-        & reaches(F.col("n_a"), F.col("n_b"))
-        & (rest * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM)
-    )
-    return rows.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def _links(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
-    """Links between classes that join all classes of a component."""
-    context = docs.sparkSession.sparkContext
-    schema = "node long, n long, columns array<long>, parity binary"
-    prefixes = docs.mapInPandas(_prefixes(context.broadcast(sketch), words), schema)
-    classes = cut(prefixes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "columns", "parity")]))
-    entries = classes.select("node", "n", F.posexplode("columns").alias("pos", "column"))
-    shared = cut(entries.groupBy("column").agg(F.count("*").alias("c")).filter("c > 1").select("column"))
-    live = cut(entries.join(shared, "column"))
-
-    verifier = Verifier(docs, classes.select("node", "n", "parity"), words)
-    edges: DataFrame | None = None
-    before = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        left = _open_entries(live, edges)
-        per_column = left.groupBy("column", "band").agg(F.count("*").alias("c"))
-        rows, pairs = per_column.agg(F.coalesce(F.sum("c"), F.lit(0)), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-        few = not rows or pairs <= PAIRS_PER_ROW * rows
-        # Pivots go on while they settle much of what is there.
-        if few or turn == PIVOT_ROUNDS or (before and pairs > PROGRESS * before):
-            break
-        found, before = verifier.linked(_pivot_pairs(left, turn)), pairs
-        edges = found if edges is None else edges.union(found)
-    found = verifier.linked(_cross_pairs(left))
-    return found if edges is None else edges.union(found)
 
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """One row with the whole set for each wanted class; only the texts that stand for one are read as shingles."""
 
-def shingle_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for every row of ``docs``.
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        sets = [own.tobytes() for own in _in_parts(batch["text"], words)]
+        return batch[["node"]].assign(hashes=sets).drop_duplicates("node")
 
-    ``class_id`` is the smallest ``doc_id`` with the same shingle set, and
-    ``component_id`` the smallest that links reach.
-    """
-    # Ids go through as text, since pandas would turn those beside a NULL into doubles.
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    schema = "doc_id string, n_shingles long, node long, chunk int, f0 binary"
-    first = cut(docs.mapInPandas(_sets_and_sketch(words), schema))
-    rows = first.filter("chunk is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "node")
-    sketch = _sketch(first.filter("chunk is not null").select("chunk", "f0"))
-    texts = docs.select("text")
-    roots = components(_links(texts, sketch, words))
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = cut(classes)
-    lowest = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = cut(classes.join(lowest, "root").select("node", "class_id", "component_id"))
-    out = spread_left_join(rows, named, ["node"])
-    own = F.col("doc_id")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("node").isNull(), own).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
+    texts = lookup_join(docs.select("of_text", "text"), wanted.select("of_text", "node"), ["of_text"])
+    found = texts.filter("node is not null").select("node", "text").mapInPandas(by_batch(run), "node long, hashes binary")
+    return wanted.drop("of_text").join(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "node")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows in every cell of the product that they take part in. Cells are made of blocks on the cluster, as a table."""
+    n = F.octet_length("hashes") / 8
+    rows = rows.withColumn("band", _band(n))
+    whole = rows.groupBy("root").agg(F.count("*").alias("r"), F.sum(n).alias("e"))
+    small = (F.col("r") <= CELL_ROWS) & (F.col("e") <= CELL_ENTRIES)
+    large = cut(whole.filter(~small).select("root"))
+    if large.isEmpty():
+        return rows.withColumns({"band": F.lit(0), "part": F.lit(0), "cell": F.lit(0), "across": F.lit(False)})
+    # A group that fits into one block is one cell whatever its bands.
+    rows = rows.join(large.withColumn("_large", F.lit(True)), "root", "left")
+    few = rows.filter("_large is null").drop("_large").withColumns(
+        {"band": F.lit(0), "part": F.lit(0), "cell": F.lit(0), "across": F.lit(False)}
     )
+    many = rows.filter("_large").drop("_large")
+    most = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(n) / CELL_ENTRIES)).cast("int")
+    parts = cut(many.groupBy("root", "band").agg(most.alias("parts")))
+    blocks = parts.select("root", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one = blocks.withColumn("other_band", F.explode(F.array("band", F.col("band") + 1)))
+    two = blocks.select("root", F.col("band").alias("other_band"), F.col("part").alias("other_part"))
+    pairs = one.join(two, ["root", "other_band"]).filter("band < other_band or part <= other_part")
+    cell = F.xxhash64("band", "part", "other_band", "other_part").alias("cell")
+    other = F.struct(F.col("other_band").alias("band"), F.col("other_part").alias("part"))
+    side = F.explode(F.array_distinct(F.array(F.struct("band", "part"), other))).alias("side")
+    across = ((F.col("band") != F.col("other_band")) | (F.col("part") != F.col("other_part"))).alias("across")
+    sides = pairs.select("root", cell, across, side).select("root", "cell", "across", "side.*")
+    placed = many.join(parts, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("parts")
+    return few.unionByName(placed.join(sides, ["root", "band", "part"]))
 
 
 def _entries(sets: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -397,54 +360,127 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _left_in_cell(sets: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows of one block or two that can still link in this cell: those that keep four fifths of their shingles when
+    shingles without a second row to meet are left out, again and again."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in sets]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in sets]
+    size = [np.array([len(s) for s in x], np.int64) for x in sets]
+    column = np.unique(np.concatenate(flat), return_inverse=True)[1]
+    columns = np.split(column, [len(flat[0])])[: len(sets)]
+    width = int(column.max(initial=-1)) + 1
+    alive = [np.ones(len(x), bool) for x in sets]
+    while True:
+        entries = [a[r] for a, r in zip(alive, row, strict=True)]
+        counts = [np.bincount(c[e], minlength=width) for c, e in zip(columns, entries, strict=True)]
+        meets = counts[0] > 1 if len(sets) == 1 else (counts[0] > 0) & (counts[1] > 0)
+        kept = [np.bincount(r[e & meets[c]], minlength=len(a)) for r, e, c, a in zip(row, entries, columns, alive, strict=True)]
+        now = [a & (DEN * k >= NUM * n) for a, k, n in zip(alive, kept, size, strict=True)]
+        if all((x == y).all() for x, y in zip(now, alive, strict=True)):
+            return [np.flatnonzero(a) for a in alive]
+        alive = now
+
+
+def _labels(linked: np.ndarray, alone: bool) -> np.ndarray:
+    """The first row that links reach from each row; the rows of two blocks are numbered one after the other."""
+    n, m = linked.shape
+    label = np.arange(n if alone else n + m)
+    far = len(label)
+    while True:
+        of_columns = label[:n] if alone else label[n:]
+        new = label.copy()
+        for at in range(0, n, 256):
+            own = slice(at, min(at + 256, n))
+            part = linked[own]
+            new[own] = np.minimum(new[own], np.where(part, of_columns, far).min(axis=1, initial=far))
+            if not alone:
+                new[n:] = np.minimum(new[n:], np.where(part, label[own, None], far).min(axis=0, initial=far))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of the rows of a block with each other, or of two blocks across."""
+    """Links of the rows of a block with each other, or of two blocks across: how many, and one row of each linked set."""
     blocks = [own for _, own in group.groupby(["band", "part"])]
+    alone = not group["across"].iloc[0]
+    if not alone and len(blocks) < 2:  # the other block has no rows
+        return pd.DataFrame({"node": [], "links": [], "near": []}).astype("int64")
     sets = [[np.frombuffer(h, np.uint64) for h in own["hashes"]] for own in blocks]
+    left = _left_in_cell(sets)
+    if not all(len(x) for x in left) or (alone and len(left[0]) < 2):
+        return pd.DataFrame({"node": [], "links": [], "near": []}).astype("int64")
+    sets = [[own[i] for i in x] for own, x in zip(sets, left, strict=True)]
     sizes = [np.array([len(x) for x in own]) for own in sets]
-    copies = [own["copies"].to_numpy(np.int64) for own in blocks]
-    alone = len(blocks) == 1
+    copies = [own["copies"].to_numpy(np.int64)[x] for own, x in zip(blocks, left, strict=True)]
+    node = np.concatenate([own["node"].to_numpy(np.int64)[x] for own, x in zip(blocks, left, strict=True)])
     both = overlaps(sets[0], sets[-1])
+    linked = np.zeros(both.shape, bool)
     links = [np.zeros(len(x), np.int64) for x in copies]
     for at in range(0, len(both), 256):
         part = both[at : at + 256].astype(np.int64)
-        linked = DEN * part >= NUM * (np.add.outer(sizes[0][at : at + 256], sizes[-1]) - part)
+        own = DEN * part >= NUM * (np.add.outer(sizes[0][at : at + 256], sizes[-1]) - part)
         if alone:  # a row is not linked with itself; every pair is met from both sides
-            linked[np.arange(len(part)), at + np.arange(len(part))] = False
-        links[0][at : at + 256] = linked @ copies[-1]
+            own[np.arange(len(part)), at + np.arange(len(part))] = False
+        links[0][at : at + 256] = own @ copies[-1]
         if not alone:
-            links[1] += copies[0][at : at + 256] @ linked
-    return pd.DataFrame({"node": np.concatenate([own["node"] for own in blocks]), "links": np.concatenate(links)})
+            links[1] += copies[0][at : at + 256] @ own
+        linked[at : at + 256] = own
+    total = np.concatenate(links)
+    found = pd.DataFrame({"node": node, "links": total, "near": node[_labels(linked, alone)]})
+    return found[total > 0]
 
 
-def _whole_sets(words: int):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, set_id(x) if len(x) else None, x.tobytes()) for i, x in zip(batch["doc_id"], _in_parts(batch["text"], words), strict=True)]
-        return pd.DataFrame(rows, columns=["doc_id", "node", "hashes"]).astype({"node": "Int64"})
+def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFrame:
+    """``node, links, root`` for the classes that link with others: with how many documents, and the group they are in."""
+    entries = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (1 - NUM / DEN + 1 / LONGER)
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = int(np.ceil(np.log2(max(1, parts, entries / PACKED))))
+    schema = "bucket int, settled boolean, columns binary, nodes binary, known binary"
+    packs = docs.select("text").mapInPandas(_entry_packs(words, bits), schema)
+    dealt = packs.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
+    shared = cut(dealt.mapInPandas(_shared_entries, "columns binary, nodes binary"))
+    held = shared.mapInPandas(_unpacked(_held), "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
+    alive = cut(classes.join(held, "node").filter(F.col("held") >= prefix_need(F.col("n"))).drop("held"))
+    wanted = cut(alive.join(_groups(shared, alive), "node").select("node", "copies", "of_text", "root"))
+    cells = _cells(cut(_sets(docs, wanted, words)))
+    found = cut(cells.groupBy("root", "cell").applyInPandas(_cell_links, "node long, links long, near long"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    return roots.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node")
 
-    return by_batch(run)
+
+def shingle_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id, n_links`` for every row of ``docs``.
+
+    ``class_id`` is the smallest ``doc_id`` with the same shingle set, ``component_id``
+    the smallest that links reach, and ``n_links`` the number of other rows that the
+    row links with, equal ones included.
+    """
+    # Ids go through as text, since pandas would turn those beside a NULL into doubles.
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
+    rows = cut(docs.mapInPandas(_rows_of(words), "doc_id string, of_text long, n_shingles long, node long"))
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    classes = rows.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.min("of_text").alias("of_text")
+    )
+    classes = cut(classes)
+    linked = linked_classes(docs, classes.select("node", "n", "copies", "of_text"), words)
+    named = cut(classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    lowest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    named = cut(named.join(lowest, "root").select("node", "class_id", "component_id", links))
+    own = F.col("doc_id")
+    return spread_left_join(rows.drop("of_text"), named, ["node"]).select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("node").isNull(), own).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def link_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_links`` for every row of ``docs``: with how many other rows it links, equal ones included."""
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    named = cut(docs.mapInPandas(_whole_sets(words), "doc_id string, node long, hashes binary"))
-    classes = named.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("hashes").alias("hashes"))
-    n = F.octet_length("hashes") / 8
-    classes = cut(classes.withColumn("band", _band(n)))
-    per_band = classes.groupBy("band").agg(F.count("*").alias("rows"), F.sum(n).alias("entries")).collect()
-    parts = {r.band: max(-(-r.rows // CELL_ROWS), int(-(-r.entries // CELL_ENTRIES))) for r in per_band}
-    cells = []
-    for band, k in sorted(parts.items()):
-        cells += [((band, p), (band, q)) for p in range(k) for q in range(p, k)]
-        cells += [((band, p), (band + 1, q)) for p in range(k) for q in range(parts.get(band + 1, 0))]
-    spark = docs.sparkSession
-    per_band = spark.createDataFrame(list(parts.items()), "band int, parts int")
-    sides = spark.createDataFrame([(*s, i) for i, c in enumerate(cells) for s in sorted(set(c))], "band int, part int, cell int")
-    rows = classes.join(F.broadcast(per_band), "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    held = rows.join(F.broadcast(sides), ["band", "part"]).select("cell", "band", "part", "node", "copies", "hashes")
-    links = held.groupBy("cell").applyInPandas(_cell_links, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    counted = cut(classes.select("node", "copies").join(links, "node"))
-    out = spread_left_join(named.select(F.col("doc_id").cast("long").alias("doc_id"), "node"), counted, ["node"])
-    # The other rows of its own class are links of a row as well.
-    return out.select("doc_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
+    return shingle_components(docs, words).select("doc_id", "n_links")

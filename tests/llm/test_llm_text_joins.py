@@ -128,15 +128,45 @@ def test_odd_documents(documents, odd_rows):
     got = shingle_join.shingle_components(documents(odd_rows, extra=True)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(odd_rows)
     assert shingle_join.shingle_components(documents([])).collect() == []
-    assert [tuple(r) for r in shingle_join.shingle_components(documents([None])).collect()] == [(0, 0, 0, 0)]
+    assert [tuple(r) for r in shingle_join.shingle_components(documents([None])).collect()] == [(0, 0, 0, 0, 0)]
 
 
-def test_prefix_holds_a_shared_shingle():
-    for n in range(1, 300):
+def test_prefixes_of_linked_rows_share_enough():
+    for n in range(1, 400):
         for m in range(-(-4 * n // 5), n + 1):
-            need = -(-4 * (n + m) // 9)
-            # So many can be outside of both prefixes and still be shared.
-            assert min(n - shingle_join.prefix_length(n), m - shingle_join.prefix_length(m)) < need
+            least = max(-(-4 * (n + m) // 9), -(-4 * n // 5))
+            # So many can be outside of either prefix and still be shared.
+            inside = least - max(n - shingle_join.prefix_length(n), m - shingle_join.prefix_length(m))
+            assert inside >= max(shingle_join.prefix_need(n), shingle_join.prefix_need(m)), (n, m)
+
+
+def test_blocks_of_large_groups_and_small_buckets_change_nothing(documents, monkeypatch):
+    rows = near_copies(7)
+    words = [f"q{k}" for k in range(200)]
+    # One group whose sizes run over many bands.
+    rows += [(5000 + i, " ".join(words[: 20 + 3 * i])) for i in range(60)]
+    rows += [(6000 + i, " ".join(words[:50])) for i in range(40)]
+    want, links = brute_components(rows), brute_links(rows)
+    for settings in ({"CELL_ROWS": 3}, {"CELL_ENTRIES": 150, "PACKED": 400}, {"PACKED": 60}):
+        for name, value in settings.items():
+            monkeypatch.setattr(shingle_join, name, value)
+        got = shingle_join.shingle_components(documents(rows)).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+        assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == links
+
+
+def test_no_pair_of_rows_is_a_row_of_a_table(spark, documents):
+    """A group of near copies and one of exact copies: joins and shuffles stay within the entries of the rows."""
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        copy = [f"y{k}" for k in range(60)]
+        copy[rng.randrange(60)] = f"z{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"e{k}" for k in range(60))) for i in range(300)]
+    got = {r.doc_id: r for r in shingle_join.shingle_components(documents(rows)).collect()}
+    assert sorted(((d, r.n_shingles, r.component_id) for d, r in got.items()), key=str) == brute_components(rows)
+    assert {got[1000 + i].n_links for i in range(300)} == {299}
+    assert sorted((d, r.n_links) for d, r in got.items()) == brute_links(rows)
 
 
 def test_components_of_edges(spark):
