@@ -265,13 +265,30 @@ def _local_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from stars(parts)
 
 
+def _stars_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges ``a, b`` to the first row of each column, for rows that come sorted by column."""
+    last_column, last_centre = None, None
+    for batch in batches:
+        column, node = batch["column"].to_numpy(np.int64), batch["a"].to_numpy(np.int64)
+        if not len(column):
+            continue
+        first = _starts(column)
+        number = np.cumsum(first) - 1
+        centres = node[first].copy()
+        if column[0] == last_column:
+            centres[0] = last_centre
+        last_column, last_centre = column[-1], centres[-1]
+        edges = pd.DataFrame({"a": node, "b": centres[number]})
+        yield edges[edges["a"] != edges["b"]].drop_duplicates()
+
+
 def _groups(shared: DataFrame, alive: DataFrame) -> DataFrame:
     """``node, root``: rows that share a column of their prefixes, directly or over others."""
     entries = shared.mapInPandas(_unpacked(_plain), "column long, node long").join(alive.select("node"), "node")
     stars = cut(entries.select("column", "node").mapInPandas(_local_stars, "column long, a long, b long"))
-    centres = stars.filter("b is null").select("column", "a")
-    lowest = centres.groupBy("column").agg(F.min("a").alias("b"))
-    across = centres.join(lowest, "column").filter("a <> b").select("a", "b")
+    # Each task names a column once, so a column has no more rows than there are tasks.
+    centres = stars.filter("b is null").select("column", "a").repartition("column").sortWithinPartitions("column", "a")
+    across = centres.mapInPandas(_stars_across, "a long, b long")
     return components(stars.filter("b is not null").select("a", "b").union(across))
 
 
