@@ -268,7 +268,7 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "pause_pick": lambda w: pause.pause_pick(w.fact, w.period(*PAUSE)),
         "pause_traps": lambda w: pause.pause_traps(w.fact, w.period(*PAUSE)),
         # Quality report
-        "row_accounting": lambda w: quality.row_accounting(w.curated.performance, w.fact),
+        "row_accounting": lambda w: quality.accounting(w.curated),
         "quality_report": lambda w: quality.quality_report(w.curated),
         "caveats": lambda w: quality.caveats(quality.quality_report(w.curated)),
         "relevant_caveats": _relevant_caveats,

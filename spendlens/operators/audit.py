@@ -20,8 +20,9 @@ from spendlens.functions.text import (
 )
 from spendlens.operators.anomaly import last_day_ratios
 from spendlens.operators.quality import missing_days
+from spendlens.plans.observed import write_observed
 from spendlens.plans.quantiles import exact_quantiles
-from spendlens.plans.store import new_folder, written
+from spendlens.plans.store import new_folder
 from spendlens.sources.feeds import EXPECTED, MALFORMED, Feeds, data_columns, malformed_rows
 
 PERFORMANCE = "ad_performance_daily"
@@ -311,12 +312,15 @@ def daily_volume(perf: DataFrame, weight: str | None = None) -> DataFrame:
 
 def stray_dates(daily: DataFrame, reach: float = 0.25) -> DataFrame:
     """Days far outside the span that holds the middle 96 percent of reported days."""
+    return daily.filter(is_stray(daily, reach)).select("date", "n_rows")
+
+
+def is_stray(daily: DataFrame, reach: float = 0.25) -> Column:
     number = F.unix_date("date")
     ends = daily.agg(F.percentile(number, F.array(F.lit(0.02), F.lit(0.98)))).scalar()
     low, high = ends[0], ends[1]
     margin = (high - low) * reach
-    outside = (number < low - margin) | (number > high + margin)
-    return daily.filter(outside).select("date", "n_rows")
+    return (number < low - margin) | (number > high + margin)
 
 
 def audit_missing_days(daily: DataFrame) -> DataFrame:
@@ -535,14 +539,18 @@ SUMMARY_SUMS = ["impressions", "conversions", "spend"]
 def summarise(copies: DataFrame) -> DataFrame:
     """Counted performance rows per raw date, campaign and currency; what is not there is left out."""
     keys = [c for c in SUMMARY_KEYS if c in copies.columns]
+    return copies.groupBy(*keys).agg(*[v.alias(k) for k, v in summary_sums(copies).items()])
+
+
+def summary_sums(copies: DataFrame) -> dict[str, Column]:
     sums = [c for c in SUMMARY_SUMS if c in copies.columns]
-    return copies.groupBy(*keys).agg(
-        F.sum("copies").alias("n_raw"),
-        *[F.coalesce(F.sum(safe_double(c) * F.col("copies")), F.lit(0.0)).alias(c) for c in sums],
-    )
+    return {
+        "n_raw": F.sum("copies"),
+        **{c: F.coalesce(F.sum(safe_double(c) * F.col("copies")), F.lit(0.0)) for c in sums},
+    }
 
 
-def _feed_rules(feed: str, columns: list[str]) -> list[Rule]:
+def _feed_rules(feed: str, columns: list[str], expected: dict[str, list[str]] | None = None) -> list[Rule]:
     """Everything about one feed that a row shows by itself, as far as its columns are there."""
 
     def there(*names: str) -> bool:
@@ -589,6 +597,12 @@ def _feed_rules(feed: str, columns: list[str]) -> list[Rule]:
         off = F.coalesce(F.abs(safe_double("rate_to_usd") - 1) >= 1e-9, F.lit(True))
         rules.append(Rule("base rate", f"{feed}.rate_to_usd", "MEDIUM", "USD rate is not one",
                           (F.col("currency") == "USD") & off))
+    if feed in ("campaigns", "creatives"):
+        known = VOCABULARY if expected is None else expected
+        for c in (c for c in CATEGORIES if there(c)):
+            if c in known:
+                rules.append(Rule("unexpected values", f"{feed}.{c}", "MEDIUM", "outside the documented set", ~F.col(c).isin(known[c])))
+            rules.append(Rule("stray blanks", f"{feed}.{c}", "MEDIUM", "whitespace around a category", has_stray_blanks(c)))
     return rules
 
 
@@ -654,6 +668,115 @@ def _against_campaigns(summary: DataFrame, campaigns: DataFrame) -> DataFrame:
     return sums.select(F.inline(findings))
 
 
+def _broken_rows(rules: list[Rule]) -> dict[str, Column]:
+    """Rows that break each rule, of rows with their number of ``copies``."""
+    return {f"broken_{i}": F.coalesce(F.sum(F.when(r.broken, F.col("copies"))), F.lit(0)) for i, r in enumerate(rules)}
+
+
+def _observed_rules(rules: list[Rule], found: dict) -> list[tuple]:
+    return [(r.check, r.target, r.severity, found[f"broken_{i}"], r.detail) for i, r in enumerate(rules)]
+
+
+def _extra_copies() -> Column:
+    return F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
+
+
+def _counted_feed(df: DataFrame, feed: str, rules: list[Rule], path: str) -> tuple[DataFrame, list[tuple]]:
+    """A feed as its different rows with their copies, written once, and what was observed on the way.
+
+    Malformed rows, rows that break a rule and copies of rows are counted by the job that writes.
+    """
+    columns, malformed = data_columns(df), MALFORMED in df.columns
+    broken = F.count(F.col(MALFORMED)) if malformed else F.lit(0).cast("bigint")
+    counted = df.groupBy(*columns).agg(F.count("*").alias("copies"), broken.alias("_malformed"))
+    figures = {**_broken_rows(rules), "extra": _extra_copies(), "malformed": F.coalesce(F.sum("_malformed"), F.lit(0))}
+    back = df.sparkSession.read.schema(counted.schema)
+    found = write_observed(counted, figures, lambda rows: rows.write.parquet(path), lambda: back.parquet(path))
+    rows = [*_observed_rules(rules, found), ("duplicate rows", feed, "HIGH", found["extra"], DUPLICATES)]
+    if malformed:
+        rows.append(("malformed rows", feed, "HIGH", found["malformed"], NOT_AS_HEADER))
+    return back.parquet(path).drop("_malformed"), rows
+
+
+def _summary_and_rules(copies: DataFrame, rules: list[Rule], path: str) -> tuple[DataFrame, dict]:
+    """``summarise``, written, and the rows that break each rule: summed beside it, and observed as it is written.
+
+    So one scan of the counted rows serves both. The sums by rule are not kept.
+    """
+    keys = [c for c in SUMMARY_KEYS if c in copies.columns]
+    kept = summary_sums(copies)
+    per_rule = _broken_rows(rules)
+    wide = with_numbers(copies).groupBy(*keys).agg(
+        *[v.alias(k) for k, v in {**kept, **per_rule, "extra": _extra_copies()}.items()]
+    )
+    figures = {k: F.coalesce(F.sum(k), F.lit(0)) for k in (*per_rule, "extra")}
+    columns = [*keys, *kept]
+    back = copies.sparkSession.read.schema(wide.select(*columns).schema)
+    found = write_observed(
+        wide, figures, lambda rows: rows.select(*columns).write.parquet(path), lambda: copies.sparkSession.read.parquet(path)
+    ) if rules else {}
+    return back.parquet(path), found
+
+
+def _rows_by_creative(copies: DataFrame, path: str) -> tuple[DataFrame | None, int | None]:
+    """Rows of each creative, written, and rows that share the grain with others, from one scan of the counted rows."""
+    keys = [c for c in PERFORMANCE_GRAIN if c in copies.columns]
+    if "creative_id" not in keys:
+        return None, None
+    per_key = copies.groupBy(*keys).agg(F.sum("copies").alias("n"))
+    rows = per_key.groupBy("creative_id").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("shared")
+    )
+    back = copies.sparkSession.read.schema(rows.schema)
+    figures = {"shared": F.coalesce(F.sum("shared"), F.lit(0))}
+    found = write_observed(rows, figures, lambda r: r.write.parquet(path), lambda: back.parquet(path))
+    return back.parquet(path), found["shared"] if len(keys) == len(PERFORMANCE_GRAIN) else None
+
+
+def _volume_with_strays(summary: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``daily_volume`` with ``stray`` for days far outside, written, and the rows of such days."""
+    volume = daily_volume(summary, "n_raw")
+    rows = volume.withColumn("stray", F.coalesce(is_stray(volume), F.lit(False)))
+    back = summary.sparkSession.read.schema(rows.schema)
+    figures = {"n": F.coalesce(F.sum(F.when(F.col("stray"), F.col("n_rows"))), F.lit(0))}
+    found = write_observed(rows, figures, lambda r: r.write.parquet(path), lambda: back.parquet(path))
+    return back.parquet(path), found["n"]
+
+
+def _met(keys: list[str], sides: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows that each side has of every key, from one pass over the union of the sides."""
+    parts = [
+        df.select(*keys, *[(F.col(weight) if own == name else F.lit(None)).cast("bigint").alias(own) for own in sides])
+        for name, (df, weight) in sides.items()
+    ]
+    return _union(parts).groupBy(*keys).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sides])
+
+
+def _keyed(met: DataFrame, findings: list[tuple[str, str, str, Column, Column | str]]) -> DataFrame:
+    """Findings (check, target, severity, aggregate over the keys, detail) from one aggregate over ``_met``."""
+    sums = met.agg(*[n.cast("bigint").alias(f"n_{i}") for i, (_, _, _, n, _) in enumerate(findings)],
+                   *[d.alias(f"d_{i}") for i, (*_, d) in enumerate(findings) if isinstance(d, Column)])
+    rows = F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(target).alias("target"), F.lit(severity).alias("severity"),
+                 F.col(f"n_{i}").alias("n_rows"), (F.col(f"d_{i}") if isinstance(d, Column) else F.lit(d)).alias("detail"))
+        for i, (check, target, severity, _, d) in enumerate(findings)
+    ])
+    return sums.select(F.inline(rows))
+
+
+def _shared_rows(name: str) -> Column:
+    return F.sum(F.when(F.col(name) > 1, F.col(name)))
+
+
+def _grain_detail(feed: str) -> str:
+    return "rows share " + ", ".join(GRAIN[feed])
+
+
+DUPLICATES = "identical rows count twice in every sum"
+NOT_AS_HEADER = "rows do not have as many fields as their header"
+FINDING = "check string, target string, severity string, n_rows bigint, detail string"
+
+
 def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | None = None,
           folder: str | None = None, copies: DataFrame | None = None) -> DataFrame:
     """All findings, gravest first.
@@ -661,100 +784,101 @@ def audit(spark: SparkSession, feeds: Feeds, expected: dict[str, list[str]] | No
     Every check stands alone: where a feed or a column is missing, that is a
     finding, and only the checks that need it are left out.
 
-    The performance feed is read once, to count identical rows; ``copies`` may hand
-    over those counts when the cleaning layer has written them already. All that a
-    row shows by itself is one aggregate over them, and the rest weighs a written
-    summary by day, campaign and currency.
+    Each feed is read once, to count identical rows; ``copies`` may hand over those of
+    the performance feed when the cleaning layer has written them already. All that a
+    row shows by itself is observed by the jobs that write: the counted rows of the small
+    feeds, a summary of performance by day, campaign and currency, and its rows by
+    creative. What is left to do are comparisons of keys over these tables.
     """
     parts = [p for p in [drift(spark, feeds)] if p is not None]
-    parts += [
-        _finding(df.agg(malformed_rows(df).alias("n")), "malformed rows", feed, "HIGH", F.col("n"),
-                 "rows do not have as many fields as their header")
-        for feed, df in feeds.items()
-        if MALFORMED in df.columns
-    ]
-    feeds = {feed: df.select(*data_columns(df)) for feed, df in feeds.items() if feed in EXPECTED}
+    rows: list[tuple] = []
     folder = folder or f"{new_folder(spark)}/audit"
-    n = F.col("n")
-
+    feeds = {feed: df for feed, df in feeds.items() if feed in EXPECTED}
+    counted: Feeds = {}
     for feed, df in feeds.items():
-        rows, weight = df, None
-        if feed == PERFORMANCE:
-            if copies is None:
-                copies = written(df.groupBy(*df.columns).agg(F.count("*").alias("copies")), f"{folder}/copies")
-            copies = copies.select(*df.columns, "copies")
-            rows, weight = with_numbers(copies), "copies"
-        rules = _feed_rules(feed, df.columns)
-        if weight:
-            rules.append(Rule("duplicate rows", feed, "HIGH", "identical rows count twice in every sum", F.lit(True)))
-        if rules:
-            found = rule_counts(rows, rules, weight, once={"duplicate rows"})
-            parts.append(found)
-        if not weight:
-            parts.append(_finding(dup_rows(df, feed), "duplicate rows", feed, "HIGH", F.col("extra_rows"),
-                                  "identical rows count twice in every sum"))
-        if has(feeds, feed, *GRAIN[feed]):
-            shared = grain_summary(copies if weight else df, GRAIN[feed], feed, weight)
-            parts.append(_finding(shared, "grain", feed, "HIGH", F.col("colliding_rows"),
-                                  "rows share " + ", ".join(GRAIN[feed])))
-
-    def total(df: DataFrame) -> DataFrame:
-        return df.agg(F.sum("n_rows").alias("n"), F.count("*").alias("ids"))
-
-    def size(df: DataFrame) -> DataFrame:
-        return df.agg(F.count("*").alias("n"))
-
-    summary = None
+        columns = data_columns(df)
+        if feed != PERFORMANCE or copies is None:
+            # The rules of performance wait for its summary, so that numbers are parsed once.
+            rules = [] if feed == PERFORMANCE else _feed_rules(feed, columns, expected)
+            counted[feed], found = _counted_feed(df, feed, rules, f"{folder}/{feed}")
+            rows += found
+        else:
+            counted[feed] = copies.select(*columns, "copies")
+            if MALFORMED in df.columns:
+                n = df.agg(malformed_rows(df)).first()[0]
+                rows.append(("malformed rows", feed, "HIGH", n, NOT_AS_HEADER))
+
+    summary = by_creative = None
     if PERFORMANCE in feeds:
-        summary = written(summarise(copies), f"{folder}/summary")
-    with_campaigns = has(feeds, "campaigns", "campaign_id")
-    if summary is not None and with_campaigns and "campaign_id" in summary.columns:
-        parts.append(_against_campaigns(summary, feeds["campaigns"]))
-        parts.append(_finding(size(unmatched(feeds["campaigns"], summary, "campaign_id")), "unused campaigns", "campaigns",
-                              "INFO", n, "campaigns without performance"))
-    if has(feeds, "creatives", "creative_id") and has(feeds, PERFORMANCE, "creative_id"):
-        lost = total(unmatched(copies, feeds["creatives"], "creative_id", "copies"))
-        parts.append(_finding(lost, "orphan creatives", PERFORMANCE, "MEDIUM", n,
-                              F.concat(F.lit("rows without a creative, "), F.col("ids").cast("string"), F.lit(" ids"))))
-    if has(feeds, "creatives", "campaign_id") and with_campaigns:
-        parts.append(_finding(size(unmatched(feeds["creatives"], feeds["campaigns"], "campaign_id")), "unknown campaigns",
-                              "creatives", "MEDIUM", n, "campaigns only creatives know"))
+        own = counted[PERFORMANCE]
+        rules = _feed_rules(PERFORMANCE, data_columns(feeds[PERFORMANCE]))
+        summary, found = _summary_and_rules(own, rules, f"{folder}/summary")
+        rows += _observed_rules(rules, found)
+        if copies is not None:
+            rows.append(("duplicate rows", PERFORMANCE, "HIGH", found.get("extra", 0), DUPLICATES))
+        by_creative, shared = _rows_by_creative(own, f"{folder}/creatives_in_use")
+        if shared is not None:
+            rows.append(("grain", PERFORMANCE, "HIGH", shared, _grain_detail(PERFORMANCE)))
+
+    campaigns = counted.get("campaigns") if has(feeds, "campaigns", "campaign_id") else None
+    creatives = counted.get("creatives")
+    known = F.col("campaign_id").isNotNull()
+    sides, checks = {}, []
+    if campaigns is not None:
+        sides["in_campaigns"] = (campaigns, "copies")
+        checks.append(("grain", "campaigns", "HIGH", _shared_rows("in_campaigns"), _grain_detail("campaigns")))
+        if summary is not None and "campaign_id" in summary.columns:
+            parts.append(_against_campaigns(summary, campaigns.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))))
+            sides["in_performance"] = (summary, "n_raw")
+            checks.append(("unused campaigns", "campaigns", "INFO",
+                           F.count_if(known & (F.col("in_campaigns") > 0) & (F.col("in_performance") == 0)), "campaigns without performance"))
+        if has(feeds, "creatives", "campaign_id"):
+            sides["in_creatives"] = (creatives, "copies")
+            checks.append(("unknown campaigns", "creatives", "MEDIUM",
+                           F.count_if(known & (F.col("in_creatives") > 0) & (F.col("in_campaigns") == 0)), "campaigns only creatives know"))
+        parts.append(_keyed(_met(["campaign_id"], sides), checks))
+    if has(feeds, "creatives", "creative_id"):
+        sides = {"in_creatives": (creatives, "copies")}
+        checks = [("grain", "creatives", "HIGH", _shared_rows("in_creatives"), _grain_detail("creatives"))]
+        if by_creative is not None:
+            sides["in_use"] = (by_creative, "n_rows")
+            lost = F.col("creative_id").isNotNull() & (F.col("in_use") > 0) & (F.col("in_creatives") == 0)
+            ids = F.concat(F.lit("rows without a creative, "), F.count_if(lost).cast("string"), F.lit(" ids"))
+            checks.append(("orphan creatives", PERFORMANCE, "MEDIUM", F.sum(F.when(lost, F.col("in_use"))), ids))
+        parts.append(_keyed(_met(["creative_id"], sides), checks))
     if has(feeds, "fx_rates", *RATE_GRAIN):
-        fx = feeds["fx_rates"]
+        fx = counted["fx_rates"]
+        sides = {"in_rates": (fx, "copies")}
+        checks = [
+            ("grain", "fx_rates", "HIGH", _shared_rows("in_rates"), _grain_detail("fx_rates")),
+            ("duplicate rate keys", "fx_rates", "HIGH", F.sum(F.when(F.col("in_rates") > 1, F.col("in_rates") - 1)),
+             "the rate join fans out"),
+        ]
         if summary is not None and all(c in summary.columns for c in RATE_GRAIN):
-            parts.append(_finding(size(missing_pairs(summary, fx, RATE_GRAIN)), "missing rates", "fx_rates", "HIGH", n,
-                                  "day and currency pairs without a rate"))
-        parts.append(_finding(dup_keys(fx, RATE_GRAIN), "duplicate rate keys", "fx_rates", "HIGH",
-                              F.col("extra_rows"), "the rate join fans out"))
+            sides["in_performance"] = (summary, "n_raw")
+            unmet = (F.col("in_performance") > 0) & (F.col("in_rates") == 0)
+            for key in RATE_GRAIN:
+                unmet = unmet & F.col(key).isNotNull()
+            checks.append(("missing rates", "fx_rates", "HIGH", F.count_if(unmet), "day and currency pairs without a rate"))
+        parts.append(_keyed(_met(RATE_GRAIN, sides), checks))
         if "rate_to_usd" in fx.columns:
             parts.append(_finding(feed_gaps(fx), "rate gaps", F.concat(F.lit("fx_rates."), "currency"), "HIGH",
                                   F.col("calendar_gaps"), "calendar days without a rate"))
     if summary is not None and all(c in summary.columns for c in ["date", "campaign_id", *SUMMARY_SUMS]):
-        volume = daily_volume(summary, "n_raw")
+        volume, strays = _volume_with_strays(summary, f"{folder}/volume")
+        rows.append(("stray dates", PERFORMANCE, "HIGH", strays, "rows dated far outside the extract"))
+        gaps = missing_days(volume.filter(~F.col("stray"))).agg(F.count("*").alias("n"))
         parts += [
             _finding(last_day_ratios(volume).filter("looks_partial"), "partial last day",
                      F.concat(F.lit(PERFORMANCE + "."), "measure"), "HIGH", F.lit(1),
                      "last day far below the 14 days before"),
-            _finding(total(stray_dates(volume)), "stray dates", PERFORMANCE, "HIGH", n,
-                     "rows dated far outside the extract"),
-            _finding(size(audit_missing_days(volume)), "missing days", PERFORMANCE, "MEDIUM", n,
-                     "days without rows"),
+            _finding(gaps, "missing days", PERFORMANCE, "MEDIUM", F.col("n"), "days without rows"),
         ]
-    if any(has(feeds, feed, c) for feed in ("campaigns", "creatives") for c in CATEGORIES):
-        per_column = vocabulary(feeds, expected).groupBy("feed", "column").agg(
-            F.coalesce(F.sum(F.when(~F.col("is_expected"), F.col("n_rows"))), F.lit(0)).alias("unexpected"),
-            F.coalesce(F.sum(F.when(F.col("has_stray_blanks"), F.col("n_rows"))), F.lit(0)).alias("stray"),
-        )
-        where = F.concat("feed", F.lit("."), "column").alias("target")
-        words = F.array(*[
-            F.struct(F.lit(check).alias("check"), where, F.lit("MEDIUM").alias("severity"),
-                     F.col(c).cast("bigint").alias("n_rows"), F.lit(detail).alias("detail"))
-            for check, c, detail in (("unexpected values", "unexpected", "outside the documented set"),
-                                     ("stray blanks", "stray", "whitespace around a category"))
-        ])
-        parts.append(per_column.select(F.inline(words)))
+    found_rows = [row for row in rows if row[3]]
+    if found_rows:
+        parts.append(spark.createDataFrame(found_rows, FINDING))
     if not parts:
-        return spark.createDataFrame([], "check string, target string, severity string, n_rows bigint, detail string")
+        return spark.createDataFrame([], FINDING)
     weight = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     return _union(parts).filter(F.col("n_rows") > 0).orderBy(weight, "check", "target", "detail")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from spendlens.functions.text import norm_code, safe_double, safe_long
 from spendlens.operators.clean import clean_campaigns, dated_performance
 from spendlens.operators.rates import clean_rates, dense_rates, first_and_last, rates_as_of, span_bounds
+from spendlens.functions.numbers import rounded
 from spendlens.plans.joins import lookup_join
+from spendlens.plans.observed import write_observed
 from spendlens.plans.store import drop_folder, new_folder, read_by_month, write_by_month, written
 from spendlens.sources.feeds import Feeds
 
@@ -26,6 +29,41 @@ FACT_COLUMNS = [
 FLAGS = FACT_COLUMNS[16:]
 
 
+# Report column of each row flag.
+FLAG_COUNTS = {
+    "date_was_non_iso": "non_iso_dates",
+    "is_orphan_campaign": "orphan_rows",
+    "currency_tag_mismatch": "currency_mismatches",
+    "rate_was_filled": "fx_filled_rows",
+    "is_negative_spend": "negative_spend_rows",
+    "is_impossible_funnel": "impossible_funnel_rows",
+    "revenue_missing": "missing_revenue_rows",
+}
+assert set(FLAG_COUNTS) == set(FLAGS)
+
+
+def received_figures() -> dict[str, Column]:
+    """Figures over the counted, dated rows of the performance feed."""
+    raw = F.coalesce(F.sum("copies"), F.lit(0))
+    return {
+        "raw_rows": raw,
+        "distinct_rows": F.count("*"),
+        "duplicates_removed": raw - F.count("*"),
+        "unparseable_dates": F.count_if(F.col("day").isNull()),
+    }
+
+
+def fact_figures() -> dict[str, Column]:
+    """Figures over the rows of the fact."""
+    return {
+        **{name: F.count_if(F.col(flag)) for flag, name in FLAG_COUNTS.items()},
+        "date_min": F.min("date"),
+        "date_max": F.max("date"),
+        "total_spend_usd": rounded(F.coalesce(F.sum("spend_usd"), F.lit(0.0)), 2),
+        "total_revenue_usd": rounded(F.coalesce(F.sum("revenue_usd"), F.lit(0.0)), 2),
+    }
+
+
 def to_usd(amount: Column | str) -> Column:
     """A local amount at the rate of its own day."""
     amount = F.col(amount) if isinstance(amount, str) else amount
@@ -123,6 +161,10 @@ class Curated:
     rates: DataFrame  # as published, typed
     fact: DataFrame
     folder: str
+    # Observed when the tables were written: figures of ``received_figures`` and, with ``clean_rows``
+    # and the reported ``days``, those of ``fact_figures``.
+    received: dict[str, Any] = field(default_factory=dict)
+    kept: dict[str, Any] = field(default_factory=dict)
 
     @property
     def dense(self) -> DataFrame:
@@ -138,11 +180,21 @@ def build_curated(spark: SparkSession, feeds: Feeds, folder: str | None = None)
     """Run the cleaning layer once and write what later jobs share.
 
     The raw feed is read a single time: the deduplicated rows are written first,
-    so rates, row accounting and the audit come from columnar files.
+    so rates, row accounting and the audit come from columnar files. What the quality
+    report counts is observed on the way; days are bounded by the calendar.
     """
     folder = folder or new_folder(spark)
-    performance = written(dated_performance(feeds["ad_performance_daily"]), f"{folder}/performance")
+    dated_rows = dated_performance(feeds["ad_performance_daily"])
+    performance = spark.read.schema(dated_rows.schema)
+    target = f"{folder}/performance"
+    received = write_observed(
+        dated_rows, received_figures(), lambda rows: rows.write.mode("errorifexists").parquet(target), lambda: performance.parquet(target)
+    )
+    performance = performance.parquet(target)
     campaigns = clean_campaigns(feeds["campaigns"])
     rates = written(clean_rates(feeds["fx_rates"]), f"{folder}/rates")
-    fact = write_curated(assemble(performance, campaigns, rates), f"{folder}/fact")
-    return Curated(performance, campaigns, rates, fact, folder)
+    fact = assemble(performance, campaigns, rates)
+    figures = {"clean_rows": F.count("*"), "days": F.collect_set("date"), **fact_figures()}
+    kept = write_by_month(fact, f"{folder}/fact", figures=figures)
+    fact = read_by_month(spark, f"{folder}/fact", fact.schema)
+    return Curated(performance, campaigns, rates, fact, folder, received, kept)

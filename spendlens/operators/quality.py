@@ -2,60 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import grouping_column, metric
 from spendlens.functions.numbers import rounded
 from spendlens.operators.anomaly import SUSPECT_SHARE, last_day_check
-from spendlens.operators.fact import FLAGS, Curated
+from spendlens.operators.fact import Curated, fact_figures, received_figures
 from spendlens.operators.periods import Period
 
-# Report column of each row flag.
-FLAG_COUNTS = {
-    "date_was_non_iso": "non_iso_dates",
-    "is_orphan_campaign": "orphan_rows",
-    "currency_tag_mismatch": "currency_mismatches",
-    "rate_was_filled": "fx_filled_rows",
-    "is_negative_spend": "negative_spend_rows",
-    "is_impossible_funnel": "impossible_funnel_rows",
-    "revenue_missing": "missing_revenue_rows",
-}
-assert set(FLAG_COUNTS) == set(FLAGS)
-
-
-def _received_figures() -> list[Column]:
-    raw = F.coalesce(F.sum("copies"), F.lit(0))
-    return [
-        raw.alias("raw_rows"),
-        F.count("*").alias("distinct_rows"),
-        (raw - F.count("*")).alias("duplicates_removed"),
-        F.count_if(F.col("day").isNull()).alias("unparseable_dates"),
-    ]
-
-
 def row_accounting(performance: DataFrame, fact: DataFrame) -> DataFrame:
     """Rows received, kept and lost; ``performance`` is the counted, dated feed.
 
     Unreadable dates are counted as such, so a join that fans out cannot hide them.
     """
     clean = fact.agg(F.count("*")).scalar()
-    return performance.agg(*_received_figures()).withColumn("clean_rows", clean)
+    return performance.agg(*_aliased(received_figures())).withColumn("clean_rows", clean)
 
 
-def _fact_figures() -> list[Column]:
-    return [
-        *[F.count_if(F.col(flag)).alias(name) for flag, name in FLAG_COUNTS.items()],
-        F.min("date").alias("date_min"),
-        F.max("date").alias("date_max"),
-        rounded(F.coalesce(F.sum("spend_usd"), F.lit(0.0)), 2).alias("total_spend_usd"),
-        rounded(F.coalesce(F.sum("revenue_usd"), F.lit(0.0)), 2).alias("total_revenue_usd"),
-    ]
+def accounting(curated: Curated) -> DataFrame:
+    """``row_accounting`` of a run of the cleaning layer, from what was observed when it wrote its tables."""
+    if not curated.received:
+        return row_accounting(curated.performance, curated.fact)
+    figures = {**curated.received, "clean_rows": curated.kept["clean_rows"]}
+    return _one_row(curated.fact.sparkSession, {name: ("bigint", n) for name, n in figures.items()})
+
+
+def _one_row(spark: SparkSession, values: dict[str, tuple[str, object]]) -> DataFrame:
+    return spark.range(1).select(*[F.lit(value).cast(kind).alias(name) for name, (kind, value) in values.items()])
+
+
+def _aliased(figures: dict[str, Column]) -> list[Column]:
+    return [figure.alias(name) for name, figure in figures.items()]
 
 
 def flag_counts(fact: DataFrame) -> DataFrame:
     """Flag counts, span and totals in one pass."""
-    return fact.agg(*_fact_figures())
+    return fact.agg(*_aliased(fact_figures()))
 
 
 def missing_days(df: DataFrame, day: str = "date") -> DataFrame:
@@ -83,9 +68,11 @@ def unrated_rows(fact: DataFrame) -> DataFrame:
 
 
 def quality_report(curated: Curated) -> DataFrame:
-    """The whole report in one row."""
-    counts = curated.fact.agg(F.count("*").alias("clean_rows"), *_fact_figures())
-    received = curated.performance.agg(F.struct(*_received_figures())).scalar()
+    """The whole report in one row, from the figures that were observed when the tables were written."""
+    if curated.received:
+        return _observed_report(curated)
+    counts = curated.fact.agg(F.count("*").alias("clean_rows"), *_aliased(fact_figures()))
+    received = curated.performance.agg(F.struct(*_aliased(received_figures()))).scalar()
     # At most one entry per calendar day, so the list is bounded by the span.
     gaps = missing_days(curated.fact).agg(
         F.array_join(F.array_sort(F.collect_list(F.col("date").cast("string"))), ", ").alias("days"),
@@ -100,6 +87,21 @@ def quality_report(curated: Curated) -> DataFrame:
     )
 
 
+def _observed_report(curated: Curated) -> DataFrame:
+    days = sorted(curated.kept["days"] or [])
+    missing = [
+        (before + dt.timedelta(days=i)).isoformat()
+        for before, after in zip(days, days[1:])  # noqa: B905
+        for i in range(1, (after - before).days)
+    ]
+    kinds = {"date_min": "date", "date_max": "date", "total_spend_usd": "double", "total_revenue_usd": "double"}
+    figures = {name: n for name, n in curated.received.items() if name != "distinct_rows"}
+    figures |= {name: n for name, n in curated.kept.items() if name != "days"}
+    values = {name: (kinds.get(name, "bigint"), n) for name, n in figures.items()}
+    values |= {"n_missing_days": ("bigint", len(missing)), "missing_days": ("string", ", ".join(missing))}
+    return _one_row(curated.fact.sparkSession, values)
+
+
 # What each count in the report means to a reader, in reading order.
 CAVEATS: list[tuple[str, str]] = [
     ("duplicates_removed", "duplicate rows were removed before summing"),

@@ -9,21 +9,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.plans.observed import write_observed
+
 MONTH = "month"
 
 # Folders made for local sessions without a setting, by application.
 _temporary: dict[str, str] = {}
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; without one it is on the default file system, which may be a local disk."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.toUri().getScheme():
+        return path
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     local = spark.sparkContext.master.startswith("local")
-    if shared and (local or not shared.startswith("file:")):
+    if shared and (local or not _qualified(spark, shared).startswith("file:")):
         return shared.rstrip("/")
     if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
@@ -55,22 +66,25 @@ def month_of(day) -> F.Column:
     return F.year(day) * 100 + F.month(day)
 
 
-def write_by_month(df: DataFrame, path: str, day: str = "date", mode: str = "errorifexists") -> None:
-    """Write a dated table in one folder per month, each file sorted by day.
+def write_by_month(
+    df: DataFrame, path: str, day: str = "date", mode: str = "errorifexists", figures: dict[str, Column] | None = None
+) -> dict[str, Any]:
+    """Write a dated table in one folder per month, each file sorted by day, and give ``figures`` over its rows.
 
     ``rebalance`` gathers a month and lets adaptive execution cut it by size, so a
     month with a third of all rows becomes many files and a small one a single
     file. A period then reads only its months, and the sort leaves narrow page
     statistics to skip the other days with.
     """
-    (
-        df.withColumn(MONTH, month_of(F.col(day)))
-        .hint("rebalance", F.col(MONTH))
-        .sortWithinPartitions(MONTH, day)
-        .write.mode(mode)
-        .partitionBy(MONTH)
-        .parquet(path)
-    )
+    gathered = df.withColumn(MONTH, month_of(F.col(day))).hint("rebalance", F.col(MONTH))
+
+    def write(rows: DataFrame) -> None:
+        rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH).parquet(path)
+
+    if not figures:
+        write(gathered)
+        return {}
+    return write_observed(gathered, figures, write, lambda: read_by_month(df.sparkSession, path, df.schema))
 
 
 def read_by_month(spark: SparkSession, path: str, schema) -> DataFrame:
