@@ -170,6 +170,15 @@ def _result_diff(w: Workspace) -> DataFrame:
     return integrity.result_diff(raw, kept)
 
 
+def _changed_cells(w: Workspace) -> DataFrame:
+    """Rows and impressions per day before and after cleaning, cell by cell."""
+    raw = w.feeds[PERF].groupBy(parse_dates("date").alias("date")).agg(
+        F.count("*").alias("n_rows"), F.sum(safe_long("impressions")).alias("impressions")
+    )
+    kept = w.fact.groupBy("date").agg(F.count("*").alias("n_rows"), F.sum("impressions").alias("impressions"))
+    return integrity.changed_cells(raw, kept, ["date"])
+
+
 def _malformed(w: Workspace) -> DataFrame:
     return _per_feed(w, lambda df, name: df.agg(
         F.count("*").alias("n_rows"), malformed_rows(df).alias("malformed_rows"), F.count_distinct(df.columns[0]).alias("keys"),
@@ -261,6 +270,8 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "partial_day_flags": _partial_day_flags,
         "last_day_check": lambda w: anomaly.last_day_check(w.fact, w.span[1]),
         "last_day_ratios": lambda w: anomaly.last_day_ratios(_volume(w)),
+        "anomaly_conversions_by_campaign": lambda w: anomaly.anomaly(w.fact, "conversions", by="campaign"),
+        "anomaly_spend_by_channel": lambda w: anomaly.anomaly(w.fact, "spend", by="channel"),
         "anomaly_most_recent_day": lambda w: anomaly.anomaly(w.fact, "conversions", w.period("most_recent_day")),
         # Pause decision
         "pause_scorecard": lambda w: pause.pause_scorecard(w.fact, w.period(*PAUSE)),
@@ -312,6 +323,7 @@ def _catalog() -> dict[str, Callable[[Workspace], DataFrame]]:
         "ratio_bounds": lambda w: integrity.ratio_bounds(w.fact, "creative"),
         "row_density": lambda w: integrity.row_density(w.fact),
         "result_diff": _result_diff,
+        "changed_cells": _changed_cells,
     }
     for name in METRICS:
         for group in GROUPINGS:

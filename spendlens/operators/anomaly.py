@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.metrics import metric
+from spendlens.functions.metrics import grouping_column, metric
 from spendlens.functions.numbers import median_of, rounded
 from spendlens.operators.periods import Period, anomaly_window, between, data_span, in_period
 
@@ -20,24 +20,38 @@ TRAILING_DAYS = 15
 SUSPECT_SHARE = 0.6
 
 
-def _trailing_median(value: Column) -> Column:
-    """Median of the 14 reported days before the current one."""
-    past = Window.orderBy("date").rowsBetween(-TRAILING_ROWS, -1)
+def _trailing_median(value: Column, entity: list[str]) -> Column:
+    """Median of the 14 reported days before the current one, of the same entity."""
+    past = Window.partitionBy(*entity).orderBy("date").rowsBetween(-TRAILING_ROWS, -1)
     return median_of(F.collect_list(value).over(past))
 
 
-def anomaly(fact: DataFrame, name: str, period: Period | None = None) -> DataFrame:
-    """A metric per day beside the rows reported, each with its trailing median."""
+def anomaly(fact: DataFrame, name: str, period: Period | None = None, by: str | None = None) -> DataFrame:
+    """A metric per day beside the rows reported, each with its trailing median.
+
+    With ``by`` there is a series for every value of a grouping, each against its own past.
+    Rows are summed to one per entity and day before any window, so an entity with very many
+    rows is no larger than the calendar. A day on which an entity has no rows is not
+    a day with zero: it has no row in the series and is counted in the
+    ``days_without_rows`` of the next day that has.
+    """
     m = metric(name)
+    entity = [] if by is None else [grouping_column(by)]
+    if by is not None and entity in ([None], ["date"]):
+        raise ValueError(f"no series by {by!r}")
     scope = in_period(fact, period and anomaly_window(period))
-    daily = scope.groupBy("date").agg(m.total().alias("value"), F.count("*").alias("rows_reported"))
+    daily = scope.groupBy(*entity, "date").agg(m.total().alias("value"), F.count("*").alias("rows_reported"))
+    earlier = F.lag("date").over(Window.partitionBy(*entity).orderBy("date"))
+    gap = [(F.coalesce(F.datediff("date", earlier), F.lit(1)) - 1).cast("bigint").alias("days_without_rows")] if entity else []
     return daily.select(
+        *entity,
         "date",
         m.rounded(F.col("value")).alias(m.label),
         "rows_reported",
-        m.rounded(_trailing_median(F.col("value"))).alias("trailing_14d_median"),
-        rounded(_trailing_median(F.col("rows_reported")), 1).alias("median_rows_reported"),
-    ).orderBy("date")
+        m.rounded(_trailing_median(F.col("value"), entity)).alias("trailing_14d_median"),
+        rounded(_trailing_median(F.col("rows_reported"), entity), 1).alias("median_rows_reported"),
+        *gap,
+    ).orderBy(*entity, "date")
 
 
 def flag_partial(series: DataFrame, label: str) -> DataFrame:
