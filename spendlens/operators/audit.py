@@ -21,8 +21,8 @@ from spendlens.functions.text import (
 from spendlens.operators.anomaly import last_day_ratios
 from spendlens.operators.quality import missing_days
 from spendlens.plans.observed import write_observed
-from spendlens.plans.quantiles import exact_quantiles
-from spendlens.plans.store import new_folder
+from spendlens.plans.quantiles import bucket_counts, exact_quantiles, plain_figures
+from spendlens.plans.store import new_folder, written
 from spendlens.sources.feeds import EXPECTED, MALFORMED, Feeds, data_columns, malformed_rows
 
 PERFORMANCE = "ad_performance_daily"
@@ -348,21 +348,16 @@ def audit_missing_days(daily: DataFrame) -> DataFrame:
 def numeric_summary(perf: DataFrame) -> DataFrame:
     """Count, mean, deviation, range and exact quartiles per numeric column.
 
-    The plain figures come from one row of aggregates, the quartiles from bucket
-    counts and the values of a few buckets.
+    One scan counts buckets of the values; the plain figures are added up from them and the
+    quartiles read again only the values of the few ranges that hold one.
     """
     numbers = perf.select(*[_number(perf, c).alias(c) for c in NUMERIC])
-    row = numbers.agg(*[
-        F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"),
-                 F.min(c).alias("min"), F.max(c).alias("max")).alias(c)
-        for c in NUMERIC
-    ])
-    basic = row.select(F.inline(F.array(*NUMERIC)))
     long = numbers.unpivot([], NUMERIC, "column", "value")
-    quartiles = exact_quantiles(long, "column", "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    both = basic.join(quartiles, "column")
-    figures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    return both.select("column", "n", *[rounded(c, 4).alias(c) for c in figures])
+    counts = written(bucket_counts(long, "column", "value"), f"{new_folder(perf.sparkSession)}/buckets")
+    quartiles = exact_quantiles(long, "column", "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, counts)
+    both = plain_figures(counts, "column").join(quartiles, "column")
+    names = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    return both.select("column", "n", *[rounded(c, 4).alias(c) for c in names])
 
 
 def non_numeric(perf: DataFrame, examples: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.metrics import GROUPINGS, METRICS
 from spendlens.operators import aggregates as a
-from spendlens.operators.integrity import parts_sum_to_total, ratio_bounds, result_diff
+from spendlens.operators.integrity import changed_cells, differing_buckets, parts_sum_to_total, ratio_bounds, result_diff
 from spendlens.operators.periods import Period
 
 from feeds import fact_frame
@@ -178,3 +178,31 @@ def test_result_diff_counts_duplicates(spark):
     assert sorted(rows(result_diff(left, right))) == [
         (1, "a", "left_only"), (2, "b", "left_only"), (3, "c", "right_only")]
     assert result_diff(left, left).count() == 0
+
+
+def test_equal_results_have_no_differing_bucket_and_one_changed_cell_is_named(spark):
+    schema = "k long, name string, v double"
+    rows = [(i % 50, f"n{i % 7}" if i % 11 else None, i / 8) for i in range(3000)] + [(None, "x", None)] * 3
+    left = spark.createDataFrame(rows, schema).repartition(5)
+    right = spark.createDataFrame(list(reversed(rows)), schema).repartition(3)
+    assert differing_buckets(left, right).count() == 0 and result_diff(left, right).count() == 0
+    # Copies count: one row fewer, and another row instead.
+    fewer = spark.createDataFrame(rows[:-1], schema)
+    assert [(r.k, r.name, r.side) for r in result_diff(left, fewer).collect()] == [(None, "x", "left_only")]
+    swapped = spark.createDataFrame([*rows[:-1], (None, "y", None)], schema)
+    assert sorted((r.name, r.side) for r in result_diff(left, swapped).collect()) == [("x", "left_only"), ("y", "right_only")]
+
+
+def test_cells_of_rows_with_the_same_keys(spark):
+    schema = "k long, name string, v double, n long"
+    rows = [(1, "a", 1.0, 10), (2, "b", 2.0, 20), (None, "c", None, 30), (4, "d", 4.0, 40)]
+    other = [(1, "a", 1.0, 10), (2, "B", 2.0 + 1e-9, 20), (None, "c", 0.5, 30), (5, "e", 5.0, 50)]
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    got = sorted(((r.k, r["column"], r.left_value, r.right_value) for r in changed_cells(left, right, ["k"], 1e-6).collect()), key=str)
+    assert got == sorted([
+        (2, "name", "b", "B"), (None, "v", None, "0.5"),
+        (4, "name", "d", None), (4, "v", "4.0", None), (4, "n", "40", None),
+        (5, "name", None, "e"), (5, "v", None, "5.0"), (5, "n", None, "50"),
+    ], key=str)
+    assert ("v", "2.0") in [(r["column"], r.left_value) for r in changed_cells(left, right, ["k"]).collect()]
+    assert changed_cells(left, left, ["k"]).count() == 0

@@ -90,3 +90,28 @@ def test_last_day_against_14_reported_days(spark):
     assert got["campaigns"]["median_value"] == median and got["campaigns"]["last_value"] == 3
     assert got["spend"]["median_value"] == median * 1.5
     assert all(r["looks_partial"] and r["ratio"] == round(3 / median, 4) for r in got.values())
+
+
+def test_a_series_for_each_entity_has_its_own_past_and_its_own_gaps(spark):
+    import datetime as dt
+
+    import pytest
+
+    first = dt.date(2026, 1, 1)
+    rows = []
+    for i in range(20):
+        rows += [(first + dt.timedelta(days=i), "hot", 1)] * 40
+        if i not in (5, 6, 7):
+            rows.append((first + dt.timedelta(days=i), "rare", 0 if i == 10 else 2))
+    rows.append((first + dt.timedelta(days=3), None, 7))
+    fact = spark.createDataFrame(rows, "date date, channel string, conversions long")
+    got = {(r.channel, (r.date - first).days): r for r in anomaly(fact, "conversions", by="channel").collect()}
+    assert len(got) == 20 + 17 + 1
+    assert {got["hot", i].conversions for i in range(20)} == {40} and got["hot", 19].trailing_14d_median == 40
+    # A day of zero is a row, days without rows are not, and are told of on the next day.
+    assert got["rare", 10].conversions == 0 and ("rare", 5) not in got
+    assert [got["rare", i].days_without_rows for i in (0, 4, 8, 9)] == [0, 0, 3, 0]
+    assert got["rare", 8].trailing_14d_median == 2 and got["rare", 0].trailing_14d_median is None
+    assert got[None, 3].conversions == 7 and got[None, 3].median_rows_reported is None
+    with pytest.raises(ValueError):
+        anomaly(fact, "conversions", by="date")

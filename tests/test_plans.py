@@ -4,8 +4,11 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import queries
 from spendlens.catalog.queries import catalog, workspace
+from spendlens.plans.quantiles import bucket_counts
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,10 +65,38 @@ def test_audit_reads_the_written_counts_and_stays_small(spark):
     assert space.curated.performance.inputFiles()
 
 
+def scans(df):
+    return plan(df).count("FileScan")
+
+
 def test_quartiles_do_not_shuffle_the_values(spark):
+    space = workspace(spark, FOLDER)
+    long = space.feeds["ad_performance_daily"].select(F.lit("a").alias("k"), F.col("spend").try_cast("double").alias("v"))
+    first = [l for l in plan(bucket_counts(long, "k", "v")).split("\n") if "Exchange hashpartitioning(" in l]
+    assert len(first) == 1 and "bucket" in first[0]
+    # What is shuffled afterwards are counts of the values of a few narrow ranges.
     text = plan(queries()["numeric_summary"](spark, FOLDER))
-    first = [l for l in text.split("\n") if "Exchange hashpartitioning(" in l]
-    assert any("bucket" in l for l in first) and "Expand" not in plan(queries()["profile"](spark, FOLDER))
+    assert all("number" in l for l in text.split("\n") if "Exchange hashpartitioning(" in l and "value" in l)
+
+
+def test_every_check_has_few_scans(spark):
+    assert scans(queries()["audit_findings"](spark, FOLDER)) <= 12
+    assert scans(queries()["parts_sum_to_total"](spark, FOLDER)) == 1
+    # Two for each of four feeds: plain figures and distinct values.
+    assert scans(queries()["profile"](spark, FOLDER)) <= 8
+    assert scans(queries()["quality_report"](spark, FOLDER)) == scans(queries()["row_accounting"](spark, FOLDER)) == 0
+
+
+def test_distinct_values_are_shuffled_as_numbers(spark):
+    text = plan(queries()["profile"](spark, FOLDER))
+    assert "Expand" not in text
+    wide = [l for l in text.split("\n") if "Exchange hashpartitioning(" in l and "campaign_name" in l]
+    assert not wide
+
+
+def test_series_by_entity_are_summed_before_their_windows(spark):
+    text = plan(queries()["anomaly_conversions_by_campaign"](spark, FOLDER))
+    assert text.index("Window") < text.index("partial_") and "Exchange SinglePartition" not in text
 
 
 def test_shared_tables_are_written_once(spark):
