@@ -50,7 +50,7 @@ from spendlens.plans.joins import lookup_join, spread_left_join
 
 WORDS = 5
 LONGER = 5  # the part of a row, one in so many, by which its prefix is longer than needed to meet all links
-PACKED = 2**21  # entries that a task holds before it passes them on, and about what a bucket of columns has
+PACKED = 2**19  # entries that a task holds before it passes them on, and about what a bucket of columns has
 CELL_ROWS, CELL_ENTRIES = 2048, 2**20  # rows and entries of a block of rows, about
 DENSE = 64  # columns in which one in so many pairs of rows meet are multiplied as a dense block
 COLUMNS = 2048  # of so many columns
