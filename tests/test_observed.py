@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from spendlens.plans.observed import write_observed
 from spendlens.session import local_session
 
-spark = local_session("2,3", "retried")
+spark = local_session("2,3", "retried", **{"spark.sql.shuffle.partitions": "2"})
 
 def failing(batches):
     yield from batches
