@@ -51,6 +51,7 @@ from spendlens.plans.joins import lookup_join, spread_left_join
 WORDS = 5
 LONGER = 5  # the part of a row, one in so many, by which its prefix is longer than needed to meet all links
 PACKED = 2**19  # entries that a task holds before it passes them on, and about what a bucket of columns has
+CENTRES = 2**22  # entries that a task joins into groups
 CELL_ROWS, CELL_ENTRIES = 2048, 2**20  # rows and entries of a block of rows, about
 DENSE = 64  # columns in which one in so many pairs of rows meet are multiplied as a dense block
 COLUMNS = 2048  # of so many columns
@@ -266,7 +267,17 @@ def _local_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stars_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges ``a, b`` to the first row of each column, for rows that come sorted by column."""
+    """Edges ``a, b`` between rows of the same column, for rows that come sorted by column; none that others of the task imply.
+
+    A task so passes on fewer edges than it has rows, however many columns these share.
+    """
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
     last_column, last_centre = None, None
     for batch in batches:
         column, node = batch["column"].to_numpy(np.int64), batch["a"].to_numpy(np.int64)
@@ -278,8 +289,14 @@ def _stars_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if column[0] == last_column:
             centres[0] = last_centre
         last_column, last_centre = column[-1], centres[-1]
-        edges = pd.DataFrame({"a": node, "b": centres[number]})
-        yield edges[edges["a"] != edges["b"]].drop_duplicates()
+        edges = pd.DataFrame({"a": node, "b": centres[number]}).drop_duplicates()
+        joins = []
+        for x, y in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                joins.append((x, y))
+        yield pd.DataFrame(joins, columns=["a", "b"]).astype("int64")
 
 
 def _groups(shared: DataFrame, alive: DataFrame) -> DataFrame:
@@ -287,7 +304,9 @@ def _groups(shared: DataFrame, alive: DataFrame) -> DataFrame:
     entries = shared.mapInPandas(_unpacked(_plain), "column long, node long").join(alive.select("node"), "node")
     stars = cut(entries.select("column", "node").mapInPandas(_local_stars, "column long, a long, b long"))
     # Each task names a column once, so a column has no more rows than there are tasks.
-    centres = stars.filter("b is null").select("column", "a").repartition("column").sortWithinPartitions("column", "a")
+    centres = stars.filter("b is null").select("column", "a")
+    parts = 1 + centres.count() // CENTRES
+    centres = centres.repartition(parts, "column").sortWithinPartitions("column", "a")
     across = centres.mapInPandas(_stars_across, "a long, b long")
     return components(stars.filter("b is not null").select("a", "b").union(across))
 
