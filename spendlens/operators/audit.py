@@ -97,31 +97,32 @@ def profile(df: DataFrame, feed: str, approx: bool = False) -> DataFrame:
         F.count("*").alias("rows"),
         *[F.struct(*[v.alias(k) for k, v in own.items()]).alias(f"of_{i}") for i, own in enumerate(figures.values())],
     )
-    exact = None if approx else _distinct_values(df, columns)
     tagged = []
     for i, c in enumerate(columns):
         own = F.col(f"of_{i}")
-        distinct = own["distinct_values"] if approx else exact[f"of_{i}"]
         grave = F.lit("HIGH" if c in KEY_COLUMNS else "MEDIUM")
         tagged.append(F.struct(
             F.lit(c).alias("column"), own["nulls"].alias("nulls"),
             rounded(100 * F.try_divide(own["nulls"], F.col("rows")), 2).alias("null_pct"),
-            own["blanks"].alias("blanks"), distinct.cast("bigint").alias("distinct_values"), own["sample"].alias("sample"),
+            own["blanks"].alias("blanks"), own["distinct_values"].cast("bigint").alias("distinct_values"), own["sample"].alias("sample"),
             F.when(own["nulls"] > 0, grave).alias("severity"),
         ))
-    return row.select(F.lit(feed).alias("feed"), F.inline(F.array(*tagged)))
+    rows = row.select(F.lit(feed).alias("feed"), F.inline(F.array(*tagged)))
+    if approx:
+        return rows
+    counted = rows.drop("distinct_values").join(_distinct_values(df, columns), "column", "left")
+    return counted.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0))).select(*rows.columns)
 
 
-def _distinct_values(df: DataFrame, columns: list[str]) -> Column:
-    """Struct of the number of different values of each column, from one pass and one narrow shuffle."""
+def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, distinct_values`` of columns with any value, from one pass and one narrow shuffle."""
     named = [
         F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("of"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit("again"), c).alias("b")))
         for i, c in enumerate(columns)
     ]
     values = df.select(F.explode(F.array(*named)).alias("v")).filter("v is not null").select("v.*").distinct()
-    per_column = values.groupBy("of").agg(F.count("*").alias("n"))
-    counts = [F.coalesce(F.max(F.when(F.col("of") == i, F.col("n"))), F.lit(0)).alias(f"of_{i}") for i in range(len(columns))]
-    return per_column.agg(*counts).select(F.struct("*")).scalar()
+    names = F.array(*[F.lit(c) for c in columns])
+    return values.groupBy(F.element_at(names, F.col("of") + 1).alias("column")).agg(F.count("*").alias("distinct_values"))
 
 
 # Duplicates and grain ------------------------------------------------------
