@@ -55,7 +55,7 @@ CENTRES = 2**22  # entries that a task joins into groups
 CELL_ROWS, CELL_ENTRIES = 2048, 2**20  # rows and entries of a block of rows, about
 DENSE = 64  # columns in which one in so many pairs of rows meet are multiplied as a dense block
 COLUMNS = 2048  # of so many columns
-EXPANDED = 2**22  # pairs of entries that other columns add at a time
+EXPANDED = 2**19  # pairs of entries that other columns add at a time
 
 # Link when 100 * intersection >= 80 * union, kept in whole numbers: 5 i >= 4 u.
 NUM, DEN = 4, 5
