@@ -24,9 +24,9 @@ _temporary: dict[str, str] = {}
 
 def _qualified(spark: SparkSession, path: str) -> str:
     """A path with its scheme; without one it is on the default file system, which may be a local disk."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if target.toUri().getScheme():
+    if not path.startswith("/"):
         return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 

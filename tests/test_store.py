@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from spendlens.plans.store import drop_folder, new_folder, read_by_month, work_dir, write_by_month, written
+from spendlens.plans.store import _qualified, drop_folder, new_folder, read_by_month, work_dir, write_by_month, written
 
 
 class Session:
@@ -33,6 +33,11 @@ def test_the_shared_folder_of_the_cluster_is_used():
     assert session.folder is None
 
 
+def test_a_path_without_scheme_is_judged_by_the_default_file_system(spark):
+    assert _qualified(spark, "/shared").startswith("file:/")
+    assert _qualified(spark, "hdfs://x/shared") == "hdfs://x/shared"
+
+
 def test_a_temporary_folder_only_in_local_mode():
     session = Session("local[2]")
     folder = work_dir(session)
