@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,7 +238,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         sequences = plan[at, 3] + numbers.to_numpy(np.int64) - plan[at, 1]
         return pd.DataFrame({"sequence_id": sequences, "offset": plan[at, 4]})
 
-    small = pieces.sparkSession.createDataFrame(sorted(layout.numbered.items()) or [], "length long, _count long")
+    numbered = np.array(sorted(layout.numbered.items()), np.int64).reshape(-1, 2)
+    # An Arrow table needs no Python workers to become rows.
+    small = pieces.sparkSession.createDataFrame(pa.table({"length": numbered[:, 0], "_count": numbered[:, 1]}))
     return _numbered(pieces, small).select(
         *[c for c in pieces.columns if c != "_row"], place(F.col("length"), F.col("_number")).alias("_at")
     ).select("*", "_at.*").drop("_at")

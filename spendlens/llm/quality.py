@@ -176,7 +176,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model:
         if turn == ROUNDS or not len(pool):
             break
         given = []
-        for view, odds in (("meta", text[pool] @ model.text), ("text", meta[pool] @ model.meta)):
+        for view, odds in (("meta", (text @ model.text)[pool]), ("text", (meta @ model.meta)[pool])):
             chosen, marks = _confident(odds, good)
             rows[view] = np.concatenate([rows[view], pool[chosen]])
             answers[view] = np.concatenate([answers[view], marks])
@@ -195,25 +195,31 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model:
 FIELDS = list(Model.__dataclass_fields__)
 
 
-def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One model from all rows of the one partition that holds the sample."""
-    shapes, texts, metas, labels = Shapes(), [], [], []
-    for batch in batches:
-        text, meta = views(batch, shapes)
-        texts.append(text)
-        metas.append(meta)
-        labels.append(batch["label"].to_numpy(float, na_value=np.nan))
-    texts.append(np.zeros((0, SHAPES + 2)))
-    metas.append(np.zeros((0, LAYOUT + NAMES + 1)))
-    model = co_train(np.concatenate(texts), np.concatenate(metas), np.concatenate([*labels, np.zeros(0)]))
-    yield pd.DataFrame({f: [getattr(model, f).astype(float).tobytes()] for f in FIELDS})
+def _fitted(most: int):
+    """One model from all rows, ``most`` at the most, of the one partition that holds the sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Filled in place, so the views are held once.
+        text, meta, label = np.zeros((most, SHAPES + 2)), np.zeros((most, LAYOUT + NAMES + 1)), np.zeros(most)
+        shapes, rows = Shapes(), 0
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                own = slice(rows, rows + len(part))
+                text[own], meta[own] = views(part, shapes)
+                label[own] = part["label"].to_numpy(float, na_value=np.nan)
+                rows += len(part)
+        model = co_train(text[:rows], meta[:rows], label[:rows])
+        yield pd.DataFrame({f: [getattr(model, f).astype(float).tobytes()] for f in FIELDS})
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """Fit both views on bounded samples of ``docs`` (doc_id, text, lang, source)."""
     rows = fitting_sample(docs.select("doc_id", "text", "lang", "source"), labels_of(labels, F.col("quality")), labelled, unlabelled)
     ordered = rows.repartition(1).sortWithinPartitions("doc_id")
-    row = ordered.mapInPandas(_fitted, ", ".join(f"{f} binary" for f in FIELDS)).first()
+    row = ordered.mapInPandas(_fitted(labelled + unlabelled), ", ".join(f"{f} binary" for f in FIELDS)).first()
     if row is None:  # no rows, so no task either
         return co_train(np.zeros((0, SHAPES + 2)), np.zeros((0, LAYOUT + NAMES + 1)), np.zeros(0))
     return Model(*(np.frombuffer(row[f]) for f in FIELDS))

@@ -302,7 +302,9 @@ def _stars_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _groups(shared: DataFrame, alive: DataFrame) -> DataFrame:
     """``node, root``: rows that share a column of their prefixes, directly or over others."""
     entries = shared.mapInPandas(_unpacked(_plain), "column long, node long").join(alive.select("node"), "node")
-    stars = cut(entries.select("column", "node").mapInPandas(_local_stars, "column long, a long, b long"))
+    # Written in between: two Python functions in one task take two workers, which executors then keep.
+    entries = cut(entries.select("column", "node"))
+    stars = cut(entries.mapInPandas(_local_stars, "column long, a long, b long"))
     # Each task names a column once, so a column has no more rows than there are tasks.
     centres = stars.filter("b is null").select("column", "a")
     parts = 1 + centres.count() // CENTRES

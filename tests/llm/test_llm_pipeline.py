@@ -1,9 +1,13 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from spendlens.llm import common, quality
 from spendlens.llm.oracle import oracle
 from spendlens.llm.queries import catalog
 
@@ -93,3 +97,53 @@ def test_odd_and_empty_tables_go_through(spark, folder, odd_rows):
 
 def test_no_documents(spark, folder):
     assert corpus_pipeline.run(spark, folder([], [])).collect() == []
+
+
+def python_functions(plan):
+    """Most Python functions that run together in one task of a physical plan; each takes a worker, which executors keep."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.inputPlan())
+        children = node.children()
+        found = [walk(children.apply(i)) for i in range(children.size())]
+        here, most = sum(h for h, _ in found), max([m for _, m in found], default=0)
+        if name == "Union":  # a task has rows of one of them only
+            here = max(h for h, _ in found)
+        here += "Pandas" in name or "Python" in name
+        return (0, max(most, here)) if "Exchange" in name else (here, max(most, here))
+
+    return walk(plan)[1]
+
+
+def test_no_task_of_the_pipeline_needs_two_python_workers(spark, folder, monkeypatch):
+    """Workers stay with their executor, so a task with two leaves twice the memory to all stages after it."""
+    text = " ".join(f"w{i}" for i in range(60))
+    path = folder([(i, f"{text} end{i}") for i in range(40)], [(i, i % 2, 0) for i in range(40)])
+    counts, write = [], common.written
+
+    def written(df, target):
+        counts.append(python_functions(df._jdf.queryExecution().executedPlan()))
+        return write(df, target)
+
+    monkeypatch.setattr(common, "written", written)
+    last = corpus_pipeline.run(spark, path)._jdf.queryExecution().executedPlan()
+    assert max([*counts, python_functions(last)]) == 1
+    # The layout of the sequences comes as rows, not by a job of Python workers.
+    assert "ExistingRDD" not in last.toString()
+
+
+def test_fitting_holds_the_views_once():
+    """Beside the views themselves, fitting has room for the rows that it learns from, not for a second and third copy."""
+    rng, n = np.random.default_rng(2), 3000
+    words = [f"Word{i}" for i in range(200)]
+    batch = pd.DataFrame({"text": [" ".join(rng.choice(words, 20)) for _ in range(n)], "lang": "en", "source": "s"})
+    batch["label"] = pd.array([i % 2 if i < n // 2 else None for i in range(n)], dtype="Int32")
+    size = n * (quality.SHAPES + 2) * 8
+    tracemalloc.start()
+    try:
+        assert len(next(quality._fitted(n)(iter([batch])))) == 1
+        assert tracemalloc.get_traced_memory()[1] < 2.2 * size
+    finally:
+        tracemalloc.stop()
