@@ -35,7 +35,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -219,26 +219,35 @@ def _shared_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(packs)
 
 
-def _unpacked(function: Callable[[np.ndarray, np.ndarray], pd.DataFrame]):
-    """``mapInPandas`` function over the columns and rows of each pack."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for columns, nodes in batch[["columns", "nodes"]].itertuples(index=False):
-                if len(nodes):
-                    yield function(np.frombuffer(columns, np.int64), np.frombuffer(nodes, np.int64))
-
-    return run
+def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many shared columns each row is, added up over the packs of a task: ``node, held``."""
 
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        node, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return node, np.bincount(at, np.concatenate([p[1] for p in parts]), len(node)).astype(np.int64)
 
-def _held(columns: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
-    # A row that several tasks have seen may count a column more than once, which only keeps more rows.
-    node, count = np.unique(nodes, return_counts=True)
-    return pd.DataFrame({"node": node, "held": count})
+    parts, held = [], 0
+    for batch in batches:
+        for own in batch["nodes"]:
+            # A row that several tasks have seen may count a column more than once, which only keeps more rows.
+            parts.append(np.unique(np.frombuffer(own, np.int64), return_counts=True))
+            held += len(parts[-1][0])
+            if held > PACKED:
+                parts = [added(parts)]
+                held = len(parts[0][0])
+                if held > PACKED // 2:  # so that adding up is rare
+                    yield pd.DataFrame(dict(zip(("node", "held"), parts[0], strict=True)))
+                    parts, held = [], 0
+    if parts:
+        yield pd.DataFrame(dict(zip(("node", "held"), added(parts), strict=True)))
 
 
-def _plain(columns: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"column": columns, "node": nodes})
+def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of each pack as rows."""
+    for batch in batches:
+        for columns, nodes in batch[["columns", "nodes"]].itertuples(index=False):
+            if len(nodes):
+                yield pd.DataFrame({"column": np.frombuffer(columns, np.int64), "node": np.frombuffer(nodes, np.int64)})
 
 
 def _local_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +310,7 @@ def _stars_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _groups(shared: DataFrame, alive: DataFrame) -> DataFrame:
     """``node, root``: rows that share a column of their prefixes, directly or over others."""
-    entries = shared.mapInPandas(_unpacked(_plain), "column long, node long").join(alive.select("node"), "node")
+    entries = shared.mapInPandas(_plain, "column long, node long").join(alive.select("node"), "node")
     # Written in between: two Python functions in one task take two workers, which executors then keep.
     entries = cut(entries.select("column", "node"))
     stars = cut(entries.mapInPandas(_local_stars, "column long, a long, b long"))
@@ -480,7 +489,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS) -> D
     packs = docs.select("text").mapInPandas(_entry_packs(words, bits), schema)
     dealt = packs.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
     shared = cut(dealt.mapInPandas(_shared_entries, "columns binary, nodes binary"))
-    held = shared.mapInPandas(_unpacked(_held), "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
+    held = shared.select("nodes").mapInPandas(_held, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
     alive = cut(classes.join(held, "node").filter(F.col("held") >= prefix_need(F.col("n"))).drop("held"))
     wanted = cut(alive.join(_groups(shared, alive), "node").select("node", "copies", "of_text", "root"))
     cells = _cells(cut(_sets(docs, wanted, words)))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,17 @@ def test_digest_of_kept_text_matches_sql_rule(documents):
     left = line_dedup.without_repeated_lines(documents(["first shared line\nx", "First shared LINE"]))
     digests = {r.d for r in left.select(F.sha2("text", 256).alias("d")).collect()}
     assert digests == {hashlib.sha256(t).hexdigest() for t in (b"first shared line\nx", b"")}
+
+
+def test_counts_of_rows_are_added_up_over_the_packs_of_a_task(monkeypatch):
+    """However many buckets of columns there are, a task passes on one count for each row."""
+    rng = np.random.default_rng(4)
+    packs = [rng.integers(0, 50, rng.integers(0, 40)) for _ in range(200)]
+    batches = [pd.DataFrame({"nodes": [p.astype(np.int64).tobytes() for p in packs[i : i + 30]]}) for i in range(0, 200, 30)]
+    want = Counter(np.concatenate(packs).tolist())
+    got = pd.concat(shingle_join._held(iter(batches)))
+    assert len(got) == len(want) and dict(zip(got["node"], got["held"], strict=True)) == want
+    monkeypatch.setattr(shingle_join, "PACKED", 20)  # what is held is bounded
+    parts = list(shingle_join._held(iter(batches)))
+    assert max(map(len, parts)) <= 60 and pd.concat(parts).groupby("node")["held"].sum().to_dict() == want
+    assert list(shingle_join._held(iter([]))) == []
