@@ -219,6 +219,32 @@ def _shared_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(packs)
 
 
+def _dealt_by_row(bits: int):
+    """Rows of shared entries, packed by part of rows, so that the columns of a row are counted in one task."""
+
+    def packs(parts: list[np.ndarray]) -> pd.DataFrame:
+        # Sorted, so that the entries of a row stand together and travel compressed.
+        node = np.sort(np.concatenate(parts))
+        part = (node >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(node), np.int64)
+        ends = np.searchsorted(part, np.arange(2**bits + 1))
+        rows = [(int(p), node[ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends))]
+        return pd.DataFrame(rows, columns=["part", "nodes"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, held = [], 0
+        for batch in batches:
+            for own in batch["nodes"]:
+                parts.append(np.frombuffer(own, np.uint64))
+                held += len(parts[-1])
+                if held > PACKED:
+                    yield packs(parts)
+                    parts, held = [], 0
+        if held:
+            yield packs(parts)
+
+    return run
+
+
 def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In how many shared columns each row is, added up over the packs of a task: ``node, held``."""
 
@@ -242,6 +268,16 @@ def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(dict(zip(("node", "held"), added(parts), strict=True)))
 
 
+def held_columns(shared: DataFrame, bits: int) -> DataFrame:
+    """``node, held``: in how many shared columns each row is.
+
+    Entries are dealt to ``2**bits`` parts of rows, as many as there are buckets of columns, so a row is counted
+    by one task and mostly comes once; a task that holds too many rows passes on what it has, to be added up.
+    """
+    packs = shared.select("nodes").mapInPandas(_dealt_by_row(bits), "part int, nodes binary")
+    return packs.repartition(2**bits, "part").select("nodes").mapInPandas(_held, "node long, held long")
+
+
 def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The entries of each pack as rows."""
     for batch in batches:
@@ -489,7 +525,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS) -> D
     packs = docs.select("text").mapInPandas(_entry_packs(words, bits), schema)
     dealt = packs.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
     shared = cut(dealt.mapInPandas(_shared_entries, "columns binary, nodes binary"))
-    held = shared.select("nodes").mapInPandas(_held, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
+    held = held_columns(shared, bits).groupBy("node").agg(F.sum("held").alias("held"))
     alive = cut(classes.join(held, "node").filter(F.col("held") >= prefix_need(F.col("n"))).drop("held"))
     wanted = cut(alive.join(_groups(shared, alive), "node").select("node", "copies", "of_text", "root"))
     cells = _cells(cut(_sets(docs, wanted, words)))

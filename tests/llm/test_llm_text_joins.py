@@ -333,3 +333,21 @@ def test_counts_of_rows_are_added_up_over_the_packs_of_a_task(monkeypatch):
     parts = list(shingle_join._held(iter(batches)))
     assert max(map(len, parts)) <= 60 and pd.concat(parts).groupby("node")["held"].sum().to_dict() == want
     assert list(shingle_join._held(iter([]))) == []
+
+
+def test_a_row_is_counted_by_one_task_however_many_buckets_hold_its_columns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    names = rng.integers(-(2**63), 2**63, 300)
+    packs = [rng.choice(names, rng.integers(0, 90)) for _ in range(64)]
+    want = Counter(np.concatenate(packs).tolist())
+    table = spark.createDataFrame([(p.tobytes(),) for p in packs], "nodes binary")
+    for tasks in (1, 5, 64):
+        for bits in (0, 3):
+            got = shingle_join.held_columns(table.repartition(tasks), bits).collect()
+            assert len(got) == len(want) and {r.node: r.held for r in got} == want
+    monkeypatch.setattr(shingle_join, "PACKED", 50)  # what is held is bounded
+    dealt = list(shingle_join._dealt_by_row(3)(iter([pd.DataFrame({"nodes": [p.tobytes() for p in packs]})])))
+    assert max(sum(map(len, x["nodes"])) // 8 for x in dealt) <= 50 + 90
+    assert Counter(np.frombuffer(b"".join(n for x in dealt for n in x["nodes"]), np.int64).tolist()) == want
+    assert list(shingle_join._dealt_by_row(3)(iter([pd.DataFrame({"nodes": [b""]})]))) == []
+    assert shingle_join.held_columns(table.limit(0), 3).collect() == []
