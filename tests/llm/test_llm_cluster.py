@@ -35,7 +35,7 @@ def same_off_local_mode(spark, monkeypatch, query, folder):
     assert rows() == want and want
 
 
-WRITERS = ["op1_warc"]
+WRITERS = ["op1_warc", "op3_packing"]
 
 
 @pytest.mark.parametrize("name", WRITERS)
