@@ -35,7 +35,7 @@ def same_off_local_mode(spark, monkeypatch, query, folder):
     assert rows() == want and want
 
 
-WRITERS = ["op1_warc", "op3_packing", "op4_vector_pairs", "op5_vector_search"]
+WRITERS = ["op1_warc", "op3_packing", "op4_vector_pairs", "op5_vector_search", "op7_ngram_join"]
 
 
 @pytest.mark.parametrize("name", WRITERS)
