@@ -35,7 +35,10 @@ def same_off_local_mode(spark, monkeypatch, query, folder):
     assert rows() == want and want
 
 
-WRITERS = ["op1_warc", "op3_packing", "op4_vector_pairs", "op5_vector_search", "op7_ngram_join"]
+WRITERS = [
+    "op1_warc", "op3_packing", "op4_vector_pairs", "op5_vector_search", "op7_ngram_join",
+    "op8_line_dedup",
+]
 
 
 @pytest.mark.parametrize("name", WRITERS)
