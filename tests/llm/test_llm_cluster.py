@@ -37,7 +37,7 @@ def same_off_local_mode(spark, monkeypatch, query, folder):
 
 WRITERS = [
     "op1_warc", "op3_packing", "op4_vector_pairs", "op5_vector_search", "op7_ngram_join",
-    "op8_line_dedup", "op10_mixing", "op11_spelling",
+    "op8_line_dedup", "op10_mixing", "op11_spelling", "op13_lexical_search",
 ]
 
 
